@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .grid import cell_key
+
 DAYS = 366
 LEAP_DAY = 60
-CELL = ["lat", "lon"]
+# Windows and joins use the integer key: on the two doubles Spark would shuffle
+# again for every operator, because it normalises floating-point keys.
+CELL = ["cell", "lat", "lon"]
 
 
 def day_of_year(dt: Column) -> Column:
@@ -29,7 +33,7 @@ def _fill_days(per_doy: DataFrame, values: list[str]) -> DataFrame:
     Each row also writes the days up to the next one present (the first row
     those before it), so no spine is joined and the partitioning by cell stays.
     """
-    by_day = W.partitionBy(*CELL).orderBy("doy")
+    by_day = W.partitionBy("cell").orderBy("doy")
     first = F.when(F.lag("doy").over(by_day).isNull(), F.lit(1)).otherwise(F.col("doy"))
     last = F.coalesce(F.lead("doy").over(by_day) - 1, F.lit(DAYS))
     spread = per_doy.select("*", first.alias("_lo"), last.alias("_hi")).select(
@@ -88,16 +92,16 @@ def pooled_climatology(
     if 2 * half_width + 1 > DAYS or smooth_width > DAYS:
         raise ValueError("the window is longer than the year")
     base = _year_range(cube, first_year, last_year).select(
-        *CELL, day_of_year(F.col("dt")).alias("doy"), "sst"
+        cell_key(), "lat", "lon", day_of_year(F.col("dt")).alias("doy"), "sst"
     )
     per_doy = (
-        base.repartition(*CELL)
+        base.repartition("cell")
         .groupBy(*CELL, "doy")
         .agg(F.collect_list("sst").alias("vals"),
              F.sum("sst").alias("total"), F.count("sst").alias("n"))
     )
     days = _wrap_year(_fill_days(per_doy, ["vals", "total", "n"]), half_width)
-    pool = W.partitionBy(*CELL).orderBy("doy").rangeBetween(-half_width, half_width)
+    pool = W.partitionBy("cell").orderBy("doy").rangeBetween(-half_width, half_width)
     ordered = F.sort_array(F.flatten(F.collect_list("vals").over(pool)))
     pooled = (
         days.select(
@@ -116,7 +120,7 @@ def pooled_climatology(
         .select(F.lit(True).alias("found")).limit(1)
     )
     is_empty = (F.col("doy") == LEAP_DAY) & F.coalesce(probe.scalar(), F.lit(False)).eqNullSafe(False)
-    by_day = W.partitionBy(*CELL).orderBy("doy")
+    by_day = W.partitionBy("cell").orderBy("doy")
     filled = pooled.select(*CELL, "doy", *[
         F.when(is_empty, (F.lag(c).over(by_day) + F.lead(c).over(by_day)) / 2)
         .otherwise(F.col(c)).alias(c)
@@ -124,19 +128,17 @@ def pooled_climatology(
     ])
     half = smooth_width // 2
     if half > 0:
-        run = W.partitionBy(*CELL).orderBy("doy").rangeBetween(-half, half)
+        run = W.partitionBy("cell").orderBy("doy").rangeBetween(-half, half)
         filled = (
             _wrap_year(filled, half)
             .select(*CELL, "doy", F.avg("seas").over(run).alias("seas"),
                     F.avg("thresh").over(run).alias("thresh"))
             .where(F.col("doy").between(1, DAYS))
         )
-    if decimals is not None:
-        filled = filled.select(
-            *CELL, "doy", F.round("seas", decimals).alias("seas"),
-            F.round("thresh", decimals).alias("thresh"),
-        )
-    return filled
+    return filled.select("lat", "lon", "doy", *[
+        (F.col(c) if decimals is None else F.round(c, decimals)).alias(c)
+        for c in ("seas", "thresh")
+    ])
 
 
 def pooled_climatology_by_offsets(
@@ -151,17 +153,17 @@ def pooled_climatology_by_offsets(
     base = _year_range(cube, first_year, last_year)
     doy = day_of_year(F.col("dt"))
     shifted = base.select(
-        *CELL, "sst",
+        "lat", "lon", "sst",
         F.explode(F.sequence(doy - half_width, doy + half_width)).alias("shifted"),
     ).withColumn("doy", F.pmod(F.col("shifted") - 1, F.lit(DAYS)) + 1)
-    return shifted.groupBy(*CELL, "doy").agg(
+    return shifted.groupBy("lat", "lon", "doy").agg(
         F.avg("sst").alias("seas"), F.percentile("sst", F.lit(pctile)).alias("thresh")
     )
 
 
 def plain_climatology(cube: DataFrame, pctile: float = 0.9) -> DataFrame:
     """Mean and percentile per cell and calendar day of year, no pool or smoothing."""
-    return cube.groupBy(*CELL, day_of_year(F.col("dt")).alias("doy")).agg(
+    return cube.groupBy("lat", "lon", day_of_year(F.col("dt")).alias("doy")).agg(
         F.avg("sst").alias("seas"), F.percentile("sst", F.lit(pctile)).alias("thresh")
     )
 
@@ -172,28 +174,28 @@ def pack_climatology(clim: DataFrame) -> DataFrame:
     Joining on the cell alone lets the join share the partitioning that the
     windows over a cell's days need; a join on (cell, doy) would not.
     """
-    dense = _fill_days(clim.select(*CELL, "doy", "seas", "thresh").repartition(*CELL),
-                       ["seas", "thresh"])
+    keyed = clim.select(cell_key(), "lat", "lon", "doy", "seas", "thresh").repartition("cell")
     rows = F.sort_array(F.collect_list(F.struct("doy", "seas", "thresh")))
-    return dense.groupBy(*CELL).agg(rows.alias("year")).select(
-        *CELL,
+    return _fill_days(keyed, ["seas", "thresh"]).groupBy("cell").agg(rows.alias("year")).select(
+        "cell",
         F.col("year.seas").alias("seas_by_doy"),
         F.col("year.thresh").alias("thresh_by_doy"),
     )
 
 
-def attach_baseline(cube: DataFrame, clim: DataFrame, keyed_by_cell: bool = False) -> DataFrame:
+def attach_baseline(cube: DataFrame, clim: DataFrame, keep_cell: bool = False) -> DataFrame:
     """Add ``seas`` and ``thresh`` of the row's cell and day of year.
 
-    ``keyed_by_cell`` asks for a join that leaves the rows partitioned by cell,
-    for callers that go on with windows per cell.
+    ``keep_cell`` keeps the key and asks for a join that leaves the rows
+    partitioned by it, for callers that go on with windows per cell.
     """
     packed = pack_climatology(clim)
-    if keyed_by_cell:
+    if keep_cell:
         packed = packed.hint("shuffle_hash")
     doy = F.least(F.lit(DAYS), day_of_year(F.col("dt")))
-    return cube.join(packed, CELL, "left").select(
-        *[F.col(c) for c in cube.columns],
+    columns = (["cell"] if keep_cell else []) + cube.columns
+    return cube.withColumn("cell", cell_key()).join(packed, "cell", "left").select(
+        *columns,
         F.element_at("seas_by_doy", doy).alias("seas"),
         F.element_at("thresh_by_doy", doy).alias("thresh"),
     )

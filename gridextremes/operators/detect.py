@@ -18,21 +18,21 @@ def mark_events(
 ) -> DataFrame:
     """Rows of ``series`` that belong to an event, with ``event_no`` 1..n per cell.
 
-    ``series`` has ``lat, lon, dt, sst, seas, thresh``. Runs are contiguous by
+    ``series`` has ``cell, lat, lon, dt, sst, seas, thresh``. Runs are contiguous by
     row; runs shorter than ``min_duration`` rows are dropped before the rest is
     joined over gaps of at most ``max_gap`` days, whose rows then belong to the
     event too. Every window is per cell in date order, or per run of a cell, so
     all of them run on one shuffle by cell.
     """
-    by_day = W.partitionBy(*CELL).orderBy("dt")
+    by_day = W.partitionBy("cell").orderBy("dt")
     breaks = F.sum(F.when(F.col("hot"), 0).otherwise(1)).over(
         by_day.rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     # Ordering by (run, dt) is ordering by dt, and shares one sort with the runs.
-    run = W.partitionBy(*CELL, "run").orderBy("dt").rowsBetween(
+    run = W.partitionBy("cell", "run").orderBy("dt").rowsBetween(
         W.unboundedPreceding, W.unboundedFollowing
     )
-    in_order = W.partitionBy(*CELL).orderBy("run", "dt")
+    in_order = W.partitionBy("cell").orderBy("run", "dt")
     marked = (
         series.withColumn("hot", exceeds(F.col("sst"), F.col("thresh")))
         .withColumn("run", breaks)
@@ -79,7 +79,7 @@ def event_metrics(rows: DataFrame) -> DataFrame:
     )
     seas, thresh = F.col("peak.seas"), F.col("peak.thresh")
     return grouped.select(
-        *CELL, "event_no", "date_start", "date_end",
+        "lat", "lon", "event_no", "date_start", "date_end",
         F.col("peak.dt").alias("date_peak"),
         "duration_days",
         F.round("i_max", 3).alias("intensity_max"),
@@ -94,7 +94,7 @@ def cell_events(
     join_gaps: bool = True,
 ) -> DataFrame:
     """Unnumbered events per cell (lazy, one shuffle by cell)."""
-    series = attach_baseline(cube.select("lat", "lon", "dt", "sst"), clim, keyed_by_cell=True)
+    series = attach_baseline(cube.select("lat", "lon", "dt", "sst"), clim, keep_cell=True)
     return event_metrics(mark_events(series, min_duration, max_gap, join_gaps))
 
 

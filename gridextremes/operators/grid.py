@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 DEFAULT_STEP = 0.25
 
 
+def cell_key() -> Column:
+    """The cell of a row as one integer, exact to a millionth of a degree."""
+    lat = F.round((F.col("lat") + 90) * 1_000_000).cast("bigint")
+    lon = F.round((F.col("lon") + 180) * 1_000_000).cast("bigint")
+    return (F.shiftleft(lat, 30) + lon).alias("cell")
+
+
 @dataclass(frozen=True)
 class Grid:
     """Origin, step and length of the two axes of a regular grid."""

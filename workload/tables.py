@@ -62,21 +62,33 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
     """Sum of ``column`` and count per supplier and day, zero on empty days.
 
-    The days are spread per supplier from the first to the last ship date, and
-    the empty ones come in as zero rows of the same aggregation: no join.
+    Lines are summed per (supplier, day) first, so a supplier with most of the
+    lines is no larger than the calendar; each sum then writes the empty days
+    up to the next one. Suppliers without lines come in by one zero row.
     """
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("k"), F.to_date("l_shipdate").alias("dt"), F.col(column).alias("v")
     )
     span = lines.agg(F.min("dt").alias("lo"), F.max("dt").alias("hi"))
     first, last = span.select("lo").scalar(), span.select("hi").scalar()
-    empty = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("k"),
-        F.explode(F.sequence(first, last)).alias("dt"),
+    seeds = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("k"), first.alias("dt"),
         F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"),
     )
     summed = lines.groupBy("k", "dt").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
-    return summed.unionByName(empty).groupBy("k", "dt").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    present = (
+        summed.unionByName(seeds).repartition("k")
+        .groupBy("k", "dt").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    )
+    until = F.coalesce(F.date_sub(F.lead("dt").over(W.partitionBy("k").orderBy("dt")), 1), last)
+    own = F.col("day") == F.col("dt")
+    return present.select("*", until.alias("until")).select(
+        "k", "dt", "s", "n", F.explode(F.sequence("dt", "until")).alias("day")
+    ).select(
+        "k", F.col("day").alias("dt"),
+        F.when(own, F.col("s")).otherwise(0.0).alias("s"),
+        F.when(own, F.col("n")).otherwise(0).alias("n"),
+    )
 
 
 def _trailing(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
