@@ -164,3 +164,539 @@ CLUSTERS = EVENTS + clustering()
 
 def sql(ctes: str, select: str) -> str:
     return f"WITH RECURSIVE {ctes.strip()}\n{select.strip()}"
+
+# --- places ------------------------------------------------------------------------
+
+PLACES = """,
+side AS (SELECT least(48, w) AS m FROM dims),
+rects AS (
+  SELECT 'mpa' AS kind, 'mpa-' || n_nationkey AS feature_id, upper(n_name) AS code,
+         3.625e0 + (n_nationkey * 7) % (m * 4) * 0.1875e0 AS x0,
+         33.625e0 + (n_nationkey * 11 + 3) % (m * 4) * 0.1875e0 AS y0, 0.65625e0 AS w, 0.46875e0 AS h
+  FROM nation, side
+  UNION ALL
+  SELECT 'seagrass', 'bed-' || p_partkey, NULL,
+         3.625e0 + (p_partkey * 29) % (m * 12) * 0.0625e0,
+         33.625e0 + (p_partkey * 31 + 5) % (m * 12) * 0.0625e0, 0.25e0, 0.1875e0
+  FROM part, side
+),
+spots AS (
+  SELECT 'aquaculture' AS kind, 'site-' || s_suppkey AS feature_id,
+         3.625e0 + (s_suppkey * 37) % (m * 4) * 0.1875e0 AS x,
+         33.625e0 + (s_suppkey * 53 + 1) % (m * 4) * 0.1875e0 AS y
+  FROM supplier, side
+),
+farms AS (
+  SELECT 'farm-' || c_custkey AS id, 3.625e0 + (c_custkey * 31) % (m * 48) * 0.015625e0 AS lon,
+         33.625e0 + (c_custkey * 47 + 7) % (m * 48) * 0.015625e0 AS lat
+  FROM customer, side
+),
+class_cells AS (
+  SELECT 3.625e0 + (p_partkey * 13) % (m * 8) * 0.09375e0 AS lon,
+         33.625e0 + (p_partkey * 17 + 2) % (m * 8) * 0.09375e0 AS lat,
+         ['rock', 'sand', 'mud', 'biogenic'][p_size % 4 + 1] AS class, p_retailprice / 1000 AS rate
+  FROM part, side
+),
+coast AS (
+  SELECT 3.625e0 + (o_orderkey * 19) % (m * 48) * 0.015625e0 AS lon,
+         33.625e0 + (o_orderkey * 23 + 5) % (m * 48) * 0.015625e0 AS lat,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'eroding' WHEN '2-HIGH' THEN 'accreting'
+              ELSE 'stable' END AS class,
+         o_totalprice / 100000 AS length_km
+  FROM orders, side
+)"""
+
+
+def hits(events: str, members: str, prefix: str = "") -> str:
+    """Event against overlay, from the boxes of the member cells, as ``{prefix}hits``."""
+    p = prefix
+    return f""",
+{p}boxes AS (
+  SELECT DISTINCT event_id, is_point, clon, clat, clon - h AS cx0, clat - h AS cy0, clon + h AS cx1, clat + h AS cy1
+  FROM {members}, (SELECT min(step) / 2 AS h FROM cells)
+),
+{p}pieces AS (
+  SELECT event_id, kind, feature_id, code, is_point,
+         greatest(0e0, least(x0 + w, cx1) - greatest(x0, cx0)) * greatest(0e0, least(y0 + h, cy1) - greatest(y0, cy0)) AS a,
+         (least(y0 + h, cy1) + greatest(y0, cy0)) / 2 AS mid
+  FROM {p}boxes, rects
+  WHERE CASE WHEN is_point THEN clon BETWEEN x0 AND x0 + w AND clat BETWEEN y0 AND y0 + h
+             ELSE cx0 <= x0 + w AND x0 <= cx1 AND cy0 <= y0 + h AND y0 <= cy1 END
+),
+{p}rect_hits AS (
+  SELECT event_id, kind, feature_id, code,
+         CASE WHEN NOT is_point AND sum(a) > 0
+              THEN sum(a) * 111.32e0 * 111.32e0 * cos(radians(sum(a * mid) / sum(a))) ELSE 0e0 END AS km2
+  FROM {p}pieces GROUP BY event_id, kind, feature_id, code, is_point
+),
+{p}spot_hits AS (
+  SELECT DISTINCT event_id, kind, feature_id FROM {p}boxes, spots
+  WHERE CASE WHEN is_point THEN x = clon AND y = clat
+             ELSE x BETWEEN cx0 AND cx1 AND y BETWEEN cy0 AND cy1 END
+),
+{p}impact AS (
+  SELECT e.event_id, e.category, e.category_name,
+         CAST(coalesce(s.n, 0) AS INTEGER) AS n_aquaculture_sites,
+         round(coalesce(r.mpa, 0e0), 2) AS mpa_area_km2, round(coalesce(r.bed, 0e0), 2) AS seagrass_area_km2,
+         coalesce(r.n_mpa, 0) AS n_mpa, coalesce(r.n_bed, 0) AS n_bed
+  FROM {events} e
+  LEFT JOIN (SELECT event_id, count(*) AS n FROM {p}spot_hits GROUP BY 1) s ON s.event_id = e.event_id
+  LEFT JOIN (SELECT event_id, sum(km2) FILTER (WHERE kind = 'mpa') AS mpa, sum(km2) FILTER (WHERE kind = 'seagrass') AS bed,
+                    count(*) FILTER (WHERE kind = 'mpa') AS n_mpa, count(*) FILTER (WHERE kind = 'seagrass') AS n_bed
+             FROM {p}rect_hits GROUP BY 1) r ON r.event_id = e.event_id
+)"""
+
+
+FOOTPRINT = """,
+covered AS (
+  SELECT c.event_id, c.geom_type = 'Point' AS is_point, m.lon AS clon, m.lat AS clat
+  FROM members m JOIN clusters c ON c.first_seq = m.first_seq
+)"""
+IMPACT = CLUSTERS + PLACES + FOOTPRINT + hits("clusters", "covered")
+RAW_IMPACT = EVENTS + PLACES + """,
+single AS (SELECT event_id, FALSE AS is_point, lon AS clon, lat AS clat FROM events)""" + hits("events", "single")
+
+EVENT_COLUMNS = (
+    "event_id, date_start, date_end, date_peak, duration_days, intensity_max, intensity_mean, "
+    "intensity_cumulative, category, category_name, centroid_lon, centroid_lat"
+)
+CLUSTER_COLUMNS = EVENT_COLUMNS + ", n_pixels, geom_type"
+
+WINDOWED = CLIM + """,
+cut AS (SELECT * FROM cube WHERE dt BETWEEN DATE '1998-05-01' AND DATE '1999-04-30')""" + detection("cut")
+
+SLAB = CELLS + """,
+slab AS (
+  SELECT CAST(l_shipdate AS DATE) AS dt, lat AS nav_lat, lon AS nav_lon, l_linenumber * 0.5e0 AS depth,
+         l_quantity + 273.15e0 AS thetao
+  FROM lineitem JOIN cells ON k = l_suppkey
+),
+surface AS (
+  SELECT * FROM slab
+  WHERE depth = (SELECT depth FROM slab ORDER BY abs(depth - 1.02e0), depth DESC LIMIT 1)
+)"""
+
+DERIVED = CUBE + """,
+plain AS (
+  SELECT lat, lon, doy, avg(sst) AS seas, quantile_cont(sst, 0.9) AS thresh FROM cube GROUP BY 1, 2, 3
+),
+derived AS (
+  SELECT c.dt, c.lat, c.lon, c.sst, seas, thresh,
+         CASE WHEN c.sst >= thresh THEN 1 ELSE 0 END AS flag,
+         CASE WHEN c.sst IS NULL OR NOT c.sst >= thresh THEN 0
+              WHEN NOT thresh > seas THEN 5
+              ELSE least(5, greatest(1, CAST(floor((c.sst - seas) / (thresh - seas)) AS INTEGER))) END AS cat
+  FROM cube c JOIN plain p ON p.lat = c.lat AND p.lon = c.lon AND p.doy = c.doy
+)"""
+
+ANOMALY = CLIM + """,
+field AS (
+  SELECT c.dt, c.lat, c.lon, c.sst - m.seas AS anomaly,
+         CAST(round((c.lat - 34e0) / step) AS INTEGER) AS ilat, CAST(round((c.lon - 4e0) / step) AS INTEGER) AS ilon
+  FROM cube c JOIN clim m ON m.lat = c.lat AND m.lon = c.lon AND m.doy = dayofyear(c.dt),
+       (SELECT min(step) AS step FROM cells)
+  WHERE c.dt = DATE '1998-07-15'
+),
+shape AS (
+  SELECT CAST(max(r) + 1 AS INTEGER) AS n_lat, CAST(max(c) + 1 AS INTEGER) AS n_lon FROM cells
+)"""
+
+MASK = """,
+land AS (
+  SELECT CAST(c_custkey * 7 % n_lat AS INTEGER) AS ilat, CAST(c_custkey * 5 % n_lon AS INTEGER) AS ilon
+  FROM customer, shape WHERE c_acctbal > 9500
+),
+grown AS (
+  SELECT DISTINCT ilat + dy AS ilat, ilon + dx AS ilon
+  FROM land, shape, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dy, dx)
+  WHERE ilat + dy BETWEEN 0 AND n_lat - 1 AND ilon + dx BETWEEN 0 AND n_lon - 1
+)"""
+
+COMPOUND = CUBE + """,
+disc AS (
+  SELECT l_suppkey AS k, CAST(l_shipdate AS DATE) AS dt, sum(l_discount) AS s, count(*) AS n
+  FROM lineitem GROUP BY 1, 2
+),
+salt AS (
+  SELECT c.lat, c.lon, d.dt, sum(coalesce(o.s, 0e0)) OVER t AS sw, sum(coalesce(o.n, 0)) OVER t AS nw
+  FROM cells c CROSS JOIN days d LEFT JOIN disc o ON o.k = c.k AND o.dt = d.dt
+  WINDOW t AS (PARTITION BY c.k ORDER BY d.dt ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)
+),
+both_vars AS (
+  SELECT c.lat, c.lon, c.sst, 38e0 - 10e0 * (round(s.sw, 2) / s.nw - 0.05e0) AS sal
+  FROM cube c JOIN salt s ON s.lat = c.lat AND s.lon = c.lon AND s.dt = c.dt
+  WHERE c.sst IS NOT NULL AND s.nw > 0
+),
+limits AS (
+  SELECT lat, lon, quantile_cont(sst, 0.9) AS hi, quantile_cont(sal, 0.1) AS lo FROM both_vars GROUP BY 1, 2
+),
+per_cell AS (
+  SELECT b.lat, b.lon, count(*) FILTER (WHERE sst > hi) AS hot_days, count(*) FILTER (WHERE sal < lo) AS fresh_days,
+         count(*) FILTER (WHERE sst > hi AND sal < lo) AS compound_days
+  FROM both_vars b JOIN limits l ON l.lat = b.lat AND l.lon = b.lon GROUP BY 1, 2
+)"""
+
+LINKS = EVENTS + """,
+tiled AS (
+  SELECT *, CAST(floor(centroid_lon / (1.5e0 * 0.7e0)) AS INTEGER) AS tx,
+            CAST(floor(centroid_lat / (1.5e0 * 0.7e0)) AS INTEGER) AS ty FROM events
+)"""
+
+ELLIPSES = CLUSTERS + PLACES + """,
+ellipses AS (
+  SELECT event_id, centroid_lon AS lon, centroid_lat AS lat, 0.3e0 + 0.05e0 * n_pixels AS sx, 0.3e0 AS sy FROM clusters
+),
+inside AS (
+  SELECT event_id, class, rate FROM ellipses e JOIN class_cells c
+    ON ((c.lon - e.lon) / sx) * ((c.lon - e.lon) / sx) + ((c.lat - e.lat) / sy) * ((c.lat - e.lat) / sy) <= 1
+)"""
+
+BUFFER = CLUSTERS + PLACES + """,
+near_coast AS (
+  SELECT event_id, class, length_km
+  FROM clusters e, coast s, (SELECT avg(lat) AS mean_lat FROM coast)
+  WHERE sqrt(((s.lon - centroid_lon) * cos(radians((centroid_lat + mean_lat) / 2)) * 111e0)
+           * ((s.lon - centroid_lon) * cos(radians((centroid_lat + mean_lat) / 2)) * 111e0)
+           + ((s.lat - centroid_lat) * 111e0) * ((s.lat - centroid_lat) * 111e0)) <= 50
+),
+buffered AS (
+  SELECT c.event_id, round(coalesce(total, 0e0), 2) AS near_km, round(coalesce(ero, 0e0), 2) AS eroding_km,
+         round(CASE WHEN total > 0 THEN ero / total ELSE 0e0 END, 3) AS eroding_fraction
+  FROM clusters c LEFT JOIN (
+    SELECT event_id, sum(length_km) AS total, sum(CASE WHEN class = 'eroding' THEN length_km ELSE 0e0 END) AS ero
+    FROM near_coast GROUP BY 1) n ON n.event_id = c.event_id
+)"""
+
+SIDES = CLUSTERS + FOOTPRINT + """,
+foot AS (
+  SELECT DISTINCT event_id, CAST(round((clat - 34e0) / step) AS INTEGER) AS r, CAST(round((clon - 4e0) / step) AS INTEGER) AS c
+  FROM covered, (SELECT min(step) AS step FROM cells)
+),
+sides AS (
+  SELECT event_id, side, ilon, ilat, CAST(sum(sign) AS INTEGER) AS sign FROM (
+    SELECT event_id, 'h' AS side, c AS ilon, r AS ilat, 1 AS sign FROM foot
+    UNION ALL SELECT event_id, 'h', c, r + 1, -1 FROM foot
+    UNION ALL SELECT event_id, 'v', c, r, -1 FROM foot
+    UNION ALL SELECT event_id, 'v', c + 1, r, 1 FROM foot)
+  GROUP BY 1, 2, 3, 4 HAVING sum(sign) <> 0
+)"""
+
+
+def bucket(key: str, extra: str = "") -> str:
+    return sql(IMPACT, f"""
+SELECT {key} AS key, count(*) AS count, round(greatest(0e0, max(intensity_max)), 3) AS intensity_max,
+       round(avg(intensity_max), 3) AS intensity_mean, CAST(sum(n_pixels) AS BIGINT) AS n_pixels_total,
+       CAST(sum(n_aquaculture_sites) AS BIGINT) AS aquaculture_sites,
+       round(sum(mpa_area_km2), 2) AS mpa_area_km2, round(sum(seagrass_area_km2), 2) AS seagrass_area_km2{extra}
+FROM (SELECT c.*, i.n_aquaculture_sites, i.mpa_area_km2, i.seagrass_area_km2
+      FROM clusters c JOIN impact i ON i.event_id = c.event_id) GROUP BY 1""")
+
+
+COUNTRY = """CASE
+  WHEN centroid_lat BETWEEN 30 AND 36.5 AND centroid_lon BETWEEN 32 AND 36.5 THEN 'EG'
+  WHEN centroid_lat BETWEEN 30 AND 35 AND centroid_lon BETWEEN 19 AND 32 THEN 'LY'
+  WHEN centroid_lat BETWEEN 30 AND 38 AND centroid_lon BETWEEN 7 AND 19 THEN 'TN'
+  WHEN centroid_lat BETWEEN 30 AND 38 AND centroid_lon BETWEEN -2 AND 7 THEN 'DZ'
+  WHEN centroid_lat BETWEEN 30 AND 36 AND centroid_lon BETWEEN -7 AND -2 THEN 'MA'
+  WHEN centroid_lat BETWEEN 35 AND 39 AND centroid_lon BETWEEN -2 AND 9 THEN 'ES'
+  WHEN centroid_lat BETWEEN 41 AND 43 AND centroid_lon BETWEEN 0 AND 5 THEN 'FR'
+  WHEN centroid_lat BETWEEN 36 AND 46 AND centroid_lon BETWEEN 5 AND 19 THEN 'IT'
+  WHEN centroid_lat BETWEEN 40 AND 46 AND centroid_lon BETWEEN 13 AND 21 THEN 'HR'
+  WHEN centroid_lat BETWEEN 34 AND 42 AND centroid_lon BETWEEN 19 AND 28 THEN 'GR'
+  WHEN centroid_lat BETWEEN 35 AND 37 AND centroid_lon BETWEEN 32 AND 36 THEN 'CY'
+  WHEN centroid_lat BETWEEN 36 AND 42 AND centroid_lon BETWEEN 26 AND 36 THEN 'TR'
+  ELSE '??' END"""
+
+KIND_SUMS = """CAST(sum(n_aquaculture_sites) AS BIGINT) AS aquaculture, CAST(sum(n_mpa) AS BIGINT) AS mpa,
+       CAST(sum(n_bed) AS BIGINT) AS seagrass"""
+
+
+def shares(classes: list[str], rate: bool = False, score: str = "") -> str:
+    label = "CASE WHEN rate < 1 THEN 'low' WHEN rate < 2 THEN 'medium' ELSE 'high' END" if rate else "class"
+    cols = ",\n       ".join(
+        f"coalesce(round(count(i.event_id) FILTER (WHERE {label} = '{c}') / nullif(CAST(count(i.event_id) AS DOUBLE), 0), 3), 0e0) AS share_{c}"
+        for c in classes)
+    inner = f"""
+SELECT e.event_id, count(i.event_id) AS cells, {cols},
+       coalesce(round(avg(rate), 2), 0e0) AS mean_rate
+FROM ellipses e LEFT JOIN inside i ON i.event_id = e.event_id GROUP BY 1"""
+    return sql(ELLIPSES, f"SELECT *{score} FROM ({inner})")
+
+
+def site(source: str, extra: str) -> str:
+    """Clusters at the site, from the raw events whose cell lies in the padded box."""
+    return sql(source + PLACES + """,
+site AS (SELECT * FROM rects WHERE code = 'NATION_7'),
+around AS (
+  SELECT e.* FROM events e, site
+  WHERE centroid_lon BETWEEN x0 - 0.5e0 AND x0 + w + 0.5e0 AND centroid_lat BETWEEN y0 - 0.5e0 AND y0 + h + 0.5e0
+)""" + clustering("around") + FOOTPRINT + hits("clusters", "covered"), f"""
+SELECT {CLUSTER_COLUMNS} FROM clusters
+WHERE event_id IN (SELECT event_id FROM rect_hits WHERE code = 'NATION_7'){extra}""")
+
+
+ORACLE: dict[str, str] = {
+    "cube_extent": sql(CUBE, """
+SELECT min(dt) AS first_day, max(dt) AS last_day, count(DISTINCT dt) AS n_days,
+       min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM cube"""),
+    "cube_year_coverage": sql(CUBE, """
+SELECT CAST(year(dt) AS INTEGER) AS year, min(dt) AS first_day, max(dt) AS last_day FROM cube GROUP BY 1"""),
+    "cube_scan": sql(CUBE, """
+SELECT dt, lat, lon, round(sst, 6) AS sst FROM cube
+WHERE dt BETWEEN DATE '1998-05-01' AND DATE '1999-04-30' AND lon BETWEEN 4 AND 8.5 AND lat BETWEEN 34 AND 40"""),
+    "year_items": sql(CUBE, """
+SELECT 'sst-grid-' || year AS id, 'sst-grid' AS collection, year, d0 || 'T00:00:00Z' AS start_datetime,
+       d1 || 'T23:59:59Z' AS end_datetime, '1991-2020' AS climatology, x0, y0, x1, y1,
+       'events?start=' || d0 || '&end=' || d1 AS events_href, 'anomaly?date=' || d0 AS anomaly_href
+FROM (SELECT CAST(year(dt) AS INTEGER) AS year, strftime(min(dt), '%Y-%m-%d') AS d0, strftime(max(dt), '%Y-%m-%d') AS d1
+      FROM cube GROUP BY 1),
+     (SELECT min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM cube)"""),
+    "distinct_years": sql(CUBE, "SELECT DISTINCT CAST(year(dt) AS INTEGER) AS year FROM cube"),
+    "missing_days": sql(SLAB, """
+SELECT dt FROM (SELECT CAST(unnest(generate_series(DATE '1994-12-20', DATE '2001-11-20', INTERVAL 1 DAY)) AS DATE) AS dt)
+WHERE dt NOT IN (SELECT dt FROM surface)"""),
+    "missing_ranges": sql(CUBE, """
+SELECT * FROM (
+  SELECT DATE '1994-12-20' AS "start", least(DATE '2001-11-20', min(dt) - 1) AS "end" FROM cube
+  UNION ALL SELECT greatest(DATE '1994-12-20', max(dt) + 1), DATE '2001-11-20' FROM cube)
+WHERE "start" <= "end" """),
+    "warm_window": sql(CUBE, """
+SELECT min(dt) <= DATE '2001-11-06' - 90 AND max(dt) >= DATE '2001-11-06' - 2 AS covered FROM cube"""),
+    "surface_level": sql(SLAB, "SELECT dt, nav_lat, nav_lon, round(thetao, 6) AS thetao FROM surface"),
+    "to_celsius": sql(SLAB, """
+SELECT dt, nav_lat AS lat, nav_lon AS lon, round(thetao - 273.15e0, 6) AS sst FROM surface"""),
+    "product_routing": """
+SELECT CASE WHEN d > DATE '2001-06-01' THEN 'forecast' WHEN d + 30 < DATE '2001-06-01' - 365 THEN 'reanalysis'
+            ELSE 'nrt' END AS product, count(*) AS n
+FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders) GROUP BY 1""",
+    "slab_merge": sql(CUBE + SLAB[len(CELLS):], """
+SELECT CAST(year(dt) AS INTEGER) AS year, count(*) AS n, count(DISTINCT dt) AS n_days, round(sum(sst), 2) AS total
+FROM (SELECT dt, sst FROM cube WHERE dt <= DATE '2000-12-31'
+      UNION ALL
+      SELECT dt, thetao - 273.15e0 FROM surface
+      WHERE dt NOT IN (SELECT dt FROM cube WHERE dt <= DATE '2000-12-31')) GROUP BY 1"""),
+    "clim_pooled": sql(POOLED, "SELECT lat, lon, doy, round(seas, 6) AS seas, round(thresh, 6) AS thresh FROM pooled"),
+    "clim_smoothed": sql(CLIM, "SELECT * FROM clim"),
+    "clim_year_range": sql(
+        POOLED.replace("WHERE sst IS NOT NULL", "WHERE sst IS NOT NULL AND year(dt) BETWEEN 1996 AND 1999"),
+        "SELECT lat, lon, doy, round(seas, 6) AS seas, round(thresh, 6) AS thresh FROM pooled"),
+    "clim_plain_doy": sql(CUBE, """
+SELECT lat, lon, CAST(doy AS INTEGER) AS doy, round(avg(sst), 6) AS seas, round(quantile_cont(sst, 0.9), 6) AS thresh
+FROM cube GROUP BY 1, 2, 3"""),
+    "clim_bbox": sql(CLIM, "SELECT * FROM clim WHERE lon BETWEEN 4.75 AND 7 AND lat BETWEEN 34.75 AND 37"),
+    "nearest_align": sql(CLIM, """
+SELECT t.lat, t.lon, doy, seas, thresh
+FROM (SELECT DISTINCT lat + 0.25e0 AS lat, lon - 0.375e0 AS lon FROM cells) t
+JOIN (SELECT a AS lat, arg_min(b, abs(a - b) - b / 1e6) AS nlat
+      FROM (SELECT DISTINCT lat + 0.25e0 AS a FROM cells), (SELECT DISTINCT lat AS b FROM cells) GROUP BY 1) y ON y.lat = t.lat
+JOIN (SELECT a AS lon, arg_min(b, abs(a - b) - b / 1e6) AS nlon
+      FROM (SELECT DISTINCT lon - 0.375e0 AS a FROM cells), (SELECT DISTINCT lon AS b FROM cells) GROUP BY 1) x ON x.lon = t.lon
+JOIN clim m ON m.lat = nlat AND m.lon = nlon"""),
+    "clim_quality": sql(CLIM, """,
+jumps AS (SELECT max(step) AS jump FROM (SELECT lat, lon, abs(seas - lag(seas) OVER (PARTITION BY lat, lon ORDER BY doy)) AS step
+                                         FROM clim) GROUP BY lat, lon),
+f AS (SELECT count(*) AS n, count(seas) AS ns, count(thresh) AS nt, min(seas) AS s0, max(seas) AS s1, min(thresh) AS t0,
+             max(thresh) AS t1, count(*) FILTER (WHERE thresh < seas) AS below,
+             count(*) FILTER (WHERE seas IS NOT NULL AND thresh IS NOT NULL) AS valid, count(DISTINCT doy) AS n_doy,
+             (SELECT quantile_cont(jump, 0.99) FROM jumps) AS p99 FROM clim)
+SELECT "check", level, value FROM (
+  SELECT unnest([
+    {'check': 'required variables', 'level': 'ok', 'value': CAST(NULL AS DOUBLE)},
+    {'check': 'seas type', 'level': 'ok', 'value': NULL}, {'check': 'thresh type', 'level': 'ok', 'value': NULL},
+    {'check': 'required attributes', 'level': 'ok', 'value': 0}, {'check': 'schema version', 'level': 'ok', 'value': NULL},
+    {'check': 'year order', 'level': 'ok', 'value': 7}, {'check': 'year span', 'level': 'warn', 'value': 7},
+    {'check': 'created_utc', 'level': 'ok', 'value': NULL}, {'check': 'bbox', 'level': 'ok', 'value': NULL},
+    {'check': 'dayofyear length', 'level': CASE WHEN n_doy = 366 THEN 'ok' ELSE 'error' END, 'value': n_doy},
+    {'check': 'null share seas', 'level': CASE WHEN 100 * (n - ns) / n > 90 THEN 'error' WHEN 100 * (n - ns) / n > 30 THEN 'warn' ELSE 'ok' END,
+     'value': round(100e0 * (n - ns) / n, 2)},
+    {'check': 'seas range', 'level': CASE WHEN s0 IS NULL OR s0 < -20 OR s1 > 60 THEN 'error' WHEN s0 < -5 OR s1 > 40 THEN 'warn' ELSE 'ok' END,
+     'value': round(s1 - s0, 2)},
+    {'check': 'null share thresh', 'level': CASE WHEN 100 * (n - nt) / n > 90 THEN 'error' WHEN 100 * (n - nt) / n > 30 THEN 'warn' ELSE 'ok' END,
+     'value': round(100e0 * (n - nt) / n, 2)},
+    {'check': 'thresh range', 'level': CASE WHEN t0 IS NULL OR t0 < -20 OR t1 > 60 THEN 'error' WHEN t0 < -3 OR t1 > 45 THEN 'warn' ELSE 'ok' END,
+     'value': round(t1 - t0, 2)},
+    {'check': 'thresh >= seas', 'level': CASE WHEN valid = 0 THEN 'warn' WHEN 100e0 * below / valid > 25 THEN 'error'
+                                              WHEN 100e0 * below / valid > 5 THEN 'warn' ELSE 'ok' END,
+     'value': round(100e0 * below / nullif(valid, 0), 2)},
+    {'check': 'doy continuity p99', 'level': CASE WHEN p99 IS NULL THEN 'warn' WHEN p99 >= 1 THEN 'error' WHEN p99 >= 0.5 THEN 'warn' ELSE 'ok' END,
+     'value': round(p99, 3)}], recursive := true) FROM f)""").replace(")\n,\njumps", "),\njumps"),
+    "clim_light_check": sql(CLIM, """
+SELECT unnest([{'check': 'schema version', 'ok': TRUE}, {'check': 'required attributes', 'ok': TRUE},
+               {'check': 'dayofyear length', 'ok': count(DISTINCT doy) = 366},
+               {'check': 'seas null share', 'ok': count(seas) > count(*) * 0.5},
+               {'check': 'thresh null share', 'ok': count(thresh) > count(*) * 0.5}], recursive := true) FROM clim"""),
+    "anomaly_day": sql(ANOMALY, """
+SELECT dt, lat, lon, round(anomaly, 6) AS anomaly, round(least(1e0, greatest(0e0, CASE WHEN anomaly IS NOT NULL
+       THEN (anomaly + 5) / 10 END)) + CASE WHEN anomaly IS NULL THEN NULL ELSE 0 END, 6) AS colour FROM field"""),
+    "anomaly_csv": sql(ANOMALY, """
+SELECT printf('%.6f', lat) AS latitude, printf('%.6f', lon) AS longitude,
+       CASE WHEN anomaly IS NULL THEN '' ELSE printf('%.4f', anomaly) END AS "anomaly_degC" FROM field"""),
+    "derived_cube": sql(DERIVED, """
+SELECT dt, lat, lon, round(CAST(CAST(sst AS FLOAT) AS DOUBLE), 3) AS sst, round(CAST(CAST(seas AS FLOAT) AS DOUBLE), 3) AS climatology,
+       round(CAST(CAST(thresh AS FLOAT) AS DOUBLE), 3) AS threshold_90p, round(CAST(CAST(sst - seas AS FLOAT) AS DOUBLE), 3) AS anomaly,
+       flag AS mhw_flag, cat AS mhw_category FROM derived"""),
+    "derived_cube_counts": sql(DERIVED, """
+SELECT CAST(year(dt) AS INTEGER) AS year, flag AS mhw_flag, cat AS mhw_category, count(*) AS n FROM derived GROUP BY 1, 2, 3"""),
+    "regrid_bilinear": sql(CUBE, """,
+targets AS (SELECT lat + 0.25e0 AS lat, lon + 0.375e0 AS lon FROM cells),
+ya AS (SELECT a.lat AS y, max(b.lat) AS lo FROM (SELECT DISTINCT lat FROM targets) a JOIN (SELECT DISTINCT lat FROM cells) b ON b.lat < a.lat GROUP BY 1),
+yb AS (SELECT a.lat AS y, min(b.lat) AS hi FROM (SELECT DISTINCT lat FROM targets) a JOIN (SELECT DISTINCT lat FROM cells) b ON b.lat >= a.lat GROUP BY 1),
+xa AS (SELECT a.lon AS x, max(b.lon) AS lo FROM (SELECT DISTINCT lon FROM targets) a JOIN (SELECT DISTINCT lon FROM cells) b ON b.lon < a.lon GROUP BY 1),
+xb AS (SELECT a.lon AS x, min(b.lon) AS hi FROM (SELECT DISTINCT lon FROM targets) a JOIN (SELECT DISTINCT lon FROM cells) b ON b.lon >= a.lon GROUP BY 1),
+corners AS (
+  SELECT t.lat, t.lon, ya.lo AS y0, yb.hi AS y1, xa.lo AS x0, xb.hi AS x1,
+         (t.lat - ya.lo) / (yb.hi - ya.lo) AS v, (t.lon - xa.lo) / (xb.hi - xa.lo) AS u
+  FROM targets t LEFT JOIN ya ON ya.y = t.lat LEFT JOIN yb ON yb.y = t.lat LEFT JOIN xa ON xa.x = t.lon LEFT JOIN xb ON xb.x = t.lon
+),
+filled AS (
+  SELECT k.lat, k.lon, d.dt, (a.sst * (1 - v) * (1 - u) + b.sst * (1 - v) * u + c.sst * v * (1 - u) + e.sst * v * u) AS sst
+  FROM corners k CROSS JOIN days d
+  LEFT JOIN cube a ON a.dt = d.dt AND a.lat = y0 AND a.lon = x0 LEFT JOIN cube b ON b.dt = d.dt AND b.lat = y0 AND b.lon = x1
+  LEFT JOIN cube c ON c.dt = d.dt AND c.lat = y1 AND c.lon = x0 LEFT JOIN cube e ON e.dt = d.dt AND e.lat = y1 AND e.lon = x1
+)
+SELECT lat, lon, count(*) AS n, count(sst) AS known, round(avg(sst), 5) AS mean FROM filled GROUP BY 1, 2""").replace(")\n,\ntargets", "),\ntargets"),
+    "upsample_bilinear": sql(ANOMALY, """,
+ov AS (SELECT unnest(generate_series(0, CAST(n_lat * 4 - 1 AS BIGINT))) AS o FROM shape),
+oh AS (SELECT unnest(generate_series(0, CAST(n_lon * 4 - 1 AS BIGINT))) AS o FROM shape),
+rv AS (SELECT o, least(n_lat - 1e0, greatest(0e0, (o + 0.5e0) / 4 - 0.5e0)) AS s FROM ov, shape),
+rh AS (SELECT o, least(n_lon - 1e0, greatest(0e0, (o + 0.5e0) / 4 - 0.5e0)) AS s FROM oh, shape)
+SELECT CAST(rv.o AS INTEGER) AS row, CAST(rh.o AS INTEGER) AS col,
+       round(sum(coalesce(anomaly, 0e0) * (1 - abs(rv.s - ilat)) * (1 - abs(rh.s - ilon))), 5) AS value,
+       coalesce(bool_or(anomaly IS NULL) FILTER (WHERE ilat = rv.o // 4 AND ilon = rh.o // 4), TRUE) AS missing
+FROM rv, rh, field WHERE abs(rv.s - ilat) < 1 AND abs(rh.s - ilon) < 1 GROUP BY 1, 2""").replace(")\n,\nov", "),\nov"),
+    "mask_grow": sql(ANOMALY + MASK, "SELECT ilat, ilon FROM grown"),
+    "masked_anomaly": sql(ANOMALY + MASK, """
+SELECT ilat, ilon, round(anomaly, 6) AS anomaly FROM field f
+WHERE NOT EXISTS (SELECT 1 FROM grown g WHERE g.ilat = f.ilat AND g.ilon = f.ilon)"""),
+    "events_raw": sql(EVENTS, f"SELECT {EVENT_COLUMNS} FROM events"),
+    "events_self_baseline": sql(EVENTS, f"SELECT {EVENT_COLUMNS} FROM events"),
+    "events_window": sql(WINDOWED, f"SELECT {EVENT_COLUMNS} FROM events"),
+    "events_default_window": sql(CLIM + """,
+cut AS (SELECT * FROM cube WHERE dt >= (SELECT max(dt) - 30 FROM cube))""" + detection("cut"), f"SELECT {EVENT_COLUMNS} FROM events"),
+    "events_filtered": sql(EVENTS, f"""
+SELECT {EVENT_COLUMNS} FROM events WHERE date_end >= DATE '1998-05-01' AND date_start <= DATE '1999-04-30'
+  AND centroid_lon BETWEEN 4.75 AND 8.5 AND centroid_lat BETWEEN 34.75 AND 38.5 AND category >= 2"""),
+    "events_topk": sql(EVENTS, f"SELECT {EVENT_COLUMNS} FROM events ORDER BY intensity_max DESC, event_seq LIMIT 20"),
+    "events_ranked": sql(EVENTS, "SELECT event_id, intensity_max FROM events"),
+    "events_page": sql(EVENTS, """
+SELECT event_id, date_start, count(*) OVER () AS "numberMatched" FROM events
+WHERE centroid_lon BETWEEN 4.75 AND 10 AND centroid_lat BETWEEN 34.75 AND 40 ORDER BY event_seq LIMIT 50 OFFSET 100"""),
+    "event_lookup": sql(EVENTS, f"SELECT {EVENT_COLUMNS} FROM events WHERE event_id = 'mhw-000007'"),
+    "severe_count": sql(EVENTS, "SELECT count(*) FILTER (WHERE category >= 3) AS n_severe FROM events"),
+    "event_links": sql(LINKS, """
+SELECT tx, ty, ux, uy, count(DISTINCT day) AS n_days FROM (
+  SELECT a.tx, a.ty, b.tx AS ux, b.ty AS uy, a.date_start AS day
+  FROM tiled a JOIN tiled b ON a.date_start BETWEEN b.date_start AND b.date_end
+   AND sqrt((a.centroid_lon - b.centroid_lon) * (a.centroid_lon - b.centroid_lon)
+          + (a.centroid_lat - b.centroid_lat) * (a.centroid_lat - b.centroid_lat)) < 1.5e0
+  WHERE a.tx <> b.tx OR a.ty <> b.ty) GROUP BY 1, 2, 3, 4"""),
+    "event_clusters": sql(CLUSTERS, f"SELECT {CLUSTER_COLUMNS} FROM clusters"),
+    "cluster_members": sql(CLUSTERS, """
+SELECT m.event_id, c.event_id AS cluster_id FROM members m JOIN clusters c ON c.first_seq = m.first_seq"""),
+    "clusters_window": sql(WINDOWED + """,
+boxed AS (SELECT * FROM events WHERE centroid_lon BETWEEN 4.75 AND 10 AND centroid_lat BETWEEN 34.75 AND 40)"""
+                           + clustering("boxed"), f"SELECT {CLUSTER_COLUMNS} FROM clusters"),
+    "outline_edges": sql(SIDES, "SELECT * FROM sides"),
+    "outline_lengths": sql(SIDES, """,
+runs AS (
+  SELECT event_id, side, across, sign, count(*) AS n FROM (
+    SELECT *, pos - row_number() OVER (PARTITION BY event_id, side, across, sign ORDER BY pos) AS island
+    FROM (SELECT *, CASE WHEN side = 'h' THEN ilon ELSE ilat END AS pos, CASE WHEN side = 'h' THEN ilat ELSE ilon END AS across FROM sides))
+  GROUP BY event_id, side, across, sign, island)
+SELECT event_id, count(*) AS n_corners, CAST(sum(n) AS BIGINT) AS n_sides FROM runs GROUP BY 1""").replace(")\n,\nruns", "),\nruns"),
+    "cluster_polygons": sql(SIDES, """
+SELECT event_id, CAST(count(*) AS DOUBLE) AS n_cells FROM foot JOIN clusters USING (event_id) WHERE geom_type <> 'Point' GROUP BY 1"""),
+    "feature_lines_raw": sql(EVENTS, """
+SELECT event_id, 'Polygon' AS geom_type, strftime(date_start, '%Y-%m-%d') AS date_start, category, 5 AS n_points,
+       round(lon - h, 4) AS x, round(lat - h, 4) AS y FROM events, (SELECT min(step) / 2 AS h FROM cells)"""),
+    "bubbles": sql(CLUSTERS, "SELECT event_id, centroid_lon AS x, centroid_lat AS y FROM clusters"),
+    "agg_year": bucket("CAST(year(date_start) AS VARCHAR)"),
+    "agg_category": bucket("CAST(category AS VARCHAR)", ", any_value(category_name) AS category_name"),
+    "agg_country": bucket(COUNTRY),
+    "agg_mpa": bucket("CASE WHEN mpa_area_km2 > 0 THEN 'events_touching_mpa' ELSE 'events_not_touching_mpa' END"),
+    "category_histogram": sql(EVENTS, """
+SELECT CAST(k AS INTEGER) AS category, ['I Moderate', 'II Strong', 'III Severe', 'IV Extreme', 'V Super-Extreme'][k] AS category_name,
+       count(event_id) AS n
+FROM (SELECT unnest(generate_series(1, 5)) AS k) LEFT JOIN events ON category = k GROUP BY k"""),
+    "event_density": sql(EVENTS, "SELECT lat, lon, count(*) AS n_events FROM events GROUP BY 1, 2"),
+    "intensity_histogram": sql(EVENTS, """
+SELECT category, CAST(least(18, floor(intensity_max / (top / 19))) + 1 AS INTEGER) AS bin,
+       round(least(18, floor(intensity_max / (top / 19))) * top / 19, 6) AS bin_from, count(*) AS n
+FROM events, (SELECT max(intensity_max) + 0.5e0 AS top FROM events) WHERE intensity_max >= 0 GROUP BY 1, 2, 3"""),
+    "impact_points": sql(IMPACT, "SELECT event_id, kind, count(*) AS n FROM spot_hits GROUP BY 1, 2"),
+    "impact_area": sql(IMPACT, "SELECT event_id, kind, feature_id, round(km2, 4) AS km2 FROM rect_hits"),
+    "impact_events": sql(IMPACT, """
+SELECT c.event_id, c.n_pixels, n_aquaculture_sites, mpa_area_km2, seagrass_area_km2
+FROM clusters c JOIN impact i ON i.event_id = c.event_id"""),
+    "impact_raw": sql(RAW_IMPACT, "SELECT event_id, n_aquaculture_sites, mpa_area_km2, seagrass_area_km2 FROM impact"),
+    "impact_totals": sql(IMPACT, f"SELECT count(*) AS n_events, {KIND_SUMS} FROM impact"),
+    "impact_by_category": sql(IMPACT, f"SELECT category_name, count(*) AS n_events, {KIND_SUMS} FROM impact GROUP BY 1"),
+    "impact_details": sql(IMPACT, "SELECT event_id, code AS site_code FROM rect_hits WHERE kind = 'mpa'"),
+    "cover_area": sql(CELLS + PLACES, """
+SELECT kind, feature_id, ilat, ilon, round(dx * dy, 9) AS area, round(dx * dy * mid, 9) AS moment, holds_centre
+FROM (SELECT kind, feature_id, r AS ilat, c AS ilon,
+             greatest(0e0, least(x0 + w, lon + s) - greatest(x0, lon - s)) AS dx,
+             greatest(0e0, least(y0 + h, lat + s) - greatest(y0, lat - s)) AS dy,
+             (least(y0 + h, lat + s) + greatest(y0, lat - s)) / 2 AS mid,
+             lon BETWEEN x0 AND x0 + w AND lat BETWEEN y0 AND y0 + h AS holds_centre
+      FROM rects, (SELECT CAST(rr AS INTEGER) AS r, CAST(cc AS INTEGER) AS c, 34e0 + rr * step AS lat, 4e0 + cc * step AS lon, step / 2 AS s
+                   FROM (SELECT DISTINCT r AS rr FROM cells), (SELECT DISTINCT c AS cc FROM cells), (SELECT min(step) AS step FROM cells))
+      WHERE kind = 'mpa' AND lon - s <= x0 + w AND x0 <= lon + s AND lat - s <= y0 + h AND y0 <= lat + s)"""),
+    "overlay_bbox": sql(CELLS + PLACES, """
+SELECT kind, feature_id FROM (SELECT kind, feature_id, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM rects
+                              UNION ALL SELECT kind, feature_id, x, y, x, y FROM spots)
+WHERE x1 >= 4.75 AND x0 <= 7 AND y1 >= 34.75 AND y0 <= 37"""),
+    "site_attributes": """
+SELECT 'mpa-' || n_nationkey AS feature_id, upper(n_name) AS site_code, n_name AS site_name,
+       CAST(n_regionkey AS VARCHAR) AS member_state, 'B' AS site_type, 1250.5e0 AS area_ha FROM nation""",
+    "farm_exposure": sql(CLUSTERS + PLACES + FOOTPRINT, """,
+reached AS (
+  SELECT DISTINCT f.id, c.event_id, c.date_start
+  FROM farms f, covered v JOIN clusters c ON c.event_id = v.event_id, (SELECT min(step) / 2 AS s FROM cells)
+  WHERE CASE WHEN v.is_point
+             THEN sqrt((f.lon - clon) * (f.lon - clon) + (f.lat - clat) * (f.lat - clat)) < 0.07e0
+             ELSE f.lon BETWEEN clon - s AND clon + s AND f.lat BETWEEN clat - s AND clat + s END)
+SELECT f.id, f.lon, f.lat, CAST(count(event_id) AS INTEGER) AS n_events,
+       coalesce(string_agg(event_id, ',' ORDER BY date_start, event_id), '') AS event_ids
+FROM farms f LEFT JOIN reached r ON r.id = f.id GROUP BY 1, 2, 3""").replace(")\n,\nreached", "),\nreached"),
+    "site_events": site(EVENTS, ""),
+    "site_report": site(WINDOWED, ""),
+    "point_series": sql(CLIM, """
+SELECT c.dt, round(c.lat, 4) AS lat, round(c.lon, 4) AS lon, round(sst, 3) AS sst, round(seas, 3) AS seas, round(thresh, 3) AS thresh
+FROM cube c JOIN clim m ON m.lat = c.lat AND m.lon = c.lon AND m.doy = dayofyear(c.dt)
+WHERE c.dt BETWEEN DATE '1998-05-01' AND DATE '1999-04-30'
+  AND c.lat = (SELECT lat FROM cells ORDER BY abs(lat - 34.4e0) LIMIT 1) AND c.lon = (SELECT lon FROM cells ORDER BY abs(lon - 5.1e0) LIMIT 1)"""),
+    "event_series": sql(EVENTS, """
+SELECT c.dt, round(c.lat, 4) AS lat, round(c.lon, 4) AS lon, round(c.sst, 3) AS sst, round(seas, 3) AS seas, round(thresh, 3) AS thresh
+FROM cube c JOIN clim m ON m.lat = c.lat AND m.lon = c.lon AND m.doy = dayofyear(c.dt), events e
+WHERE e.event_id = 'mhw-000007' AND c.dt BETWEEN e.date_start - 30 AND e.date_end + 30 AND c.lat = 34e0 AND c.lon = 4e0"""),
+    "compound_cells": sql(COMPOUND, "SELECT * FROM per_cell"),
+    "compound_totals": sql(COMPOUND, """
+SELECT CAST(sum(hot_days) AS BIGINT) AS hot_pixel_days, CAST(sum(fresh_days) AS BIGINT) AS fresh_pixel_days,
+       CAST(sum(compound_days) AS BIGINT) AS compound_pixel_days,
+       coalesce(round(100e0 * sum(compound_days) / nullif(sum(hot_days), 0), 2), 0e0) AS compound_share_of_heat,
+       count(*) FILTER (WHERE compound_days > 0) AS compound_affected_pixels, max(compound_days) AS longest_run_days FROM per_cell"""),
+    "compound_classes": sql(COMPOUND, """
+SELECT lo, hi, count(compound_days) AS count FROM (VALUES (1, 5), (6, 10), (11, 20), (21, 40)) AS b(lo, hi)
+LEFT JOIN per_cell ON compound_days BETWEEN lo AND hi GROUP BY 1, 2"""),
+    "ellipse_class_shares": shares(["low", "medium", "high"], rate=True),
+    "vulnerability_score": shares(
+        ["rock", "sand", "mud", "biogenic"],
+        score=", round(share_rock * 0.7e0 + share_sand * 0.3e0 + share_mud * 0.1e0 + share_biogenic * 1e0, 3) AS score"),
+    "basin_shares": sql(CELLS + PLACES, "SELECT " + ", ".join(
+        f"round(count(*) FILTER (WHERE class = '{c}') / CAST(count(*) AS DOUBLE), 3) AS share_{c}"
+        for c in ("rock", "sand", "mud", "biogenic")) + " FROM class_cells"),
+    "rate_range": sql(CELLS + PLACES, """
+SELECT round(min(rate), 2) AS rate_min, round(max(rate), 2) AS rate_max, round(quantile_cont(rate, 0.5), 2) AS rate_median FROM class_cells"""),
+    "coast_buffer": sql(BUFFER, "SELECT * FROM buffered"),
+    "coast_summary": sql(BUFFER, """
+SELECT count(*) AS n_events, round(avg(eroding_fraction), 3) AS mean_eroding_fraction,
+       round(max(eroding_fraction), 3) AS max_eroding_fraction, count(*) FILTER (WHERE eroding_fraction >= 0.3) AS events_above_30pct
+FROM buffered"""),
+    "coast_totals": sql(CELLS + PLACES, """
+SELECT round(sum(length_km), 1) AS coast_total_km, round(sum(length_km) FILTER (WHERE class = 'eroding'), 1) AS coast_eroding_km,
+       round(100e0 * sum(length_km) FILTER (WHERE class = 'eroding') / sum(length_km), 1) AS coast_eroding_pct FROM coast"""),
+    "stream_closed_events": sql(EVENTS, """
+SELECT lat, lon, date_start, date_end, date_peak, duration_days, intensity_max, intensity_mean, intensity_cumulative, category, category_name
+FROM events WHERE date_end <= (SELECT max(dt) - 30 FROM cube)"""),
+}

@@ -145,3 +145,121 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clusters(spark: SparkSession, sf_dir: str) -> Clusters:
     return _once(spark, sf_dir, "clusters", lambda: cluster_events(events(spark, sf_dir)))
+
+
+# Places are laid out on fractions of a degree that doubles hold exactly, inside
+# the region of the grid; many lie on borders and centres of cells.
+
+def _region(spark: SparkSession, sf_dir: str):
+    """Cells per side, at most 48, as a scalar."""
+    n = table(spark, sf_dir, "supplier").agg((F.max("s_suppkey") + 1).alias("n")).scalar()
+    return F.least(F.lit(48), F.ceil(F.sqrt(n.cast("double")))).cast("long")
+
+
+def _x(key, factor: int, per_cell: int, m):
+    return F.lit(LON0 - STEP / 2) + (key * factor) % (m * per_cell) * F.lit(STEP / per_cell)
+
+
+def _y(key, factor: int, shift: int, per_cell: int, m):
+    return F.lit(LAT0 - STEP / 2) + (key * factor + shift) % (m * per_cell) * F.lit(STEP / per_cell)
+
+
+def _point(x, y):
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _rectangles(df: DataFrame, kind: str, width: float, height: float, props) -> DataFrame:
+    x0, y0 = F.col("x0"), F.col("y0")
+    x1, y1 = x0 + width, y0 + height
+    ring = F.array(_point(x0, y0), _point(x1, y0), _point(x1, y1), _point(x0, y1), _point(x0, y0))
+    return df.select(
+        F.lit(kind).alias("kind"), "feature_id", props.alias("props"), F.lit("Polygon").alias("geom_type"),
+        F.array(F.array(ring)).alias("parts"),
+        x0.alias("xmin"), y0.alias("ymin"), x1.alias("xmax"), y1.alias("ymax"),
+    )
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Point sites: one per supplier."""
+    m, k = _region(spark, sf_dir), F.col("s_suppkey")
+    x, y = _x(k, 37, 4, m), _y(k, 53, 1, 4, m)
+    return table(spark, sf_dir, "supplier").select(
+        F.lit("aquaculture").alias("kind"), F.concat(F.lit("site-"), k.cast("string")).alias("feature_id"),
+        F.create_map(F.lit("name"), F.col("s_name")).alias("props"), F.lit("Point").alias("geom_type"),
+        F.array(F.array(F.array(_point(x, y)))).alias("parts"),
+        x.alias("xmin"), y.alias("ymin"), x.alias("xmax"), y.alias("ymax"),
+    )
+
+
+def protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Protected rectangles: one per nation."""
+    m, k = _region(spark, sf_dir), F.col("n_nationkey").cast("long")
+    rows = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("mpa-"), k.cast("string")).alias("feature_id"), "n_name", "n_regionkey",
+        _x(k, 7, 4, m).alias("x0"), _y(k, 11, 3, 4, m).alias("y0"),
+    )
+    props = F.create_map(
+        F.lit("SITECODE"), F.upper("n_name"), F.lit("SITENAME"), F.col("n_name"),
+        F.lit("MS"), F.col("n_regionkey").cast("string"), F.lit("SITETYPE"), F.lit("B"),
+        F.lit("Area_ha"), F.lit("1250.5"),
+    )
+    return _rectangles(rows, "mpa", 0.65625, 0.46875, props)
+
+
+def habitats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Habitat rectangles: one per part."""
+    m, k = _region(spark, sf_dir), F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("bed-"), k.cast("string")).alias("feature_id"), "p_name",
+        _x(k, 29, 12, m).alias("x0"), _y(k, 31, 5, 12, m).alias("y0"),
+    )
+    return _rectangles(rows, "seagrass", 0.25, 0.1875, F.create_map(F.lit("name"), F.col("p_name")))
+
+
+KINDS = ["aquaculture", "mpa", "seagrass"]
+
+
+def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites(spark, sf_dir).unionByName(protected(spark, sf_dir)).unionByName(habitats(spark, sf_dir))
+
+
+def farms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, k = _region(spark, sf_dir), F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("farm-"), k.cast("string")).alias("id"),
+        _x(k, 31, 48, m).alias("lon"), _y(k, 47, 7, 48, m).alias("lat"),
+    )
+
+
+SEABED = ["rock", "sand", "mud", "biogenic"]
+
+
+def class_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, k = _region(spark, sf_dir), F.col("p_partkey")
+    seabed = F.element_at(F.array(*[F.lit(c) for c in SEABED]), (F.col("p_size") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        _x(k, 13, 8, m).alias("lon"), _y(k, 17, 2, 8, m).alias("lat"),
+        seabed.alias("class"), (F.col("p_retailprice") / 1000).alias("rate"),
+    )
+
+
+def coast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, k = _region(spark, sf_dir), F.col("o_orderkey")
+    state = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", "eroding")
+        .when(F.col("o_orderpriority") == "2-HIGH", "accreting").otherwise("stable")
+    )
+    return table(spark, sf_dir, "orders").select(
+        k.alias("seg_id"), _x(k, 19, 48, m).alias("lon"), _y(k, 23, 5, 48, m).alias("lat"),
+        state.alias("class"), (F.col("o_totalprice") / 100000).alias("length_km"),
+    )
+
+
+def slab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A landed slab as a provider would send it: other names, depth levels, kelvin."""
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "k")
+    return lines.join(cells(spark, sf_dir), "k").select(
+        F.col("l_shipdate").alias("time"), (F.col("l_linenumber") * 0.5).alias("depth"),
+        F.col("lat").alias("nav_lat"), F.col("lon").alias("nav_lon"),
+        (F.col("l_quantity") + 273.15).alias("thetao"), F.lit(" Kelvin ").alias("units"),
+    )
