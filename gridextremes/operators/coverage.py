@@ -216,13 +216,18 @@ def point_groups(overlay: DataFrame, grid: Grid) -> DataFrame:
     return per_feature.groupBy("kind", "cells", "centres").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cover_cells(overlay: DataFrame, grid: Grid) -> DataFrame:
-    """Touched cells of all features, points and polygons alike."""
+def point_cover(overlay: DataFrame, grid: Grid) -> DataFrame:
+    """Cells each point feature touches, in the layout of :func:`polygon_cover`."""
     around = F.explode(cells_around(F.col("x"), F.col("y"), grid)).alias("c")
-    points = overlay_points(overlay).select(*FEATURE, "x", "y", around).select(
+    touched = overlay_points(overlay).select(*FEATURE, "x", "y", around).select(
         *FEATURE, F.col("c.ilat").alias("ilat"), F.col("c.ilon").alias("ilon"),
-        F.lit(0.0).alias("area"), F.lit(0.0).alias("moment"),
-        ((grid.lon(F.col("c.ilon")) == F.col("x")) & (grid.lat(F.col("c.ilat")) == F.col("y")))
-        .alias("holds_centre"),
+        ((grid.lon(F.col("c.ilon")) == F.col("x")) & (grid.lat(F.col("c.ilat")) == F.col("y"))).alias("at"),
     )
-    return polygon_cover(overlay, grid).unionByName(points)
+    return touched.groupBy(*FEATURE, "ilat", "ilon").agg(F.max("at").alias("holds_centre")).select(
+        *FEATURE, "ilat", "ilon", F.lit(0.0).alias("area"), F.lit(0.0).alias("moment"), "holds_centre"
+    )
+
+
+def cover_cells(overlay: DataFrame, grid: Grid) -> DataFrame:
+    """Touched cells of all features, points and polygons alike."""
+    return polygon_cover(overlay, grid).unionByName(point_cover(overlay, grid))

@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import degrees2_to_km2, impact_sentence, site_code
-from .coverage import FEATURE, POINT_TYPES, cover_cells, point_groups, polygon_cover
+from ..session import materialise
+from .coverage import FEATURE, point_cover, point_groups, polygon_cover
 from .grid import Grid
 from .skew import hot_join
 
 EMPTY_IMPACT = {"n_aquaculture_sites": 0, "mpa_area_km2": 0.0, "seagrass_area_km2": 0.0}
 
 
+@dataclass(frozen=True)
+class OverlayIndex:
+    """Where the features of an overlay lie on a grid, for any number of event sets.
+
+    ``polygons`` and ``points`` hold the touched cells per feature, ``groups``
+    the points that touch the same cells as one row.
+    """
+
+    overlay: DataFrame
+    polygons: DataFrame
+    points: DataFrame
+    groups: DataFrame
+
+
+def index_overlay(overlay: DataFrame, grid: Grid) -> OverlayIndex:
+    """Lay an overlay on the grid once, as written tables."""
+    return OverlayIndex(
+        overlay,
+        materialise(polygon_cover(overlay, grid), "polygon-cover"),
+        materialise(point_cover(overlay, grid), "point-cover"),
+        materialise(point_groups(overlay, grid), "point-groups"),
+    )
+
+
 def _footprint_kinds(events: DataFrame, footprint: DataFrame) -> DataFrame:
     """Footprint rows with whether the event counts as its bare centre point."""
     kinds = events.select("event_id", (F.col("geom_type") == "Point").alias("is_point"))
@@ -23,13 +50,12 @@ def _meets(is_point, holds_centre):
     return ~is_point | holds_centre
 
 
-def event_hits(events: DataFrame, footprint: DataFrame, overlay: DataFrame, grid: Grid) -> DataFrame:
+def event_hits(events: DataFrame, footprint: DataFrame, cover: DataFrame) -> DataFrame:
     """Every (event, feature) that meet, with the common area in square degrees.
 
     A cluster of one cell is a point: it meets a polygon that holds the cell
     centre and a site exactly on it, and has no area.
     """
-    cover = cover_cells(overlay, grid)
     joined = hot_join(cover, _footprint_kinds(events, footprint), ["ilat", "ilon"])
     return joined.where(_meets(F.col("is_point"), F.col("holds_centre"))).groupBy(
         "event_id", *FEATURE
@@ -39,17 +65,16 @@ def event_hits(events: DataFrame, footprint: DataFrame, overlay: DataFrame, grid
     )
 
 
-def overlap_area(events: DataFrame, footprint: DataFrame, overlay: DataFrame, grid: Grid) -> DataFrame:
+def overlap_area(events: DataFrame, footprint: DataFrame, index: OverlayIndex) -> DataFrame:
     """Common area per (event, polygon) in km², at the latitude of that area."""
-    polygons = overlay.where(~F.col("geom_type").isin(POINT_TYPES))
-    return event_hits(events, footprint, polygons, grid).select(
+    return event_hits(events, footprint, index.polygons).select(
         "event_id", *FEATURE, degrees2_to_km2(F.col("area"), F.col("moment")).alias("km2")
     )
 
 
-def point_hits(events: DataFrame, footprint: DataFrame, overlay: DataFrame, grid: Grid) -> DataFrame:
+def point_hits(events: DataFrame, footprint: DataFrame, index: OverlayIndex) -> DataFrame:
     """Number of point features met, per event and kind."""
-    groups = point_groups(overlay, grid).select("*", F.explode("cells").alias("c")).select(
+    groups = index.groups.select("*", F.explode("cells").alias("c")).select(
         "kind", "cells", "centres", "n",
         F.col("c.ilat").alias("ilat"), F.col("c.ilon").alias("ilon"),
         F.array_contains("centres", F.col("c")).alias("holds_centre"),
@@ -61,14 +86,12 @@ def point_hits(events: DataFrame, footprint: DataFrame, overlay: DataFrame, grid
     return once.groupBy("event_id", "kind").agg(F.sum("n").alias("n"))
 
 
-def attach_impact(events: DataFrame, footprint: DataFrame, overlay: DataFrame, grid: Grid) -> DataFrame:
+def attach_impact(events: DataFrame, footprint: DataFrame, index: OverlayIndex) -> DataFrame:
     """Add the ``impact`` struct: sites met, protected and habitat area, a sentence."""
-    sites = point_hits(
-        events, footprint, overlay.where(F.col("kind") == "aquaculture"), grid
-    ).select("event_id", F.col("n").cast("int").alias("sites"))
-    areas = overlap_area(
-        events, footprint, overlay.where(F.col("kind").isin("mpa", "seagrass")), grid
-    ).groupBy("event_id").agg(
+    sites = point_hits(events, footprint, index).where(F.col("kind") == "aquaculture").select(
+        "event_id", F.col("n").cast("int").alias("sites")
+    )
+    areas = overlap_area(events, footprint, index).groupBy("event_id").agg(
         F.sum(F.when(F.col("kind") == "mpa", F.col("km2"))).alias("mpa"),
         F.sum(F.when(F.col("kind") == "seagrass", F.col("km2"))).alias("seagrass"),
     )
@@ -87,17 +110,13 @@ def attach_impact(events: DataFrame, footprint: DataFrame, overlay: DataFrame, g
 
 
 def affected_counts(
-    events: DataFrame, footprint: DataFrame, overlay: DataFrame, grid: Grid, kinds: list[str],
+    events: DataFrame, footprint: DataFrame, index: OverlayIndex, kinds: list[str],
 ) -> DataFrame:
     """Features met per event, one column per kind, zeros included."""
-    polygons = overlay.where(~F.col("geom_type").isin(POINT_TYPES))
-    cover = polygon_cover(polygons, grid)
-    by_cell = hot_join(cover, _footprint_kinds(events, footprint), ["ilat", "ilon"])
-    met = by_cell.where(_meets(F.col("is_point"), F.col("holds_centre")))
-    areas = met.select("event_id", *FEATURE).distinct().groupBy("event_id", "kind").agg(
+    areas = event_hits(events, footprint, index.polygons).groupBy("event_id", "kind").agg(
         F.count(F.lit(1)).alias("n")
     )
-    per_kind = point_hits(events, footprint, overlay, grid).unionByName(areas)
+    per_kind = point_hits(events, footprint, index).unionByName(areas)
     wide = per_kind.groupBy("event_id").pivot("kind", kinds).agg(F.sum("n"))
     return events.select("event_id", "category", "category_name", "date_start", "date_end").join(
         wide, "event_id", "left"
@@ -105,19 +124,19 @@ def affected_counts(
 
 
 def impact_summary(
-    events: DataFrame, footprint: DataFrame, overlay: DataFrame, grid: Grid, kinds: list[str],
+    events: DataFrame, footprint: DataFrame, index: OverlayIndex, kinds: list[str],
 ) -> tuple[DataFrame, DataFrame]:
     """Totals over all events, and the same per category."""
-    counts = affected_counts(events, footprint, overlay, grid, kinds)
+    counts = affected_counts(events, footprint, index, kinds)
     sums = [F.sum(k).cast("long").alias(k) for k in kinds]
     totals = counts.agg(F.count(F.lit(1)).alias("n_events"), *sums)
     return totals, counts.groupBy("category_name").agg(F.count(F.lit(1)).alias("n_events"), *sums)
 
 
-def hit_details(events: DataFrame, footprint: DataFrame, overlay: DataFrame, grid: Grid) -> DataFrame:
+def hit_details(events: DataFrame, footprint: DataFrame, index: OverlayIndex) -> DataFrame:
     """Every met feature with its properties, one row per (event, feature)."""
-    hits = event_hits(events, footprint, overlay, grid).select("event_id", *FEATURE)
-    return hits.join(overlay.select(*FEATURE, "props"), FEATURE)
+    hits = event_hits(events, footprint, index.polygons.unionByName(index.points))
+    return hits.select("event_id", *FEATURE).join(index.overlay.select(*FEATURE, "props"), FEATURE)
 
 
 def find_site(overlay: DataFrame, code: str) -> DataFrame:

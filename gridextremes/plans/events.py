@@ -13,7 +13,7 @@ from ..operators.detect import detect_events, footprint_of_cells
 from ..operators.exposure import events_at_site, farm_exposure, padded_site_box
 from ..operators.filters import by_id, cells_in_bbox, default_window, features_in_bbox, filter_events, page
 from ..operators.grid import Grid, grid_of, nearest_on_axis
-from ..operators.impact import attach_impact, find_site, impact_summary
+from ..operators.impact import OverlayIndex, attach_impact, find_site, impact_summary
 from ..operators.rollup import aggregate_events
 
 
@@ -23,7 +23,7 @@ def _between(cube: DataFrame, start: date, end: date) -> DataFrame:
 
 def find_events(
     cube: DataFrame, clim: DataFrame, start: date | None = None, end: date | None = None,
-    bbox=None, min_category: int = 1, raw: bool = False, overlay: DataFrame | None = None,
+    bbox=None, min_category: int = 1, raw: bool = False, index: OverlayIndex | None = None,
     grid: Grid | None = None, max_cells: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Events of a window and their footprint; clusters unless ``raw``.
@@ -45,23 +45,23 @@ def find_events(
     else:
         clusters = cluster_events(found)
         events, footprint = clusters.events, clusters.footprint
-    if overlay is not None:
-        events = attach_impact(events, footprint, overlay, grid)
+    if index is not None:
+        events = attach_impact(events, footprint, index)
     return events if raw else by_severity(events), footprint
 
 
-def detect_report(cube: DataFrame, clim: DataFrame, overlay: DataFrame, kinds: list[str],
+def detect_report(cube: DataFrame, clim: DataFrame, index: OverlayIndex, kinds: list[str],
                   start: date, end: date, bbox=None, min_category: int = 1,
                   grid: Grid | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Unclustered events with the impact totals and the totals per category."""
     grid = grid or grid_of(cube)
     events, footprint = find_events(cube, clim, start, end, bbox, min_category, raw=True, grid=grid)
-    return (events, *impact_summary(events, footprint, overlay, grid, kinds))
+    return (events, *impact_summary(events, footprint, index, kinds))
 
 
-def aggregate(cube: DataFrame, clim: DataFrame, overlay: DataFrame, by: str, start: date | None = None,
+def aggregate(cube: DataFrame, clim: DataFrame, index: OverlayIndex, by: str, start: date | None = None,
               end: date | None = None, min_category: int = 1, grid: Grid | None = None) -> DataFrame:
-    events, _ = find_events(cube, clim, start, end, None, min_category, overlay=overlay, grid=grid)
+    events, _ = find_events(cube, clim, start, end, None, min_category, index=index, grid=grid)
     return aggregate_events(events, by)
 
 

@@ -29,14 +29,17 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the scratch folder, under the running application."""
+    return f"{scratch_root(spark)}/gridextremes/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the scratch folder and read it back.
 
     The copy cuts the lineage, survives the loss of executors and gives the
     optimizer real sizes.
     """
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{scratch_root(spark)}/gridextremes/{app}/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -598,12 +598,12 @@ boxed AS (SELECT * FROM events WHERE centroid_lon BETWEEN 4.75 AND 10 AND centro
                            + clustering("boxed"), f"SELECT {CLUSTER_COLUMNS} FROM clusters"),
     "outline_edges": sql(SIDES, "SELECT * FROM sides"),
     "outline_lengths": sql(SIDES, """,
-runs AS (
+straight AS (
   SELECT event_id, side, across, sign, count(*) AS n FROM (
     SELECT *, pos - row_number() OVER (PARTITION BY event_id, side, across, sign ORDER BY pos) AS island
     FROM (SELECT *, CASE WHEN side = 'h' THEN ilon ELSE ilat END AS pos, CASE WHEN side = 'h' THEN ilat ELSE ilon END AS across FROM sides))
   GROUP BY event_id, side, across, sign, island)
-SELECT event_id, count(*) AS n_corners, CAST(sum(n) AS BIGINT) AS n_sides FROM runs GROUP BY 1""").replace(")\n,\nruns", "),\nruns"),
+SELECT event_id, count(*) AS n_corners, CAST(sum(n) AS BIGINT) AS n_sides FROM straight GROUP BY 1""").replace(")\n,\nstraight", "),\nstraight"),
     "cluster_polygons": sql(SIDES, """
 SELECT event_id, CAST(count(*) AS DOUBLE) AS n_cells FROM foot JOIN clusters USING (event_id) WHERE geom_type <> 'Point' GROUP BY 1"""),
     "feature_lines_raw": sql(EVENTS, """
@@ -631,7 +631,11 @@ FROM clusters c JOIN impact i ON i.event_id = c.event_id"""),
     "impact_raw": sql(RAW_IMPACT, "SELECT event_id, n_aquaculture_sites, mpa_area_km2, seagrass_area_km2 FROM impact"),
     "impact_totals": sql(IMPACT, f"SELECT count(*) AS n_events, {KIND_SUMS} FROM impact"),
     "impact_by_category": sql(IMPACT, f"SELECT category_name, count(*) AS n_events, {KIND_SUMS} FROM impact GROUP BY 1"),
-    "impact_details": sql(IMPACT, "SELECT event_id, code AS site_code FROM rect_hits WHERE kind = 'mpa'"),
+    "impact_details": sql(IMPACT, """
+SELECT event_id, kind, count(*) AS n, max(name) AS last_name FROM (
+  SELECT event_id, kind, feature_id, coalesce(code, p_name) AS name FROM rect_hits LEFT JOIN part ON feature_id = 'bed-' || p_partkey
+  UNION ALL
+  SELECT event_id, kind, feature_id, s_name FROM spot_hits JOIN supplier ON feature_id = 'site-' || s_suppkey) GROUP BY 1, 2"""),
     "cover_area": sql(CELLS + PLACES, """
 SELECT kind, feature_id, ilat, ilon, round(dx * dy, 9) AS area, round(dx * dy * mid, 9) AS moment, holds_centre
 FROM (SELECT kind, feature_id, r AS ilat, c AS ilon,
@@ -639,9 +643,10 @@ FROM (SELECT kind, feature_id, r AS ilat, c AS ilon,
              greatest(0e0, least(y0 + h, lat + s) - greatest(y0, lat - s)) AS dy,
              (least(y0 + h, lat + s) + greatest(y0, lat - s)) / 2 AS mid,
              lon BETWEEN x0 AND x0 + w AND lat BETWEEN y0 AND y0 + h AS holds_centre
-      FROM rects, (SELECT CAST(rr AS INTEGER) AS r, CAST(cc AS INTEGER) AS c, 34e0 + rr * step AS lat, 4e0 + cc * step AS lon, step / 2 AS s
+      FROM (SELECT kind, feature_id, x0, y0, w, h FROM rects UNION ALL SELECT kind, feature_id, x, y, 0e0, 0e0 FROM spots),
+           (SELECT CAST(rr AS INTEGER) AS r, CAST(cc AS INTEGER) AS c, 34e0 + rr * step AS lat, 4e0 + cc * step AS lon, step / 2 AS s
                    FROM (SELECT DISTINCT r AS rr FROM cells), (SELECT DISTINCT c AS cc FROM cells), (SELECT min(step) AS step FROM cells))
-      WHERE kind = 'mpa' AND lon - s <= x0 + w AND x0 <= lon + s AND lat - s <= y0 + h AND y0 <= lat + s)"""),
+      WHERE lon - s <= x0 + w AND x0 <= lon + s AND lat - s <= y0 + h AND y0 <= lat + s)"""),
     "overlay_bbox": sql(CELLS + PLACES, """
 SELECT kind, feature_id FROM (SELECT kind, feature_id, x0, y0, x0 + w AS x1, y0 + h AS y1 FROM rects
                               UNION ALL SELECT kind, feature_id, x, y, x, y FROM spots)

@@ -16,7 +16,7 @@ from gridextremes.operators import (
 from gridextremes.operators.cluster import TILE_SHARE, active_days, by_severity, tile_links
 from gridextremes.operators.detect import detect_self_baseline, footprint_of_cells
 from gridextremes.plans import events as plans
-from gridextremes.session import materialise, scratch_root
+from gridextremes.session import materialise, new_path
 from gridextremes.sources import cube as cubes
 from gridextremes.sources import overlays, sinks
 from gridextremes.streaming.detection import stream_detect
@@ -63,8 +63,8 @@ def cube_year_coverage(spark, sf):
 
 @query
 def cube_scan(spark, sf):
-    path = f"{scratch_root(spark)}/gridextremes/{spark.sparkContext.applicationId}/cube-by-year-{abs(hash(sf))}"
-    t._once(spark, sf, "stored cube", lambda: sinks.write_cube(t.cube(spark, sf), path) or path)
+    path = new_path(spark, "cube-by-year")
+    sinks.write_cube(t.cube(spark, sf), path)
     found = cubes.read_cube(spark, path, *WINDOW, bbox=(4.0, 34.0, 8.5, 40.0))
     return found.select("dt", "lat", "lon", F.round("sst", 6).alias("sst"))
 
@@ -413,7 +413,7 @@ def bubbles(spark, sf):
 def _impacted(spark, sf) -> DataFrame:
     c = t.clusters(spark, sf)
     return t._once(spark, sf, "impacted", lambda: materialise(
-        impact.attach_impact(c.events, c.footprint, t.overlay(spark, sf), t.grid(spark, sf)), "impacted"))
+        impact.attach_impact(c.events, c.footprint, t.index(spark, sf)), "impacted"))
 
 
 def _buckets(by: str) -> Query:
@@ -444,13 +444,13 @@ def intensity_histogram(spark, sf):
 @query
 def impact_points(spark, sf):
     c = t.clusters(spark, sf)
-    return impact.point_hits(c.events, c.footprint, t.sites(spark, sf), t.grid(spark, sf))
+    return impact.point_hits(c.events, c.footprint, t.index(spark, sf))
 
 
 @query
 def impact_area(spark, sf):
     c = t.clusters(spark, sf)
-    areas = impact.overlap_area(c.events, c.footprint, t.overlay(spark, sf), t.grid(spark, sf))
+    areas = impact.overlap_area(c.events, c.footprint, t.index(spark, sf))
     return rounded(areas, 4, "km2")
 
 
@@ -464,7 +464,7 @@ def impact_events(spark, sf):
 def impact_raw(spark, sf):
     raw = t.events(spark, sf)
     found = impact.attach_impact(
-        raw.drop("ilat", "ilon"), footprint_of_cells(raw), t.overlay(spark, sf), t.grid(spark, sf))
+        raw.drop("ilat", "ilon"), footprint_of_cells(raw), t.index(spark, sf))
     return sinks.flat_events(found).select(
         "event_id", "n_aquaculture_sites", "mpa_area_km2", "seagrass_area_km2")
 
@@ -472,25 +472,26 @@ def impact_raw(spark, sf):
 @query
 def impact_totals(spark, sf):
     c = t.clusters(spark, sf)
-    return impact.impact_summary(c.events, c.footprint, t.overlay(spark, sf), t.grid(spark, sf), t.KINDS)[0]
+    return impact.impact_summary(c.events, c.footprint, t.index(spark, sf), t.KINDS)[0]
 
 
 @query
 def impact_by_category(spark, sf):
     c = t.clusters(spark, sf)
-    return impact.impact_summary(c.events, c.footprint, t.overlay(spark, sf), t.grid(spark, sf), t.KINDS)[1]
+    return impact.impact_summary(c.events, c.footprint, t.index(spark, sf), t.KINDS)[1]
 
 
 @query
 def impact_details(spark, sf):
     c = t.clusters(spark, sf)
-    rows = impact.hit_details(c.events, c.footprint, t.protected(spark, sf), t.grid(spark, sf))
-    return rows.select("event_id", F.col("props")["SITECODE"].alias("site_code"))
+    rows = impact.hit_details(c.events, c.footprint, t.index(spark, sf))
+    name = F.coalesce(F.col("props")["SITECODE"], F.col("props")["name"])
+    return rows.groupBy("event_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max(name).alias("last_name"))
 
 
 @query
 def cover_area(spark, sf):
-    cover = coverage.cover_cells(t.protected(spark, sf), t.grid(spark, sf))
+    cover = coverage.cover_cells(t.overlay(spark, sf), t.grid(spark, sf))
     return rounded(cover, 9, "area", "moment")
 
 
@@ -617,8 +618,7 @@ def stream_closed_events(spark, sf):
     source = t.cube(spark, sf)
     schema = source.schema
     folder = source.inputFiles()[0].rsplit("/", 1)[0]
-    out = f"{scratch_root(spark)}/gridextremes/{spark.sparkContext.applicationId}/stream-{DAY:%j}"
-    root = f"{out}-{spark.sparkContext.startTime}-{abs(hash(sf))}"
+    root = new_path(spark, "stream")
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -15,6 +15,7 @@ from gridextremes.operators.climatology import pooled_climatology
 from gridextremes.operators.cluster import Clusters, cluster_events
 from gridextremes.operators.detect import detect_events
 from gridextremes.operators.grid import Grid, grid_of
+from gridextremes.operators.impact import OverlayIndex, index_overlay
 from gridextremes.session import materialise
 
 LAT0, LON0, STEP, MAX_SPAN = 34.0, 4.0, 0.75, 36.0
@@ -223,6 +224,12 @@ def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites(spark, sf_dir).unionByName(protected(spark, sf_dir)).unionByName(habitats(spark, sf_dir))
 
 
+def index(spark: SparkSession, sf_dir: str) -> OverlayIndex:
+    return _once(
+        spark, sf_dir, "index", lambda: index_overlay(overlay(spark, sf_dir), grid(spark, sf_dir))
+    )
+
+
 def farms(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, k = _region(spark, sf_dir), F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
