@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rings import assemble_polygons
 from .grid import Grid
 
-POLYGONS = "array<array<array<struct<x:double,y:double>>>>"
+CORNERS = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))))
+POLYGONS = T.ArrayType(T.ArrayType(T.ArrayType(T.StructType([
+    T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())
+]))))
 
 
 def outline_edges(footprint: DataFrame) -> DataFrame:
@@ -59,25 +63,25 @@ def outline_segments(edges: DataFrame) -> DataFrame:
     )
 
 
-def _assemble(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    segments = list(zip(*(pdf[c].tolist() for c in ("x0", "y0", "x1", "y1"))))
-    polygons = [
-        [[{"x": x, "y": y} for x, y in ring + ring[:1]] for ring in rings]
-        for rings in assemble_polygons(segments)
-    ]
-    return pd.DataFrame({"event_id": [key[0]], "corners": [polygons]})
+@F.arrow_udf(POLYGONS)
+def _assemble(segments: pa.Array) -> pa.Array:
+    return pa.array([
+        [[[{"x": x, "y": y} for x, y in ring + ring[:1]] for ring in rings]
+         for rings in assemble_polygons([tuple(s.values()) for s in event])]
+        for event in segments.to_pylist()
+    ], CORNERS)
 
 
 def footprint_outline(footprint: DataFrame, grid: Grid, decimals: int = 4) -> DataFrame:
     """``event_id, polygons``: the union of the cells of every event.
 
-    Only corner points get to the assembly, one group per event. A geometry is
+    Only corner points get to the assembly, one list per event. A geometry is
     one value in every output format, and an outline has no more corners than
     the grid.
     """
-    corners = outline_segments(outline_edges(footprint)).groupBy("event_id").applyInPandas(
-        _assemble, "event_id string, corners array<array<array<struct<x:int,y:int>>>>"
-    )
+    corners = outline_segments(outline_edges(footprint)).groupBy("event_id").agg(
+        F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("segments")
+    ).select("event_id", _assemble("segments").alias("corners"))
 
     def place(p):
         return F.struct(

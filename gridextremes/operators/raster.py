@@ -21,19 +21,20 @@ def anomaly(cube: DataFrame, clim: DataFrame, day: date) -> DataFrame:
     return rows.select("dt", "lat", "lon", (F.col("sst") - F.col("seas")).alias("anomaly"))
 
 
-def derived_cube(cube: DataFrame, pctile: float = 0.9) -> DataFrame:
+def derived_cube(cube: DataFrame, pctile: float = 0.9, decimals: int = 6) -> DataFrame:
     """Six variables per cell and day: value, plain day-of-year mean and
     percentile, anomaly, flag and category.
 
     Mean and percentile are taken over a window per (cell, day of year), as long
-    as there are years: one shuffle, nothing to join back.
+    as there are years: one shuffle, nothing to join back. Both are rounded, so
+    that the order of summation never moves a value across a category border.
     """
     peers = W.partitionBy("lat", "lon", "doy")
     rows = cube.select(
         "dt", "lat", "lon", day_of_year(F.col("dt")).alias("doy"), "sst"
     ).select(
-        "dt", "lat", "lon", "sst", F.avg("sst").over(peers).alias("mean"),
-        F.percentile("sst", F.lit(pctile)).over(peers).alias("high"),
+        "dt", "lat", "lon", "sst", F.round(F.avg("sst").over(peers), decimals).alias("mean"),
+        F.round(F.percentile("sst", F.lit(pctile)).over(peers), decimals).alias("high"),
     )
     sst, mean, high = F.col("sst"), F.col("mean"), F.col("high")
     return rows.select(
@@ -89,7 +90,11 @@ def regrid_bilinear(slab: DataFrame, target: DataFrame, value: str = "sst") -> D
     cells = target.select("lat", "lon").distinct()
     by_lat = axis_brackets(slab, cells, "lat").withColumnsRenamed({"to": "to_lat", "w": "w_lat"})
     by_lon = axis_brackets(slab, cells, "lon").withColumnsRenamed({"to": "to_lon", "w": "w_lon"})
-    sent = slab.select("dt", "lat", "lon", F.col(value).alias("v")).join(by_lat, "lat").join(by_lon, "lon")
+    wanted = cells.withColumnsRenamed({"lat": "to_lat", "lon": "to_lon"})
+    sent = (
+        slab.select("dt", "lat", "lon", F.col(value).alias("v")).join(by_lat, "lat").join(by_lon, "lon")
+        .join(wanted, ["to_lat", "to_lon"], "left_semi")
+    )
     summed = sent.groupBy("dt", F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon")).agg(
         F.sum(F.col("v") * F.col("w_lat") * F.col("w_lon")).alias("total"), F.count("v").alias("corners")
     )

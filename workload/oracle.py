@@ -278,7 +278,7 @@ surface AS (
 
 DERIVED = CUBE + """,
 plain AS (
-  SELECT lat, lon, doy, avg(sst) AS seas, quantile_cont(sst, 0.9) AS thresh FROM cube GROUP BY 1, 2, 3
+  SELECT lat, lon, doy, round(avg(sst), 6) AS seas, round(quantile_cont(sst, 0.9), 6) AS thresh FROM cube GROUP BY 1, 2, 3
 ),
 derived AS (
   SELECT c.dt, c.lat, c.lon, c.sst, seas, thresh,
