@@ -145,11 +145,12 @@ def polygon_cover(overlay: DataFrame, grid: Grid) -> DataFrame:
         F.coalesce(F.sum("width").over(earlier), F.lit(0.0)).alias("from_above"),
         F.coalesce(F.sum("cross").over(earlier), F.lit(0.0)).alias("cross_above"),
         "width", "cross",
-        F.coalesce(F.lead("ilat").over(down) + 1, F.col("ilat")).alias("down_to"),
-    )
-    cells = summed.select(
-        "*", F.explode(F.sequence(F.col("row"), F.least("row", "down_to"), F.lit(-1))).alias("ilat")
+        F.coalesce(F.lead("ilat").over(down) + 1, F.lit(0)).alias("next_row"),
     )
+    # Rows without an edge are filled where the polygon goes on below.
+    goes_on = F.col("from_above") + F.col("width") > grid.lon_step / 2
+    down_to = F.when(goes_on, F.least("row", "next_row")).otherwise(F.col("row"))
+    cells = summed.select("*", F.explode(F.sequence(F.col("row"), down_to, F.lit(-1))).alias("ilat"))
     edge = F.col("ilat") == F.col("row")
     cy0, cy1 = grid.south(F.col("ilat")), grid.south(F.col("ilat") + 1)
     full = F.when(edge, F.col("from_above")).otherwise(F.col("from_above") + F.col("width"))
@@ -160,8 +161,7 @@ def polygon_cover(overlay: DataFrame, grid: Grid) -> DataFrame:
     holds = F.when(
         edge, F.col("on_border") | (F.abs(F.col("cross_above") + F.col("above")) > 0.5)
     ).otherwise(F.abs(F.col("cross_above") + F.col("cross")) > 0.5)
-    inside = edge | (full > grid.lon_step / 2)
-    return cells.where(inside & (F.col("ilat") < grid.n_lat)).select(
+    return cells.where(F.col("ilat") < grid.n_lat).select(
         *FEATURE, "ilat", "ilon",
         F.when(area > tiny, area).otherwise(0.0).alias("area"),
         F.when(area > tiny, moment).otherwise(0.0).alias("moment"),

@@ -46,6 +46,8 @@ def exact_percentile(df: DataFrame, column: str, p: float, out: str) -> DataFram
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
     slack = 2.0 / ACCURACY
+    # Below this number of rows the bracket could be narrower than one rank.
+    few = F.col("n") <= 4 / slack
     head = values.agg(
         F.count(F.lit(1)).alias("n"),
         F.min("v").alias("least"), F.max("v").alias("most"),
@@ -53,8 +55,8 @@ def exact_percentile(df: DataFrame, column: str, p: float, out: str) -> DataFram
         F.percentile_approx("v", F.lit(min(1.0, p + slack)), ACCURACY).alias("hi"),
     ).select(
         "n",
-        F.when(F.lit(p <= slack), F.col("least")).otherwise(F.col("lo")).alias("lo"),
-        F.when(F.lit(p >= 1 - slack), F.col("most")).otherwise(F.col("hi")).alias("hi"),
+        F.when(F.lit(p <= slack) | few, F.col("least")).otherwise(F.col("lo")).alias("lo"),
+        F.when(F.lit(p >= 1 - slack) | few, F.col("most")).otherwise(F.col("hi")).alias("hi"),
     )
     lo, hi, n = (head.select(c).scalar() for c in ("lo", "hi", "n"))
     kept = (
