@@ -21,33 +21,28 @@ def mark_events(
     ``series`` has ``cell, lat, lon, dt, sst, seas, thresh``. Runs are contiguous by
     row; runs shorter than ``min_duration`` rows are dropped before the rest is
     joined over gaps of at most ``max_gap`` days, whose rows then belong to the
-    event too. Every window is per cell in date order, or per run of a cell, so
-    all of them run on one shuffle by cell.
+    event too. All windows are per cell in date order, so one shuffle by cell
+    and one sort serve them; apart from the running count their frames are a
+    few rows long.
     """
     by_day = W.partitionBy("cell").orderBy("dt")
-    breaks = F.sum(F.when(F.col("hot"), 0).otherwise(1)).over(
-        by_day.rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    # Ordering by (run, dt) is ordering by dt, and shares one sort with the runs.
-    run = W.partitionBy("cell", "run").orderBy("dt").rowsBetween(
-        W.unboundedPreceding, W.unboundedFollowing
-    )
-    in_order = W.partitionBy("cell").orderBy("run", "dt")
+    # A row is in a long enough run if it is among min_duration hot rows in a row.
+    full = F.count_if("hot").over(by_day.rowsBetween(1 - min_duration, 0)) == min_duration
     marked = (
         series.withColumn("hot", exceeds(F.col("sst"), F.col("thresh")))
-        .withColumn("run", breaks)
-        .withColumn("kept", F.col("hot") & (F.count_if("hot").over(run) >= min_duration))
+        .withColumn("ends", full)
+        .withColumn("kept", F.max("ends").over(by_day.rowsBetween(0, min_duration - 1)))
     )
     kept_day = F.when(F.col("kept"), F.col("dt"))
     if join_gaps:
-        # A kept day near enough lies within max_gap + 1 rows: frames stay short.
-        before = F.max(kept_day).over(in_order.rowsBetween(-(max_gap + 1), -1))
-        after = F.min(kept_day).over(in_order.rowsBetween(1, max_gap + 1))
+        # A kept day near enough lies within max_gap + 1 rows.
+        before = F.max(kept_day).over(by_day.rowsBetween(-(max_gap + 1), -1))
+        after = F.min(kept_day).over(by_day.rowsBetween(1, max_gap + 1))
     else:
         before = after = F.lit(None).cast("date")
     near = marked.select(
         "*", before.alias("before"), after.alias("after"),
-        F.coalesce(F.lag("kept").over(in_order), F.lit(False)).alias("kept_before"),
+        F.coalesce(F.lag("kept").over(by_day), F.lit(False)).alias("kept_before"),
     )
     joins_on = F.col("kept_before") | F.coalesce(
         F.datediff("dt", "before") - 1 <= max_gap, F.lit(False)
@@ -55,7 +50,7 @@ def mark_events(
     bridged = F.coalesce(F.datediff("after", "before") - 1 <= max_gap, F.lit(False))
     starts = F.when(F.col("kept") & ~joins_on, 1).otherwise(0)
     numbered = near.withColumn(
-        "event_no", F.sum(starts).over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow))
+        "event_no", F.sum(starts).over(by_day.rowsBetween(W.unboundedPreceding, W.currentRow))
     )
     return numbered.where(F.col("kept") | bridged).select(
         *series.columns, F.col("event_no").cast("int").alias("event_no")
