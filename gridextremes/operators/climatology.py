@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -183,19 +185,32 @@ def pack_climatology(clim: DataFrame) -> DataFrame:
     )
 
 
-def attach_baseline(cube: DataFrame, clim: DataFrame, keep_cell: bool = False) -> DataFrame:
-    """Add ``seas`` and ``thresh`` of the row's cell and day of year.
+def attach_by_day(cube: DataFrame, clim: DataFrame) -> DataFrame:
+    """Add ``seas`` and ``thresh`` by a join on cell and day of year, for few days or cells."""
+    days = clim.select(cell_key(), "doy", "seas", "thresh")
+    keyed = cube.withColumns({"cell": cell_key(), "doy": F.least(F.lit(DAYS), day_of_year(F.col("dt")))})
+    return keyed.join(days, ["cell", "doy"], "left").select(*cube.columns, "seas", "thresh")
+
+
+def days_of_window(clim: DataFrame, start: date, end: date) -> DataFrame:
+    """Only the days of the year a window has, where it is shorter than a year."""
+    length = (end - start).days + 1
+    if length >= DAYS:
+        return clim
+    days = {(start + timedelta(days=i)).timetuple().tm_yday for i in range(length)}
+    return clim.where(F.col("doy").isin(sorted(days)))
+
+
+def attach_baseline(cube: DataFrame, clim: DataFrame) -> DataFrame:
+    """Add ``cell``, ``seas`` and ``thresh`` of the row's cell and day of year.
 
-    ``keep_cell`` keeps the key and asks for a join that leaves the rows
-    partitioned by it, for callers that go on with windows per cell.
+    The join leaves the rows partitioned by the cell, for callers that go on
+    with windows per cell.
     """
-    packed = pack_climatology(clim)
-    if keep_cell:
-        packed = packed.hint("shuffle_hash")
+    packed = pack_climatology(clim).hint("shuffle_hash")
     doy = F.least(F.lit(DAYS), day_of_year(F.col("dt")))
-    columns = (["cell"] if keep_cell else []) + cube.columns
     return cube.withColumn("cell", cell_key()).join(packed, "cell", "left").select(
-        *columns,
+        "cell", *cube.columns,
         F.element_at("seas_by_doy", doy).alias("seas"),
         F.element_at("thresh_by_doy", doy).alias("thresh"),
     )

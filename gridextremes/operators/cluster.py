@@ -12,6 +12,7 @@ from ..functions.scalars import category_name, cluster_id_text
 from ..session import materialise
 from .components import connected_components
 from .numbering import number_by_key
+from .skew import hot_join
 
 # Tiles are a little narrower than distance / sqrt(2), so that two points of a
 # tile are always near, also after rounding; partners lie at most 2 tiles away.
@@ -138,7 +139,11 @@ def cluster_members(events: DataFrame, max_distance_deg: float = 1.5) -> DataFra
     b = chains.select(F.col("tx").alias("ux"), F.col("ty").alias("uy"), "day", F.col("node").alias("b"))
     edges = links.join(a, ["tx", "ty", "day"]).join(b, ["ux", "uy", "day"]).select("a", "b").distinct()
     parts = connected_components(edges, chains.select("node").distinct())
-    starts = chains.withColumnRenamed("day", "date_start")
+    # Chains take the component first, at most one row per tile and day, so that
+    # no join has a key with all events of a large cluster.
+    starts = chains.join(parts, "node").select(
+        "tx", "ty", F.col("day").alias("date_start"), "component"
+    )
     return (
         events.select(
             "event_seq", "date_start",
@@ -146,7 +151,6 @@ def cluster_members(events: DataFrame, max_distance_deg: float = 1.5) -> DataFra
             _tile(F.col("centroid_lat"), side).alias("ty"),
         )
         .join(starts, ["tx", "ty", "date_start"])
-        .join(parts, "node")
         .select("event_seq", "component")
     )
 
@@ -192,13 +196,15 @@ def cluster_events(events: DataFrame, max_distance_deg: float = 1.5) -> Clusters
         F.when(F.col("n_pixels") == 1, "Point").otherwise("Polygon").alias("geom_type"),
     )
     clusters = materialise(clusters, "clusters")
-    named = members.join(
-        clusters.select("component", F.col("event_id").alias("cluster_id")), "component"
+    names = clusters.select(
+        "component", F.col("event_id").alias("cluster_id"), (F.col("geom_type") == "Point").alias("is_point")
     )
+    named = hot_join(members, names, ["component"])
+    footprint = named.select(F.col("cluster_id").alias("event_id"), "ilat", "ilon", "is_point").distinct()
     return Clusters(
         events=clusters.drop("component"),
         members=named.select("event_id", "event_seq", "cluster_id"),
-        footprint=named.select(F.col("cluster_id").alias("event_id"), "ilat", "ilon").distinct(),
+        footprint=materialise(footprint, "footprint"),
     )
 
 

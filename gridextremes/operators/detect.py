@@ -89,7 +89,7 @@ def cell_events(
     join_gaps: bool = True,
 ) -> DataFrame:
     """Unnumbered events per cell (lazy, one shuffle by cell)."""
-    series = attach_baseline(cube.select("lat", "lon", "dt", "sst"), clim, keep_cell=True)
+    series = attach_baseline(cube.select("lat", "lon", "dt", "sst"), clim)
     return event_metrics(mark_events(series, min_duration, max_gap, join_gaps))
 
 
@@ -139,4 +139,4 @@ def detect_self_baseline(cube: DataFrame, first_year: int, last_year: int, **opt
 
 def footprint_of_cells(events: DataFrame) -> DataFrame:
     """FOOTPRINT rows of unclustered events: their own cell."""
-    return events.select("event_id", "ilat", "ilon")
+    return events.select("event_id", "ilat", "ilon", (F.col("geom_type") == "Point").alias("is_point"))

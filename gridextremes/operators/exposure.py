@@ -27,11 +27,11 @@ def events_by_cell(events: DataFrame, footprint: DataFrame) -> DataFrame:
     """All events of a cell as one array; the calendar bounds its length."""
     row = F.struct(
         F.col("date_start").alias("order_date"), F.col("event_id").alias("order_id"),
-        F.struct(*EXPOSED_COLUMNS).alias("event"), (F.col("geom_type") == "Point").alias("is_point"),
+        F.struct(*EXPOSED_COLUMNS).alias("event"), "is_point",
+    )
+    return hot_join(footprint, events, ["event_id"]).groupBy("ilat", "ilon").agg(
+        F.collect_list(row).alias("found")
     )
-    return footprint.join(events, "event_id").groupBy(
-        footprint["ilat"], footprint["ilon"]
-    ).agg(F.collect_list(row).alias("found"))
 
 
 def farm_exposure(events: DataFrame, footprint: DataFrame, farms: DataFrame, grid: Grid) -> DataFrame:
@@ -79,9 +79,9 @@ def padded_site_box(site: DataFrame, pad: float = SITE_PADDING_DEG) -> tuple[flo
 def events_at_site(clusters: Clusters, site: DataFrame, grid: Grid) -> DataFrame:
     """Clusters whose footprint meets the site."""
     met = (
-        clusters.footprint.join(clusters.events.select("event_id", "geom_type"), "event_id")
+        clusters.footprint
         .join(cover_cells(site, grid).select("ilat", "ilon", "holds_centre"), ["ilat", "ilon"])
-        .where((F.col("geom_type") != "Point") | F.col("holds_centre"))
+        .where(~F.col("is_point") | F.col("holds_centre"))
     )
     return clusters.events.join(met.select("event_id"), "event_id", "left_semi")
 

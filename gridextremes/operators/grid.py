@@ -129,6 +129,7 @@ def align_nearest(clim: DataFrame, cells: DataFrame) -> DataFrame:
     cells = cells.select("lat", "lon").distinct()
     lat_map = nearest_on_axis(cells, clim, "lat")
     lon_map = nearest_on_axis(cells, clim, "lon")
-    mapped = cells.join(lat_map, "lat").join(lon_map, "lon")
+    # One row per coordinate of an axis: bounded by the grid, so broadcast.
+    mapped = cells.join(F.broadcast(lat_map), "lat").join(F.broadcast(lon_map), "lon")
     source = clim.withColumnsRenamed({"lat": "near_lat", "lon": "near_lon"})
     return mapped.join(source, ["near_lat", "near_lon"]).drop("near_lat", "near_lon")

@@ -40,23 +40,17 @@ def index_overlay(overlay: DataFrame, grid: Grid) -> OverlayIndex:
     )
 
 
-def _footprint_kinds(events: DataFrame, footprint: DataFrame) -> DataFrame:
-    """Footprint rows with whether the event counts as its bare centre point."""
-    kinds = events.select("event_id", (F.col("geom_type") == "Point").alias("is_point"))
-    return footprint.join(kinds, "event_id")
-
-
 def _meets(is_point, holds_centre):
     return ~is_point | holds_centre
 
 
-def event_hits(events: DataFrame, footprint: DataFrame, cover: DataFrame) -> DataFrame:
+def event_hits(footprint: DataFrame, cover: DataFrame) -> DataFrame:
     """Every (event, feature) that meet, with the common area in square degrees.
 
     A cluster of one cell is a point: it meets a polygon that holds the cell
     centre and a site exactly on it, and has no area.
     """
-    joined = hot_join(cover, _footprint_kinds(events, footprint), ["ilat", "ilon"])
+    joined = hot_join(cover, footprint, ["ilat", "ilon"])
     return joined.where(_meets(F.col("is_point"), F.col("holds_centre"))).groupBy(
         "event_id", *FEATURE
     ).agg(
@@ -65,21 +59,21 @@ def event_hits(events: DataFrame, footprint: DataFrame, cover: DataFrame) -> Dat
     )
 
 
-def overlap_area(events: DataFrame, footprint: DataFrame, index: OverlayIndex) -> DataFrame:
+def overlap_area(footprint: DataFrame, index: OverlayIndex) -> DataFrame:
     """Common area per (event, polygon) in km², at the latitude of that area."""
-    return event_hits(events, footprint, index.polygons).select(
+    return event_hits(footprint, index.polygons).select(
         "event_id", *FEATURE, degrees2_to_km2(F.col("area"), F.col("moment")).alias("km2")
     )
 
 
-def point_hits(events: DataFrame, footprint: DataFrame, index: OverlayIndex) -> DataFrame:
+def point_hits(footprint: DataFrame, index: OverlayIndex) -> DataFrame:
     """Number of point features met, per event and kind."""
     groups = index.groups.select("*", F.explode("cells").alias("c")).select(
         "kind", "cells", "centres", "n",
         F.col("c.ilat").alias("ilat"), F.col("c.ilon").alias("ilon"),
         F.array_contains("centres", F.col("c")).alias("holds_centre"),
     )
-    joined = groups.join(_footprint_kinds(events, footprint), ["ilat", "ilon"])
+    joined = groups.join(footprint, ["ilat", "ilon"])
     met = joined.where(_meets(F.col("is_point"), F.col("holds_centre")))
     # A group that lies on a border meets an event through several cells.
     once = met.select("event_id", "kind", "cells", "centres", "n").distinct()
@@ -88,10 +82,10 @@ def point_hits(events: DataFrame, footprint: DataFrame, index: OverlayIndex) ->
 
 def attach_impact(events: DataFrame, footprint: DataFrame, index: OverlayIndex) -> DataFrame:
     """Add the ``impact`` struct: sites met, protected and habitat area, a sentence."""
-    sites = point_hits(events, footprint, index).where(F.col("kind") == "aquaculture").select(
+    sites = point_hits(footprint, index).where(F.col("kind") == "aquaculture").select(
         "event_id", F.col("n").cast("int").alias("sites")
     )
-    areas = overlap_area(events, footprint, index).groupBy("event_id").agg(
+    areas = overlap_area(footprint, index).groupBy("event_id").agg(
         F.sum(F.when(F.col("kind") == "mpa", F.col("km2"))).alias("mpa"),
         F.sum(F.when(F.col("kind") == "seagrass", F.col("km2"))).alias("seagrass"),
     )
@@ -113,10 +107,10 @@ def affected_counts(
     events: DataFrame, footprint: DataFrame, index: OverlayIndex, kinds: list[str],
 ) -> DataFrame:
     """Features met per event, one column per kind, zeros included."""
-    areas = event_hits(events, footprint, index.polygons).groupBy("event_id", "kind").agg(
+    areas = event_hits(footprint, index.polygons).groupBy("event_id", "kind").agg(
         F.count(F.lit(1)).alias("n")
     )
-    per_kind = point_hits(events, footprint, index).unionByName(areas)
+    per_kind = point_hits(footprint, index).unionByName(areas)
     wide = per_kind.groupBy("event_id").pivot("kind", kinds).agg(F.sum("n"))
     return events.select("event_id", "category", "category_name", "date_start", "date_end").join(
         wide, "event_id", "left"
@@ -133,9 +127,9 @@ def impact_summary(
     return totals, counts.groupBy("category_name").agg(F.count(F.lit(1)).alias("n_events"), *sums)
 
 
-def hit_details(events: DataFrame, footprint: DataFrame, index: OverlayIndex) -> DataFrame:
+def hit_details(footprint: DataFrame, index: OverlayIndex) -> DataFrame:
     """Every met feature with its properties, one row per (event, feature)."""
-    hits = event_hits(events, footprint, index.polygons.unionByName(index.points))
+    hits = event_hits(footprint, index.polygons.unionByName(index.points))
     return hits.select("event_id", *FEATURE).join(index.overlay.select(*FEATURE, "props"), FEATURE)
 
 

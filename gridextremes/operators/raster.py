@@ -9,15 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import grid_category, grid_flag
-from .climatology import attach_baseline, day_of_year
+from .climatology import attach_by_day, day_of_year
 from .filters import on_day
+from .grid import cell_key
 
 UPSAMPLING = 4
 
 
 def anomaly(cube: DataFrame, clim: DataFrame, day: date) -> DataFrame:
     """``sst`` minus the seasonal mean, per cell of one day."""
-    rows = attach_baseline(on_day(cube, day).select("dt", "lat", "lon", "sst"), clim)
+    that_day = clim.where(F.col("doy") == F.dayofyear(F.lit(day).cast("date")))
+    rows = attach_by_day(on_day(cube, day).select("dt", "lat", "lon", "sst"), that_day)
     return rows.select("dt", "lat", "lon", (F.col("sst") - F.col("seas")).alias("anomaly"))
 
 
@@ -90,12 +92,16 @@ def regrid_bilinear(slab: DataFrame, target: DataFrame, value: str = "sst") -> D
     cells = target.select("lat", "lon").distinct()
     by_lat = axis_brackets(slab, cells, "lat").withColumnsRenamed({"to": "to_lat", "w": "w_lat"})
     by_lon = axis_brackets(slab, cells, "lon").withColumnsRenamed({"to": "to_lon", "w": "w_lon"})
-    wanted = cells.withColumnsRenamed({"lat": "to_lat", "lon": "to_lon"})
+    # The brackets have two rows per coordinate of an axis, so they are broadcast.
+    # The wanted cells come in by the integer key, which also serves the grouping.
     sent = (
-        slab.select("dt", "lat", "lon", F.col(value).alias("v")).join(by_lat, "lat").join(by_lon, "lon")
-        .join(wanted, ["to_lat", "to_lon"], "left_semi")
+        slab.select("dt", "lat", "lon", F.col(value).alias("v"))
+        .join(F.broadcast(by_lat), "lat").join(F.broadcast(by_lon), "lon")
+        .select("dt", F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"), "v", "w_lat", "w_lon")
+        .withColumn("cell", cell_key())
+        .join(cells.select(cell_key()), "cell", "left_semi")
     )
-    summed = sent.groupBy("dt", F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon")).agg(
+    summed = sent.groupBy("cell", "lat", "lon", "dt").agg(
         F.sum(F.col("v") * F.col("w_lat") * F.col("w_lon")).alias("total"), F.count("v").alias("corners")
     )
     return summed.select("dt", "lat", "lon", F.when(F.col("corners") == 4, F.col("total")).alias(value))

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.climatology import attach_baseline
+from ..operators.climatology import attach_by_day, days_of_window
 from ..operators.cluster import by_severity, cluster_events
 from ..operators.detect import detect_events, footprint_of_cells
 from ..operators.exposure import events_at_site, farm_exposure, padded_site_box
@@ -38,7 +38,7 @@ def find_events(
     days = _between(cube, start, end)
     if bbox is not None and not raw and max_cells is None:
         days = cells_in_bbox(days, bbox)
-    found = detect_events(days, clim, grid=grid, max_cells=max_cells)
+    found = detect_events(days, days_of_window(clim, start, end), grid=grid, max_cells=max_cells)
     found = filter_events(found, start, end, bbox, min_category)
     if raw:
         events, footprint = found.drop("ilat", "ilon"), footprint_of_cells(found)
@@ -79,7 +79,7 @@ def site_report(cube: DataFrame, clim: DataFrame, overlay: DataFrame, code: str,
     site = find_site(overlay, code)
     start, end = default_window(cube, start, end)
     days = cells_in_bbox(_between(cube, start, end), padded_site_box(site))
-    clusters = cluster_events(detect_events(days, clim, grid=grid))
+    clusters = cluster_events(detect_events(days, days_of_window(clim, start, end), grid=grid))
     return by_severity(events_at_site(clusters, site, grid))
 
 
@@ -101,7 +101,7 @@ def point_series(cube: DataFrame, clim: DataFrame, lon: float, lat: float, start
         (F.col("lat") == near_lat) & (F.col("lon") == near_lon) & F.col("dt").between(first, last)
     )
     here = clim.where((F.col("lat") == near_lat) & (F.col("lon") == near_lon))
-    rows = attach_baseline(cell.select("dt", "lat", "lon", "sst"), here)
+    rows = attach_by_day(cell.select("dt", "lat", "lon", "sst"), here)
     return rows.select(
         F.col("dt"), F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"),
         *[F.round(c, 3).alias(c) for c in ("sst", "seas", "thresh")],

@@ -41,7 +41,8 @@ BOX = T.StructType([
 ])
 
 # Footprints are not an array column of the event: a cluster may cover most of
-# the grid, so its cells stay rows of FOOTPRINT, keyed by event_id.
+# the grid, so its cells stay rows of FOOTPRINT, keyed by event_id. ``is_point``
+# marks clusters of one event, which count as the centre of their cell.
 EVENT = T.StructType([
     T.StructField("event_id", T.StringType()),
     T.StructField("event_seq", T.LongType()),
@@ -65,6 +66,7 @@ FOOTPRINT = T.StructType([
     T.StructField("event_id", T.StringType()),
     T.StructField("ilat", T.IntegerType()),
     T.StructField("ilon", T.IntegerType()),
+    T.StructField("is_point", T.BooleanType()),
 ])
 
 POINT = T.StructType([

@@ -111,8 +111,8 @@ def _onto(cube: DataFrame, target: DataFrame, method: str) -> DataFrame:
     if method == "bilinear":
         return regrid_bilinear(cube, target)
     cells = target.select("lat", "lon").distinct()
-    by_cell = cells.join(nearest_on_axis(cells, cube, "lat"), "lat").join(
-        nearest_on_axis(cells, cube, "lon"), "lon"
+    by_cell = cells.join(F.broadcast(nearest_on_axis(cells, cube, "lat")), "lat").join(
+        F.broadcast(nearest_on_axis(cells, cube, "lon")), "lon"
     )
     return cube.withColumnsRenamed({"lat": "near_lat", "lon": "near_lon"}).join(
         by_cell, ["near_lat", "near_lon"]

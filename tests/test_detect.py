@@ -129,6 +129,6 @@ def test_self_baseline_is_cut_to_the_series(spark):
 
 
 def test_events_of_a_cell_keep_their_distance(spark):
-    series = attach_baseline(cube_of(spark, {CELL: spike(60, (5, 9), (12, 16), (20, 26))}), flat_clim(spark, [CELL]), keep_cell=True)
+    series = attach_baseline(cube_of(spark, {CELL: spike(60, (5, 9), (12, 16), (20, 26))}), flat_clim(spark, [CELL]))
     rows = mark_events(series).groupBy("event_no").agg(F.min("dt").alias("a"), F.max("dt").alias("b"), F.count("*").alias("n")).orderBy("event_no").collect()
     assert all(r["n"] >= 5 for r in rows) and all((y["a"] - x["b"]).days > 3 for x, y in zip(rows, rows[1:]))

@@ -58,7 +58,7 @@ def test_single_cell_cluster_is_a_point_but_raw_event_a_box(spark):
     assert raw["n_aquaculture_sites"] == 2 and raw["mpa_area_km2"] == pytest.approx(km2(0.75, 0.75, 40.125), abs=0.01)
     totals, by_category = impact_summary(c.events, c.footprint, index, ["aquaculture", "mpa", "seagrass"])
     assert tuple(totals.first()) == (1, 1, 1, 0) and by_category.count() == 1
-    met = {(r["kind"], r["feature_id"]) for r in hit_details(c.events, c.footprint, index).collect()}
+    met = {(r["kind"], r["feature_id"]) for r in hit_details(c.footprint, index).collect()}
     assert met == {("aquaculture", "f0"), ("mpa", "f0")}
 
 

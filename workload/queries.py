@@ -444,13 +444,13 @@ def intensity_histogram(spark, sf):
 @query
 def impact_points(spark, sf):
     c = t.clusters(spark, sf)
-    return impact.point_hits(c.events, c.footprint, t.index(spark, sf))
+    return impact.point_hits(c.footprint, t.index(spark, sf))
 
 
 @query
 def impact_area(spark, sf):
     c = t.clusters(spark, sf)
-    areas = impact.overlap_area(c.events, c.footprint, t.index(spark, sf))
+    areas = impact.overlap_area(c.footprint, t.index(spark, sf))
     return rounded(areas, 4, "km2")
 
 
@@ -484,7 +484,7 @@ def impact_by_category(spark, sf):
 @query
 def impact_details(spark, sf):
     c = t.clusters(spark, sf)
-    rows = impact.hit_details(c.events, c.footprint, t.index(spark, sf))
+    rows = impact.hit_details(c.footprint, t.index(spark, sf))
     name = F.coalesce(F.col("props")["SITECODE"], F.col("props")["name"])
     return rows.groupBy("event_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max(name).alias("last_name"))
 
