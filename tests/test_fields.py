@@ -175,5 +175,9 @@ def test_hot_join_and_percentile(spark):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
         for p in (0.0, 0.5, 0.9, 0.99, 1.0):
             assert exact_percentile(df, "v", p, "p").first()[0] == pytest.approx(np.percentile(values, 100 * p), abs=1e-12)
+    many = spark.range(60000).select((F.hash("id") % 1000003 / 7).alias("v"))
+    wide = np.array([r["v"] for r in many.collect()])
+    for p in (0.001, 0.5, 0.99):
+        assert exact_percentile(many, "v", p, "p").first()[0] == pytest.approx(np.percentile(wide, 100 * p), abs=1e-9)
     assert exact_percentile(spark.createDataFrame([], "v double"), "v", 0.5, "p").first()[0] is None
     assert START == day(0)

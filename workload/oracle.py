@@ -382,8 +382,8 @@ sides AS (
 )"""
 
 
-def bucket(key: str, extra: str = "") -> str:
-    return sql(IMPACT, f"""
+def bucket(key: str, extra: str = "", source: str = "") -> str:
+    return sql(source or IMPACT, f"""
 SELECT {key} AS key, count(*) AS count, round(greatest(0e0, max(intensity_max)), 3) AS intensity_max,
        round(avg(intensity_max), 3) AS intensity_mean, CAST(sum(n_pixels) AS BIGINT) AS n_pixels_total,
        CAST(sum(n_aquaculture_sites) AS BIGINT) AS aquaculture_sites,
@@ -435,6 +435,20 @@ SELECT {CLUSTER_COLUMNS} FROM clusters
 WHERE event_id IN (SELECT event_id FROM rect_hits WHERE code = 'NATION_7'){extra}""")
 
 
+WINDOWED_IMPACT = WINDOWED + clustering() + PLACES + FOOTPRINT + hits("clusters", "covered")
+
+EXPOSED = """,
+reached AS (
+  SELECT DISTINCT f.id, c.event_id, c.date_start
+  FROM farms f, covered v JOIN clusters c ON c.event_id = v.event_id, (SELECT min(step) / 2 AS s FROM cells)
+  WHERE CASE WHEN v.is_point
+             THEN sqrt((f.lon - clon) * (f.lon - clon) + (f.lat - clat) * (f.lat - clat)) < 0.07e0
+             ELSE f.lon BETWEEN clon - s AND clon + s AND f.lat BETWEEN clat - s AND clat + s END)"""
+FARM_ROWS = """
+SELECT f.id, f.lon, f.lat, CAST(count(event_id) AS INTEGER) AS n_events,
+       coalesce(string_agg(event_id, ',' ORDER BY date_start, event_id), '') AS event_ids
+FROM farms f LEFT JOIN reached r ON r.id = f.id GROUP BY 1, 2, 3"""
+
 ORACLE: dict[str, str] = {
     "cube_extent": sql(CUBE, """
 SELECT min(dt) AS first_day, max(dt) AS last_day, count(DISTINCT dt) AS n_days,
@@ -654,16 +668,15 @@ WHERE x1 >= 4.75 AND x0 <= 7 AND y1 >= 34.75 AND y0 <= 37"""),
     "site_attributes": """
 SELECT 'mpa-' || n_nationkey AS feature_id, upper(n_name) AS site_code, n_name AS site_name,
        CAST(n_regionkey AS VARCHAR) AS member_state, 'B' AS site_type, 1250.5e0 AS area_ha FROM nation""",
-    "farm_exposure": sql(CLUSTERS + PLACES + FOOTPRINT, """,
-reached AS (
-  SELECT DISTINCT f.id, c.event_id, c.date_start
-  FROM farms f, covered v JOIN clusters c ON c.event_id = v.event_id, (SELECT min(step) / 2 AS s FROM cells)
-  WHERE CASE WHEN v.is_point
-             THEN sqrt((f.lon - clon) * (f.lon - clon) + (f.lat - clat) * (f.lat - clat)) < 0.07e0
-             ELSE f.lon BETWEEN clon - s AND clon + s AND f.lat BETWEEN clat - s AND clat + s END)
-SELECT f.id, f.lon, f.lat, CAST(count(event_id) AS INTEGER) AS n_events,
-       coalesce(string_agg(event_id, ',' ORDER BY date_start, event_id), '') AS event_ids
-FROM farms f LEFT JOIN reached r ON r.id = f.id GROUP BY 1, 2, 3""").replace(")\n,\nreached", "),\nreached"),
+    "farm_exposure": sql(CLUSTERS + PLACES + FOOTPRINT + EXPOSED, FARM_ROWS),
+    "expose_farms_window": sql(WINDOWED + clustering() + PLACES + FOOTPRINT + EXPOSED, FARM_ROWS),
+    "agg_country_window": bucket(COUNTRY, source=WINDOWED_IMPACT),
+    "detect_report_totals": sql(WINDOWED + PLACES + """,
+single AS (SELECT event_id, FALSE AS is_point, lon AS clon, lat AS clat FROM events)""" + hits("events", "single"),
+                                f"SELECT count(*) AS n_events, {KIND_SUMS} FROM impact"),
+    "recent_events": sql(CLIM + """,
+cut AS (SELECT * FROM cube WHERE dt BETWEEN DATE '2001-11-05' - 60 AND DATE '2001-11-05')""" + detection("cut"),
+                         f"SELECT {EVENT_COLUMNS} FROM events"),
     "site_events": site(EVENTS, ""),
     "site_report": site(WINDOWED, ""),
     "point_series": sql(CLIM, """

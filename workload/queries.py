@@ -19,6 +19,7 @@ from gridextremes.plans import events as plans
 from gridextremes.session import materialise, new_path
 from gridextremes.sources import cube as cubes
 from gridextremes.sources import overlays, sinks
+from gridextremes.streaming import incremental
 from gridextremes.streaming.detection import stream_detect
 
 from . import tables as t
@@ -537,6 +538,34 @@ def event_series(spark, sf):
         t.cube(spark, sf), t.climatology(spark, sf), t.events(spark, sf), "mhw-000007", 4.1, 34.2)
 
 
+@query
+def agg_country_window(spark, sf):
+    return plans.aggregate(
+        t.cube(spark, sf), t.climatology(spark, sf), t.index(spark, sf), "country", *WINDOW, grid=t.grid(spark, sf))
+
+
+@query
+def detect_report_totals(spark, sf):
+    return plans.detect_report(
+        t.cube(spark, sf), t.climatology(spark, sf), t.index(spark, sf), t.KINDS, *WINDOW, grid=t.grid(spark, sf))[1]
+
+
+@query
+def expose_farms_window(spark, sf):
+    exposed = plans.expose_farms(
+        t.cube(spark, sf), t.climatology(spark, sf), t.farms(spark, sf), *WINDOW, grid=t.grid(spark, sf))
+    return exposed.select("id", "lon", "lat", "n_events", F.array_join(F.col("events.event_id"), ",").alias("event_ids"))
+
+
+@query
+def recent_events(spark, sf):
+    """Detection again over the last 60 days of the stored cube, as after a daily append."""
+    path = new_path(spark, "cube-by-year")
+    sinks.write_cube(t.cube(spark, sf), path)
+    found = incremental.detect_recent(spark, path, t.climatology(spark, sf), date(2001, 11, 5))
+    return found.select(*EVENT_COLUMNS)
+
+
 # --- follow-on analyses -------------------------------------------------------------
 
 def _compound(spark, sf) -> DataFrame:
