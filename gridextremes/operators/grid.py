@@ -133,3 +133,21 @@ def align_nearest(clim: DataFrame, cells: DataFrame) -> DataFrame:
     mapped = cells.join(F.broadcast(lat_map), "lat").join(F.broadcast(lon_map), "lon")
     source = clim.withColumnsRenamed({"lat": "near_lat", "lon": "near_lon"})
     return mapped.join(source, ["near_lat", "near_lon"]).drop("near_lat", "near_lon")
+
+
+def align_to_grid(clim: DataFrame, grid: Grid) -> DataFrame:
+    """The same onto all cells of a grid, without a shuffle of the climatology.
+
+    Grid coordinates are matched per axis; the two matches are as long as the
+    axes and are broadcast. On the climatology's own grid nothing moves.
+    """
+    spark = clim.sparkSession
+    i = F.col("id")
+    lats = spark.range(grid.n_lat).select(grid.lat(i).alias("lat"))
+    lons = spark.range(grid.n_lon).select(grid.lon(i).alias("lon"))
+    source = clim.withColumnsRenamed({"lat": "near_lat", "lon": "near_lon"})
+    return (
+        source.join(F.broadcast(nearest_on_axis(lats, clim, "lat")), "near_lat")
+        .join(F.broadcast(nearest_on_axis(lons, clim, "lon")), "near_lon")
+        .select(*clim.columns)
+    )

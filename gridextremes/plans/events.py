@@ -12,7 +12,7 @@ from ..operators.cluster import by_severity, cluster_events
 from ..operators.detect import detect_events, footprint_of_cells
 from ..operators.exposure import events_at_site, farm_exposure, padded_site_box
 from ..operators.filters import by_id, cells_in_bbox, default_window, features_in_bbox, filter_events, page
-from ..operators.grid import Grid, grid_of, nearest_on_axis
+from ..operators.grid import Grid, align_to_grid, grid_of, nearest_on_axis
 from ..operators.impact import OverlayIndex, attach_impact, find_site, impact_summary
 from ..operators.rollup import aggregate_events
 
@@ -21,6 +21,11 @@ def _between(cube: DataFrame, start: date, end: date) -> DataFrame:
     return cube.where(F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
+def _baseline(clim: DataFrame, grid: Grid, start: date, end: date) -> DataFrame:
+    """The climatology on the cube's grid, for the days of the window."""
+    return align_to_grid(days_of_window(clim, start, end), grid)
+
+
 def find_events(
     cube: DataFrame, clim: DataFrame, start: date | None = None, end: date | None = None,
     bbox=None, min_category: int = 1, raw: bool = False, index: OverlayIndex | None = None,
@@ -28,7 +33,8 @@ def find_events(
 ) -> tuple[DataFrame, DataFrame]:
     """Events of a window and their footprint; clusters unless ``raw``.
 
-    Only days of the window are seen, so an event is cut at its ends. For
+    Only days of the window are seen, so an event is cut at its ends. A
+    climatology on another grid is taken from the nearest coordinates. For
     clusters the box cuts the cube before detection, which changes nothing: a
     cell's centre is the event's centre, and the order of the remaining events
     stays. Raw ids count all cells, so there the box comes after.
@@ -38,7 +44,7 @@ def find_events(
     days = _between(cube, start, end)
     if bbox is not None and not raw and max_cells is None:
         days = cells_in_bbox(days, bbox)
-    found = detect_events(days, days_of_window(clim, start, end), grid=grid, max_cells=max_cells)
+    found = detect_events(days, _baseline(clim, grid, start, end), grid=grid, max_cells=max_cells)
     found = filter_events(found, start, end, bbox, min_category)
     if raw:
         events, footprint = found.drop("ilat", "ilon"), footprint_of_cells(found)
@@ -79,7 +85,7 @@ def site_report(cube: DataFrame, clim: DataFrame, overlay: DataFrame, code: str,
     site = find_site(overlay, code)
     start, end = default_window(cube, start, end)
     days = cells_in_bbox(_between(cube, start, end), padded_site_box(site))
-    clusters = cluster_events(detect_events(days, days_of_window(clim, start, end), grid=grid))
+    clusters = cluster_events(detect_events(days, _baseline(clim, grid, start, end), grid=grid))
     return by_severity(events_at_site(clusters, site, grid))
 
 

@@ -585,6 +585,7 @@ WHERE NOT EXISTS (SELECT 1 FROM grown g WHERE g.ilat = f.ilat AND g.ilon = f.ilo
     "events_raw": sql(EVENTS, f"SELECT {EVENT_COLUMNS} FROM events"),
     "events_self_baseline": sql(EVENTS, f"SELECT {EVENT_COLUMNS} FROM events"),
     "events_window": sql(WINDOWED, f"SELECT {EVENT_COLUMNS} FROM events"),
+    "events_other_grid": sql(WINDOWED, f"SELECT {EVENT_COLUMNS} FROM events"),
     "events_default_window": sql(CLIM + """,
 cut AS (SELECT * FROM cube WHERE dt >= (SELECT max(dt) - 30 FROM cube))""" + detection("cut"), f"SELECT {EVENT_COLUMNS} FROM events"),
     "events_filtered": sql(EVENTS, f"""

@@ -267,6 +267,15 @@ def events_window(spark, sf):
     return found.select(*EVENT_COLUMNS)
 
 
+@query
+def events_other_grid(spark, sf):
+    """The climatology comes on a grid moved by less than half a cell."""
+    moved = t.climatology(spark, sf).select(
+        (F.col("lat") + 0.2).alias("lat"), (F.col("lon") - 0.25).alias("lon"), "doy", "seas", "thresh")
+    found, _ = plans.find_events(t.cube(spark, sf), moved, *WINDOW, raw=True, grid=t.grid(spark, sf))
+    return found.select(*EVENT_COLUMNS)
+
+
 @query
 def events_default_window(spark, sf):
     found, _ = plans.find_events(
