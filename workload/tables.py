@@ -7,6 +7,8 @@ until the region would grow beyond 36 degrees, and shrinks from there on.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,23 +42,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def width(spark: SparkSession, sf_dir: str) -> int:
+    """Cells per side of the grid, from the largest supplier key."""
+    def build() -> int:
+        n = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] + 1
+        return math.ceil(math.sqrt(n))
+
+    return _once(spark, sf_dir, "width", build)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``k, r, c, lat, lon`` of every supplier."""
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey")
-    n = supplier.agg((F.max("s_suppkey") + 1).alias("n")).scalar()
-    width = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    sized = supplier.select(F.col("s_suppkey").alias("k"), width.alias("w")).withColumn(
-        "step", F.when(F.col("w") <= 48, F.lit(STEP)).otherwise(F.lit(MAX_SPAN) / F.col("w"))
+    w = width(spark, sf_dir)
+    step = STEP if w <= 48 else MAX_SPAN / w
+    placed = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("k"),
+        F.floor(F.col("s_suppkey") / w).cast("long").alias("r"), (F.col("s_suppkey") % w).alias("c"),
     )
-    return sized.select(
-        "k",
-        F.floor(F.col("k") / F.col("w")).cast("long").alias("r"),
-        (F.col("k") % F.col("w")).alias("c"),
-        "step",
-    ).select(
+    return placed.select(
         "k", "r", "c",
-        (F.lit(LAT0) + F.col("step") * F.col("r")).alias("lat"),
-        (F.lit(LON0) + F.col("step") * F.col("c")).alias("lon"),
+        (F.lit(LAT0) + F.lit(step) * F.col("r")).alias("lat"),
+        (F.lit(LON0) + F.lit(step) * F.col("c")).alias("lon"),
     )
 
 
@@ -151,17 +157,16 @@ def clusters(spark: SparkSession, sf_dir: str) -> Clusters:
 # Places are laid out on fractions of a degree that doubles hold exactly, inside
 # the region of the grid; many lie on borders and centres of cells.
 
-def _region(spark: SparkSession, sf_dir: str):
-    """Cells per side, at most 48, as a scalar."""
-    n = table(spark, sf_dir, "supplier").agg((F.max("s_suppkey") + 1).alias("n")).scalar()
-    return F.least(F.lit(48), F.ceil(F.sqrt(n.cast("double")))).cast("long")
+def _region(spark: SparkSession, sf_dir: str) -> int:
+    """Cells of the standard step per side, at most 48."""
+    return min(48, width(spark, sf_dir))
 
 
-def _x(key, factor: int, per_cell: int, m):
+def _x(key, factor: int, per_cell: int, m: int):
     return F.lit(LON0 - STEP / 2) + (key * factor) % (m * per_cell) * F.lit(STEP / per_cell)
 
 
-def _y(key, factor: int, shift: int, per_cell: int, m):
+def _y(key, factor: int, shift: int, per_cell: int, m: int):
     return F.lit(LAT0 - STEP / 2) + (key * factor + shift) % (m * per_cell) * F.lit(STEP / per_cell)
 
 
