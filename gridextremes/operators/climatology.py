@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -143,6 +143,19 @@ def pooled_climatology(
     ])
 
 
+def climatology_attrs(first_year: int, last_year: int, half_width: int = 5, smooth_width: int = 31,
+                      pctile: float = 0.9, source_dataset: str = "", grid_resolution: str = "",
+                      bbox: list[float] | None = None) -> dict:
+    """What to store beside a climatology; ``pctile`` is kept in percent."""
+    attrs = {
+        "clim_start": first_year, "clim_end": last_year, "window_half_width": half_width,
+        "smooth_width": smooth_width, "pctile": round(100 * pctile, 6), "source_dataset": source_dataset,
+        "grid_resolution": grid_resolution,
+        "created_utc": datetime.now(timezone.utc).isoformat(timespec="seconds"),
+    }
+    return attrs if bbox is None else {**attrs, "bbox": list(bbox)}
+
+
 def pooled_climatology_by_offsets(
     cube: DataFrame, first_year: int | None = None, last_year: int | None = None,
     half_width: int = 5, pctile: float = 0.9,

@@ -45,8 +45,10 @@ def farm_exposure(events: DataFrame, footprint: DataFrame, farms: DataFrame, gri
         events = events.drop("ilat", "ilon")
     reach = max(0.0, POINT_EVENT_RADIUS_DEG - min(grid.lat_step, grid.lon_step) / 2)
     around = cells_around(F.col("lon"), F.col("lat"), grid, reach)
-    near = farms.select("id", "lon", "lat", F.explode_outer(around).alias("c")).select(
-        "id", "lon", "lat", F.col("c.ilat").alias("ilat"), F.col("c.ilon").alias("ilon")
+    # Equal rows are looked up once and written out again at the end.
+    given = farms.groupBy("id", "lon", "lat").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    near = given.select("*", F.explode_outer(around).alias("c")).select(
+        "id", "lon", "lat", "copies", F.col("c.ilat").alias("ilat"), F.col("c.ilon").alias("ilon")
     )
     placed = hot_join(near, events_by_cell(events, footprint), ["ilat", "ilon"], "left")
     half_x, half_y = grid.lon_step / 2, grid.lat_step / 2
@@ -57,16 +59,16 @@ def farm_exposure(events: DataFrame, footprint: DataFrame, farms: DataFrame, gri
     )
     in_disc = F.sqrt(dx * dx + dy * dy) < POINT_EVENT_RADIUS_DEG
     flagged = placed.select(
-        "id", "lon", "lat", "found", in_box.alias("in_box"), in_disc.alias("in_disc")
+        "id", "lon", "lat", "copies", "found", in_box.alias("in_box"), in_disc.alias("in_disc")
     )
     mine = F.filter(
         "found", lambda e: F.when(e["is_point"], F.col("in_disc")).otherwise(F.col("in_box"))
     )
     # One row per cell around the farm: a handful.
-    gathered = flagged.select("id", "lon", "lat", mine.alias("mine")).groupBy("id", "lon", "lat").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("mine")))).alias("mine")
-    )
-    return gathered.select(
+    gathered = flagged.select("id", "lon", "lat", "copies", mine.alias("mine")).groupBy(
+        "id", "lon", "lat", "copies"
+    ).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("mine")))).alias("mine"))
+    return gathered.select("*", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
         "id", "lon", "lat", F.size("mine").alias("n_events"), F.col("mine.event").alias("events")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridextremes.operators import compound, habitat, merge, quality, raster
 from gridextremes.operators.catalog import items_bbox, year_coverage, year_items
-from gridextremes.operators.climatology import pooled_climatology
+from gridextremes.operators.climatology import climatology_attrs, pooled_climatology
 from gridextremes.operators.skew import exact_percentile, hot_join
 from gridextremes.plans.events import find_events, point_series
 from gridextremes.sources import cube as cubes
@@ -159,6 +159,8 @@ def test_quality(spark):
     assert worse["thresh >= seas"] == "error" and worse["doy continuity p99"] == "error"
     assert (worse["year span"], worse["bbox"], worse["schema version"]) == ("warn", "error", "error")
     assert all(r["ok"] for r in quality.light_check(good, ATTRS).collect())
+    built = {**climatology_attrs(1991, 2020, bbox=[4, 34, 12, 42]), "schema_version": "1"}
+    assert {level for _, level, _ in quality.attr_checks(good, built)} == {"ok"} and built["pctile"] == 90.0
     print_ = quality.fingerprint(good, ATTRS)
     assert print_ == quality.fingerprint(good.repartition(7), {**ATTRS, "created_utc": "now"})
     assert print_ != quality.fingerprint(good, {**ATTRS, "pctile": 95.0}) and print_ != quality.fingerprint(bad, ATTRS)

@@ -74,7 +74,10 @@ def test_farms(spark):
     farms = spark.createDataFrame([
         ("in", 10.2, 40.2), ("border", 10.5, 39.5), ("far", -5.0, 36.0), ("disc", 14.0, 44.069), ("out", 14.0, 44.071), ("same", 10.2, 40.2),
     ], "id string, lon double, lat double")
-    got = {r["id"]: r for r in farm_exposure(c.events, c.footprint, farms, GRID).collect()}
+    twice = farms.unionByName(farms.where("id = 'same'"))
+    rows = farm_exposure(c.events, c.footprint, twice, GRID).collect()
+    assert len(rows) == 7
+    got = {r["id"]: r for r in rows}
     assert {k: v["n_events"] for k, v in got.items()} == {"in": 2, "border": 2, "far": 0, "disc": 1, "out": 0, "same": 2}
     dates = [e["date_start"] for e in got["in"]["events"]]
     assert dates == sorted(dates) and got["far"]["events"] == []
