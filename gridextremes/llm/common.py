@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +33,27 @@ def without_white(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words between ASCII white space; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def summed_arrays(rows: DataFrame, kind: str) -> dict[int, np.ndarray]:
+    """Sum of the arrays (``counts``, packed as ``kind``) of each ``block``.
+
+    The blocks are dealt to tasks that add up one row after the other, so a task
+    holds one array per block of its own. The sums go to the driver: the caller
+    bounds their number and size.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+                more = np.frombuffer(counts.as_buffer(), kind)
+                sums[block] = sums[block] + more if block in sums else more.copy()
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())],
+                ["block", "counts"],
+            )
+
+    found = rows.repartition("block").mapInArrow(add, "block int, counts binary").collect()
+    return {r["block"]: np.frombuffer(r["counts"], kind) for r in found}

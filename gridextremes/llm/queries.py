@@ -2,13 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import exact_dedup, mixing, sharding, url_filter
+from . import chat, exact_dedup, hmm, jaccard, mixing, packing, quality, sharding, url_filter, vantage
 from .common import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+ESCAPES = r"\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = chat.format_conversations(table(spark, sf_dir, "conversations"))
+    record = [(-7, [("user", ESCAPES), ("assistant", ESCAPES)])]
+    own = spark.createDataFrame(record, "conv_id long, messages array<struct<role: string, content: string>>")
+    return chat.digests(given.unionByName(chat.format_conversations(own)))
+
+
+def judged_documents(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source (the host) and language (the path below it)."""
+    return quality.judge(docs, table(spark, sf_dir, "labels"), docs["source"], docs["lang"])
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return judged_documents(docs, spark, sf_dir).select(
+        "row.doc_id", "row.source", "row.lang", "evidence", "host_rate", "path_rate", "posterior", "kept"
+    )
+
+
+def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
+    return hmm.score_texts(docs, remainder == 2).withColumnRenamed("id", "doc_id")
+
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -17,6 +48,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 URL_RULES = [
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 ]
@@ -34,6 +69,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, TOKENIZER).select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.sharded(docs, new_path(spark, "shards")).select(
@@ -43,17 +85,39 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.similar_groups(docs).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_quality": op2_quality,
+    "op3_hidden_markov": op3_hidden_markov,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_vantage_points": op5_vantage_points,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 _WHITE = r"[\x20\x09-\x0D]"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op1_chat_format": rf"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '{ESCAPES}' UNION ALL SELECT -7, 1, 'assistant', '{ESCAPES}')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(15 + length(role) + length(text) + len(regexp_extract_all(text, '\\'))
+                   + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{{3,}}'), lambda x: len(x) - 2)), 0)
+                   + len(regexp_extract_all(text, '</turn>')))::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id""",
     "op4_exact_dedup": f"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
                           regexp_replace(coalesce(text, ''), '{_WHITE}', '', 'g') AS norm FROM documents),
@@ -61,6 +125,15 @@ ORACLE = {
                      count(*) OVER (PARTITION BY norm) AS group_size
               FROM n WINDOW g AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST))
         SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(norm) AS text_sha256 FROM r""",
+    "op5_vantage_points": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20""",
     "op6_url_filter": f"""
         WITH u AS (SELECT page_id,
                           {_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
@@ -70,4 +143,18 @@ ORACLE = {
                        row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS rn
                 FROM u LEFT JOIN rules r ON (u.host = r.host OR u.host LIKE '%.' || r.host) AND starts_with(u.path, r.path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE rn = 1""",
+    "op10_jaccard_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '{_WHITE}+'), lambda x: x <> '') AS w FROM documents),
+        g AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')))
+                                  WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END AS g FROM w),
+        c AS (SELECT g, min(doc_id) AS node FROM (SELECT doc_id, list_sort(g) AS g FROM g) WHERE len(g) > 0 GROUP BY g),
+        s AS (SELECT node, len(g) AS n, unnest(g) AS s FROM c),
+        l AS (SELECT a.node AS a, b.node AS b FROM s a JOIN s b ON a.s = b.s AND a.node < b.node
+                     AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+              GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(node, to_node) AS (SELECT node, node FROM c UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.to_node),
+        m AS (SELECT node, min(to_node) AS component_id FROM r GROUP BY node)
+        SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, coalesce(m.component_id, g.doc_id) AS component_id
+        FROM g LEFT JOIN c ON list_sort(g.g) = c.g LEFT JOIN m ON m.node = c.node""",
 }
