@@ -71,7 +71,7 @@ def fit_budget(sizes: list[int], counts: list[int], budget: float, exact: int =
     left = [(s, c - taken[i], i) for s, c, i in order if c > taken[i]]
     if rest <= 0 or not left:
         return taken
-    limit = rest + min(s for s, _, _ in left)
+    limit = 2 * rest  # a sum beyond is farther off than taking nothing
     mask = (1 << (limit + 1)) - 1
     reach = 1
     steps: list[tuple[int, int, int, int]] = []

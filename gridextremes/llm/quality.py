@@ -68,7 +68,7 @@ def evidence(labelled: DataFrame, text_col: str, label_col: str, max_rows: int =
     rows = found.select("good", *[c.alias(n) for n, c in features(F.col("text")).items()]).collect()
     y = np.array([r["good"] for r in rows])
     prior = float(y.mean()) if len(y) else 0.5
-    if not 0 < prior < 1:
+    if not len(y) or not 0 < prior < 1:
         return F.lit(0.0), prior
     w, mean, scale = fit(np.array([[r[n] for n in names] for r in rows]), y)
     total = F.lit(float(w[-1]))

@@ -180,7 +180,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEAREST, factor: float
     a shard reach one task sorted, vectors before queries: it builds the tree,
     then takes the queries block by block, holding one shard and one block. Each
     shard gives its best ``k`` per query, and their best ``k`` win.
-    ``factor`` above 1 skips more and may miss some; 1 is exact.
+    ``factor`` above 1 skips more and may miss some, the more the more the lengths
+    of the vectors differ; 1 is exact.
 
     Null or zero vectors and those with a null or non-finite component take no
     part. Vectors meet those of their own length only. Ties go to the smaller id;
