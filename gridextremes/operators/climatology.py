@@ -150,7 +150,7 @@ def climatology_attrs(first_year: int, last_year: int, half_width: int = 5, smoo
     attrs = {
         "clim_start": first_year, "clim_end": last_year, "window_half_width": half_width,
         "smooth_width": smooth_width, "pctile": round(100 * pctile, 6), "source_dataset": source_dataset,
-        "grid_resolution": grid_resolution,
+        "grid_resolution": grid_resolution, "units": "degC",
         "created_utc": datetime.now(timezone.utc).isoformat(timespec="seconds"),
     }
     return attrs if bbox is None else {**attrs, "bbox": list(bbox)}

@@ -58,7 +58,10 @@ def mark_events(
 
 
 def event_metrics(rows: DataFrame) -> DataFrame:
-    """One row per event: dates, length, intensities over ``sst - seas``, category."""
+    """One row per event: dates, length, intensities over ``sst - seas``, category.
+
+    An event without any day of known ``sst`` and ``seas`` has no peak and is left out.
+    """
     rel = F.col("sst") - F.col("seas")
     # The first day wins among equal peaks; NULL days never win.
     rank = F.when(rel.isNotNull(), F.struct(rel, -F.unix_date("dt")))
@@ -73,7 +76,7 @@ def event_metrics(rows: DataFrame) -> DataFrame:
         F.sum(rel).alias("i_cum"),
     )
     seas, thresh = F.col("peak.seas"), F.col("peak.thresh")
-    return grouped.select(
+    return grouped.where(F.col("i_max").isNotNull()).select(
         "lat", "lon", "event_no", "date_start", "date_end",
         F.col("peak.dt").alias("date_peak"),
         "duration_days",

@@ -80,10 +80,13 @@ def nearest_day(cube: DataFrame, day: date) -> DataFrame:
     return cube.where(F.col("dt") == best)
 
 
-def page(df: DataFrame, order: list[Column | str], limit: int = 100, offset: int = 0):
-    """One page in a given order, and a one-row frame with the number of all rows."""
-    if not 1 <= limit <= MAX_PAGE or offset < 0:
-        raise ValueError(f"limit is 1..{MAX_PAGE} and offset not negative")
+def page(df: DataFrame, order: list[Column | str], limit: int = 100, offset: int = 0, most: int = MAX_PAGE):
+    """One page in a given order, and a one-row frame with the number of all rows.
+
+    Larger pages than ``most`` are an error, never cut.
+    """
+    if not 1 <= limit <= most or offset < 0:
+        raise ValueError(f"limit is 1..{most} and offset not negative")
     return df.orderBy(*order).offset(offset).limit(limit), df.agg(F.count(F.lit(1)).alias("numberMatched"))
 
 

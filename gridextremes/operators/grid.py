@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DEFAULT_STEP = 0.25
+OFF_LATTICE = 0.01  # steps that a coordinate may lie beside the lattice
 
 
 def cell_key() -> Column:
@@ -62,8 +63,9 @@ class Grid:
 
 
 def grid_of(df: DataFrame) -> Grid:
-    """Axes of the grid a cube or climatology lies on.
+    """Axes of the grid a cube or climatology lies on; rows or columns may be missing.
 
+    The step is the smallest distance; a coordinate off the lattice is an error.
     Distinct coordinates are combined map-side; what comes back is one row.
     """
     axes = (
@@ -74,18 +76,24 @@ def grid_of(df: DataFrame) -> Grid:
         .select("a.*").distinct()
     )
     # One row per distinct coordinate of an axis: as many as the axis is long.
-    ranked = axes.withColumn("rn", F.row_number().over(W.partitionBy("axis").orderBy("v")))
-    rows = ranked.groupBy("axis").agg(
-        F.min("v").alias("first"),
-        F.max("v").alias("last"),
-        F.max(F.when(F.col("rn") == 2, F.col("v"))).alias("second"),
+    along = W.partitionBy("axis")
+    gaps = axes.withColumn("gap", F.col("v") - F.lag("v").over(along.orderBy("v")))
+    first, last = F.min("v").over(along), F.max("v").over(along)
+    spaced = gaps.select("axis", "v", first.alias("first"), last.alias("last"), F.min("gap").over(along).alias("gap"))
+    # The smallest gap may carry rounding; the whole axis over its number of steps does not.
+    steps = F.coalesce(F.round((F.col("last") - F.col("first")) / F.col("gap")), F.lit(0)).cast("int")
+    step = F.when(steps > 0, (F.col("last") - F.col("first")) / steps).otherwise(F.lit(DEFAULT_STEP))
+    at = (F.col("v") - F.col("first")) / F.col("step")
+    rows = spaced.withColumn("steps", steps).withColumn("step", step).groupBy("axis").agg(
+        F.min("first").alias("first"), F.min("step").alias("step"), F.min("steps").alias("steps"),
+        F.max(F.abs(at - F.round(at))).alias("off"),
     ).collect()
     if not rows:
         raise ValueError("no cells: the grid cannot be inferred")
-    found = {}
     for r in rows:
-        step = DEFAULT_STEP if r["second"] is None else r["second"] - r["first"]
-        found[r["axis"]] = (r["first"], step, round((r["last"] - r["first"]) / step) + 1)
+        if r["off"] > OFF_LATTICE:
+            raise ValueError(f"{r['axis']} is no regular axis: a coordinate lies {r['off']:.3f} steps beside it")
+    found = {r["axis"]: (r["first"], r["step"], r["steps"] + 1) for r in rows}
     return Grid(*found["lat"], *found["lon"])
 
 

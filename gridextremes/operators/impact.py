@@ -130,7 +130,7 @@ def impact_summary(
 def hit_details(footprint: DataFrame, index: OverlayIndex) -> DataFrame:
     """Every met feature with its properties, one row per (event, feature)."""
     hits = event_hits(footprint, index.polygons.unionByName(index.points))
-    return hits.select("event_id", *FEATURE).join(index.overlay.select(*FEATURE, "props"), FEATURE)
+    return hot_join(hits.select("event_id", *FEATURE), index.overlay.select(*FEATURE, "props"), FEATURE)
 
 
 def find_site(overlay: DataFrame, code: str) -> DataFrame:

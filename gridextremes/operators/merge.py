@@ -8,13 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+KEYS = ["dt", "lat", "lon"]
+
+
+def one_per_day(slab: DataFrame) -> DataFrame:
+    """One row per day and cell: of repeated ones a known value, then the smallest.
+
+    Combined map-side, so a day that lands very often is no larger than the grid.
+    """
+    rest = [c for c in slab.columns if c not in KEYS]
+    values = [c for c in ("sst", *rest) if c in rest]
+    best = F.min(F.struct(F.col(values[0]).isNull().alias("_unknown"), *dict.fromkeys(values)))
+    return slab.groupBy(*KEYS).agg(best.alias("_best")).select(
+        *[F.col(c) if c in KEYS else F.col("_best")[c].alias(c) for c in slab.columns]
+    )
+
+
 def new_days(cube: DataFrame, slab: DataFrame) -> DataFrame:
-    """Rows of a slab for days the cube does not have at all.
+    """Rows of a slab for days the cube does not have at all, one per day and cell.
 
     A day present in the cube wins as a whole, for every cell.
     """
     have = cube.select("dt").distinct()
-    return slab.join(have, "dt", "left_anti").select(*slab.columns)
+    return one_per_day(slab.join(have, "dt", "left_anti").select(*slab.columns))
 
 
 def merge_slab(cube: DataFrame, slab: DataFrame) -> DataFrame:

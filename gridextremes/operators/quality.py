@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,6 +24,7 @@ RANGES = {  # warn below, warn above, error below, error above (°C)
 VIOLATION_LIMITS = (5.0, 25.0)  # percent: warn above, error above
 JUMP_LIMITS = (0.5, 1.0)  # °C: warn from, error from
 MIN_SPAN_YEARS = 10
+UNITS = "degC"
 LIGHT_NULL_SHARE = 0.5
 # ----------------------------------------------------------------------------
 
@@ -72,6 +72,8 @@ def data_checks(clim: DataFrame) -> DataFrame:
                    lo.isNull() | (lo < far_lo) | (hi > far_hi)).alias("level"),
             F.round(hi - lo, 2).alias("value"),
         ))
+        rows += [F.struct(F.lit(f"{v} {end}").alias("check"), F.lit("ok").alias("level"), F.round(x, 2).alias("value"))
+                 for end, x in (("lowest", lo), ("highest", hi))]
     violated = F.lit(100.0) * F.col("below") / F.nullif(F.col("both"), F.lit(0))
     warn, error = VIOLATION_LIMITS
     rows.append(F.struct(
@@ -88,51 +90,62 @@ def data_checks(clim: DataFrame) -> DataFrame:
     return facts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def attr_checks(clim: DataFrame, attrs: dict) -> list[tuple[str, str, float | None]]:
-    """Checks on columns, types and attributes; these need no data."""
+def _attr_row(clim: DataFrame, attrs: dict) -> DataFrame:
+    """One row with the attributes as text and the missing ones counted."""
+    def text(name):
+        return None if attrs.get(name) is None else str(attrs[name])
+
+    box = attrs.get("bbox")
+    sides = None if box is None else [str(b) for b in box] if isinstance(box, (list, tuple)) else [str(box)]
+    lacking = sum(attrs.get(a) is None for a in REQUIRED_ATTRS)
+    return clim.sparkSession.createDataFrame(
+        [(text("clim_start"), text("clim_end"), text("created_utc"), text("schema_version"), text("units"), lacking, sides)],
+        "first string, last string, created string, version string, units string, lacking int, box array<string>",
+    ).select(
+        "*", F.expr("try_cast(last AS INT) - try_cast(first AS INT) + 1").alias("span"),
+        F.transform("box", lambda b: b.try_cast("double")).alias("sides"),
+    )
+
+
+def attr_checks(clim: DataFrame, attrs: dict) -> DataFrame:
+    """``check, level, value`` for columns, types and attributes; reads no climatology rows.
+
+    A table of rules over one row: name, when it applies, when it holds, the
+    level otherwise, and the value shown.
+    """
     types = {f.name: f.dataType for f in clim.schema.fields}
-    out: list[tuple[str, str, float | None]] = []
-
-    def add(name, ok, value=None, worse="error"):
-        out.append((name, "ok" if ok else worse, value))
-
-    add("required variables", {"seas", "thresh"} <= types.keys())
-    for v in ("seas", "thresh"):
-        add(f"{v} type", isinstance(types.get(v), (T.DoubleType, T.FloatType)))
-    missing = [a for a in REQUIRED_ATTRS if attrs.get(a) is None]
-    add("required attributes", not missing, float(len(missing)))
-    add("schema version", str(attrs.get("schema_version", "")) == SCHEMA_VERSION)
-    start, end = attrs.get("clim_start"), attrs.get("clim_end")
-    if start is not None and end is not None:
-        try:
-            span = int(end) - int(start) + 1
-            add("year order", span > 1, float(span))
-            if span > 1:
-                add("year span", span >= MIN_SPAN_YEARS, float(span), "warn")
-        except (TypeError, ValueError):
-            add("year order", False)
-    if attrs.get("created_utc"):
-        try:
-            datetime.fromisoformat(str(attrs["created_utc"]).replace("Z", "+00:00"))
-            add("created_utc", True)
-        except ValueError:
-            add("created_utc", False)
-    if attrs.get("bbox") is not None:
-        box = attrs["bbox"]
-        try:
-            x0, y0, x1, y1 = (float(b) for b in box)
-            add("bbox", -180 <= x0 < x1 <= 180 and -90 <= y0 < y1 <= 90)
-        except (TypeError, ValueError):
-            add("bbox", False)
-    return out
+    number = (T.DoubleType, T.FloatType)
+    years, span, box = F.col("first").isNotNull() & F.col("last").isNotNull(), F.col("span"), F.col("sides")
+    west, south, east, north = (F.get(box, F.lit(i)) for i in range(4))
+    inside = (
+        (F.size(box) == 4) & (west < east) & (south < north)
+        & (F.greatest(F.abs(west), F.abs(east)) <= 180) & (F.greatest(F.abs(south), F.abs(north)) <= 90)
+    )
+    always, nothing = F.lit(True), F.lit(None)
+    rules = [
+        ("required variables", always, F.lit({"seas", "thresh"} <= types.keys()), "error", nothing),
+        *[(f"{v} type", always, F.lit(isinstance(types.get(v), number)), "error", nothing) for v in RANGES],
+        ("units", always, F.col("units") == UNITS, "warn", nothing),
+        ("required attributes", always, F.col("lacking") == 0, "error", F.col("lacking")),
+        ("schema version", always, F.col("version") == SCHEMA_VERSION, "error", nothing),
+        ("year order", years, span > 1, "error", span),
+        ("year span", years & (span > 1), span >= MIN_SPAN_YEARS, "warn", span),
+        ("created_utc", F.col("created") != "", F.try_to_timestamp(F.col("created")).isNotNull(), "error", nothing),
+        ("bbox", F.col("box").isNotNull(), inside, "error", nothing),
+    ]
+    rows = F.array(*[
+        F.struct(
+            F.lit(name).alias("check"), applies.alias("applies"),
+            F.when(holds, "ok").otherwise(worse).alias("level"), value.cast("double").alias("value"),
+        )
+        for name, applies, holds, worse, value in rules
+    ])
+    return _attr_row(clim, attrs).select(F.explode(rows).alias("r")).where("r.applies").select("r.check", "r.level", "r.value")
 
 
 def quality_report(clim: DataFrame, attrs: dict) -> DataFrame:
     """``check, level, value`` with levels ok, warn and error."""
-    fixed = clim.sparkSession.createDataFrame(
-        attr_checks(clim, attrs), "check string, level string, value double"
-    )
-    return fixed.unionByName(data_checks(clim))
+    return attr_checks(clim, attrs).unionByName(data_checks(clim))
 
 
 def light_check(clim: DataFrame, attrs: dict) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators.climatology import attach_by_day, days_of_window
 from ..operators.cluster import by_severity, cluster_events
 from ..operators.detect import detect_events, footprint_of_cells
 from ..operators.exposure import events_at_site, farm_exposure, padded_site_box
-from ..operators.filters import by_id, cells_in_bbox, default_window, features_in_bbox, filter_events, page
+from ..operators.filters import by_id, cells_in_bbox, default_window, features_in_bbox, filter_events, page, page_links
 from ..operators.grid import Grid, align_to_grid, grid_of, nearest_on_axis
 from ..operators.impact import OverlayIndex, attach_impact, find_site, impact_summary
 from ..operators.rollup import aggregate_events
@@ -96,6 +96,21 @@ def collection_items(items: DataFrame, order: list, bbox=None, limit: int = 100,
     return page(items, order, limit, offset)
 
 
+def event_collection(
+    cube: DataFrame, clim: DataFrame, start: date | None = None, end: date | None = None, bbox=None,
+    min_category: int = 1, limit: int = 100, offset: int = 0, grid: Grid | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Clusters of a date range and box as a page, and one row ``numberMatched, next, prev``.
+
+    The page is in the order of the clusters' numbers; ``next`` and ``prev`` are
+    the offsets of the pages beside it, NULL where there is none.
+    """
+    events, _ = find_events(cube, clim, start, end, bbox, min_category, grid=grid)
+    rows, matched = page(events, ["event_seq"], limit, offset)
+    return rows, matched.select("numberMatched", page_links(F.col("numberMatched"), limit, offset).alias("links")).select(
+        "numberMatched", "links.*")
+
+
 def point_series(cube: DataFrame, clim: DataFrame, lon: float, lat: float, start: date, end: date,
                  pad_days: int = 0) -> DataFrame:
     """Value, mean and threshold per day at the cell nearest to a point."""

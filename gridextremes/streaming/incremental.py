@@ -13,7 +13,8 @@ from pyspark.sql.types import StructType
 
 from ..functions.scalars import freshness_bucket
 from ..operators.detect import detect_events
-from ..operators.merge import new_days
+from ..operators.merge import new_days, one_per_day
+from ..operators.raster import regrid_bilinear
 from ..sources.cube import harmonise, read_cube
 from ..sources.sinks import write_cube
 
@@ -24,16 +25,36 @@ def append_slab(spark: SparkSession, cube_path: str, slab: DataFrame) -> None:
     """Add the days of a harmonised slab that the stored cube lacks.
 
     Days already there win, so nothing is rewritten: new rows are appended to
-    the year folders they belong to.
+    the year folders they belong to, and only those years of the cube are read.
+    Rows that repeat a day and cell are stored once, and a slab on other cells is
+    interpolated onto the cube's. Only the slab's years go to the driver.
     """
+    cube = stored_cube(spark, cube_path)
+    if cube is None:
+        write_cube(one_per_day(slab), cube_path)
+        return
+    cells = cube_cells(cube)
+    slab = one_per_day(slab)
+    if not slab.select("lat", "lon").distinct().join(cells, ["lat", "lon"], "left_anti").isEmpty():
+        slab = regrid_bilinear(slab.select("dt", "lat", "lon", "sst"), cells).withColumn("product", slab.select(F.min("product")).scalar())
+        slab = slab.select("dt", "lat", "lon", "sst", "product").where(F.col("sst").isNotNull())
+    years = [r[0] for r in slab.select(F.year("dt")).distinct().collect()]
+    write_cube(new_days(cube.where(F.col("year").isin(years)), slab), cube_path, mode="append")
+
+
+def stored_cube(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        cube = spark.read.parquet(cube_path)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        write_cube(slab, cube_path)
-        return
-    write_cube(new_days(cube, slab), cube_path, mode="append")
+        return None
+
+
+def cube_cells(cube: DataFrame) -> DataFrame:
+    """Cells of a stored cube, from its last year."""
+    last = cube.agg(F.max("year").alias("y")).scalar()
+    return cube.where(F.col("year") == last).select("lat", "lon").distinct()
 
 
 def detect_recent(spark: SparkSession, cube_path: str, clim: DataFrame, today: date,

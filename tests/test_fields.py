@@ -13,7 +13,7 @@ from gridextremes.plans.events import find_events, point_series
 from gridextremes.sources import cube as cubes
 from gridextremes.sources import sinks
 
-ATTRS = {"clim_start": 1991, "clim_end": 2020, "pctile": 90.0, "window_half_width": 5, "smooth_width": 31, "schema_version": "1"}
+ATTRS = {"units": "degC", "clim_start": 1991, "clim_end": 2020, "pctile": 90.0, "window_half_width": 5, "smooth_width": 31, "schema_version": "1"}
 
 
 def test_anomaly_and_series(spark):
@@ -160,7 +160,7 @@ def test_quality(spark):
     assert (worse["year span"], worse["bbox"], worse["schema version"]) == ("warn", "error", "error")
     assert all(r["ok"] for r in quality.light_check(good, ATTRS).collect())
     built = {**climatology_attrs(1991, 2020, bbox=[4, 34, 12, 42]), "schema_version": "1"}
-    assert {level for _, level, _ in quality.attr_checks(good, built)} == {"ok"} and built["pctile"] == 90.0
+    assert {r["level"] for r in quality.attr_checks(good, built).collect()} == {"ok"} and built["pctile"] == 90.0
     print_ = quality.fingerprint(good, ATTRS)
     assert print_ == quality.fingerprint(good.repartition(7), {**ATTRS, "created_utc": "now"})
     assert print_ != quality.fingerprint(good, {**ATTRS, "pctile": 95.0}) and print_ != quality.fingerprint(bad, ATTRS)

@@ -106,3 +106,17 @@ def test_slab_folder_stream(spark, tmp_path):
         slab.where("time = date '2022-06-02'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = sorted((r["dt"], round(r["sst"], 6)) for r in spark.read.parquet(str(tmp_path / "cube")).collect())
     assert got == [(day(0), 20.0), (day(1), 21.0)]
+
+
+def test_append_stores_a_day_once_and_keeps_the_cells(spark, tmp_path):
+    path = str(tmp_path / "cube")
+    rows = [(day(i), lat, lon, 20.0 + i, "nrt") for i in range(3) for lat in (40.0, 40.5) for lon in (10.0, 10.5)]
+    names = "dt date, lat double, lon double, sst double, product string"
+    first = spark.createDataFrame(rows, names)
+    incremental.append_slab(spark, path, first.unionByName(first))
+    assert spark.read.parquet(path).count() == len(rows)
+    slab = spark.createDataFrame([(day(i), lat + 0.1, lon + 0.1, 30.0, "nrt") for i in (2, 3, 4) for lat in (39.5, 40.0, 40.5) for lon in (9.5, 10.0, 10.5)], names)
+    incremental.append_slab(spark, path, slab.unionByName(slab))
+    got = spark.read.parquet(path)
+    assert got.select("lat", "lon").distinct().count() == 4 and got.count() == len(rows) + 2 * 4
+    assert {r["sst"] for r in got.where(F.col("dt") > day(2)).collect()} == {30.0}

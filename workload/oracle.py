@@ -7,7 +7,7 @@ dims AS (SELECT CAST(ceil(sqrt(max(s_suppkey) + 1)) AS BIGINT) AS w FROM supplie
 cells AS (
   SELECT k, r, c, 34e0 + step * r AS lat, 4e0 + step * c AS lon, step
   FROM (SELECT s_suppkey AS k, s_suppkey // w AS r, s_suppkey % w AS c,
-               CASE WHEN w <= 48 THEN 0.75e0 ELSE 36e0 / w END AS step
+               0.75e0 / pow(2e0, greatest(0e0, ceil(log2(w * 0.75e0 / 36e0)))) AS step
         FROM supplier, dims)
 ),
 days AS (
@@ -98,7 +98,7 @@ def detection(cube: str = "cube", prefix: str = "") -> str:
 {p}graded AS (
   SELECT t.*, p.date_peak,
          CAST(CASE WHEN thresh <= seas THEN 1
-                   ELSE least(5, greatest(1, floor((seas + i_max - seas) / (thresh - seas)))) END AS INTEGER) AS category
+                   WHEN thresh IS NOT NULL THEN least(5, greatest(1, floor((seas + i_max - seas) / (thresh - seas)))) END AS INTEGER) AS category
   FROM {p}stats t JOIN {p}peaks p USING (lat, lon, event_no)
 ),
 {p}events AS (
@@ -303,8 +303,9 @@ shape AS (
 
 MASK = """,
 land AS (
-  SELECT CAST(c_custkey * 7 % n_lat AS INTEGER) AS ilat, CAST(c_custkey * 5 % n_lon AS INTEGER) AS ilon
-  FROM customer, shape WHERE c_acctbal > 9500
+  SELECT CAST(c_custkey * 7 % n_lat AS INTEGER) AS ilat,
+         CAST((c_custkey % n_lat) * (c_custkey % n_lat) % n_lon AS INTEGER) AS ilon
+  FROM customer, shape
 ),
 grown AS (
   SELECT DISTINCT ilat + dy AS ilat, ilon + dx AS ilon
@@ -487,8 +488,40 @@ FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders) GROUP BY 1""",
 SELECT CAST(year(dt) AS INTEGER) AS year, count(*) AS n, count(DISTINCT dt) AS n_days, round(sum(sst), 2) AS total
 FROM (SELECT dt, sst FROM cube WHERE dt <= DATE '2000-12-31'
       UNION ALL
-      SELECT dt, thetao - 273.15e0 FROM surface
-      WHERE dt NOT IN (SELECT dt FROM cube WHERE dt <= DATE '2000-12-31')) GROUP BY 1"""),
+      SELECT dt, min(thetao - 273.15e0) FROM surface
+      WHERE dt NOT IN (SELECT dt FROM cube WHERE dt <= DATE '2000-12-31')
+      GROUP BY dt, nav_lat, nav_lon) GROUP BY 1"""),
+    "backfilled_years": sql(CUBE, """
+SELECT CAST(year(dt) AS INTEGER) AS year, count(*) AS n, round(sum(sst), 2) AS total FROM cube WHERE year(dt) IN (1996, 1998) GROUP BY 1"""),
+    "refresh_freshness": sql(CUBE, """
+SELECT min(dt) AS cube_start, max(dt) AS cube_end, any_value(t) AS last_success,
+       CASE WHEN any_value(age) < 6 THEN 'fresh' WHEN any_value(age) < 24 THEN 'good' WHEN any_value(age) < 72 THEN 'stale'
+            WHEN any_value(age) IS NULL THEN 'unknown' ELSE 'very_stale' END AS bucket
+FROM cube, (SELECT t, date_diff('hour', CAST(t AS TIMESTAMP), TIMESTAMP '2001-11-09 12:00:00') AS age
+            FROM (SELECT CAST(max(o_orderdate) AS DATE) AS t FROM orders WHERE o_orderstatus = 'F'))"""),
+    "nearest_day": sql(CUBE, """
+SELECT dt, lat, lon, round(sst, 6) AS sst FROM cube
+WHERE dt = (SELECT dt FROM days ORDER BY abs(date_diff('day', DATE '2002-03-01', dt)), dt DESC LIMIT 1)"""),
+    "decimated_cells": sql(CELLS, """
+SELECT lat, lon FROM cells, (SELECT min(r) AS r0, min(c) AS c0, greatest(1, CAST(ceil(sqrt(
+         (max(r) - min(r) + 1) * (max(c) - min(c) + 1) / 25e0)) AS BIGINT)) AS stride FROM cells)
+WHERE (r - r0) % stride = 0 AND (c - c0) % stride = 0"""),
+    "clim_stored": sql(CLIM, "SELECT *, 1995 AS clim_start FROM clim"),
+    "derived_stored": sql(DERIVED, """
+SELECT CAST(year(dt) AS INTEGER) AS year, flag AS mhw_flag, cat AS mhw_category, count(*) AS n FROM derived GROUP BY 1, 2, 3"""),
+    "event_collection": sql(WINDOWED + """,
+boxed AS (SELECT * FROM events WHERE centroid_lon BETWEEN 4.75 AND 10 AND centroid_lat BETWEEN 34.75 AND 40)"""
+                            + clustering("boxed"), f"""
+SELECT {CLUSTER_COLUMNS}, (SELECT count(*) FROM clusters) AS "numberMatched",
+       (SELECT CASE WHEN count(*) > 30 THEN 30 END FROM clusters) AS next, 0 AS prev
+FROM clusters ORDER BY event_seq LIMIT 20 OFFSET 10"""),
+    "events_csv": sql(IMPACT, """
+SELECT c.event_id, date_start, c.n_pixels, n_aquaculture_sites, mpa_area_km2, seagrass_area_km2
+FROM clusters c JOIN impact i ON i.event_id = c.event_id"""),
+    "events_geoparquet": sql(CLUSTERS, "SELECT event_id, date_start, date_end, date_peak, n_pixels FROM clusters"),
+    "overlay_geojson": sql(CELLS + PLACES, """
+SELECT feature_id, 'Polygon' AS geom_type, x0 AS xmin, y0 AS ymin, x0 + w AS xmax, y0 + h AS ymax,
+       CASE WHEN kind = 'mpa' THEN 5 ELSE 1 END AS n_props FROM rects"""),
     "clim_pooled": sql(POOLED, "SELECT lat, lon, doy, round(seas, 6) AS seas, round(thresh, 6) AS thresh FROM pooled"),
     "clim_smoothed": sql(CLIM, "SELECT * FROM clim"),
     "clim_year_range": sql(
@@ -517,6 +550,9 @@ SELECT "check", level, value FROM (
   SELECT unnest([
     {'check': 'required variables', 'level': 'ok', 'value': CAST(NULL AS DOUBLE)},
     {'check': 'seas type', 'level': 'ok', 'value': NULL}, {'check': 'thresh type', 'level': 'ok', 'value': NULL},
+    {'check': 'units', 'level': 'ok', 'value': NULL},
+    {'check': 'seas lowest', 'level': 'ok', 'value': round(s0, 2)}, {'check': 'seas highest', 'level': 'ok', 'value': round(s1, 2)},
+    {'check': 'thresh lowest', 'level': 'ok', 'value': round(t0, 2)}, {'check': 'thresh highest', 'level': 'ok', 'value': round(t1, 2)},
     {'check': 'required attributes', 'level': 'ok', 'value': 0}, {'check': 'schema version', 'level': 'ok', 'value': NULL},
     {'check': 'year order', 'level': 'ok', 'value': 7}, {'check': 'year span', 'level': 'warn', 'value': 7},
     {'check': 'created_utc', 'level': 'ok', 'value': NULL}, {'check': 'bbox', 'level': 'ok', 'value': NULL},
@@ -719,3 +755,4 @@ SELECT round(sum(length_km), 1) AS coast_total_km, round(sum(length_km) FILTER (
 SELECT lat, lon, date_start, date_end, date_peak, duration_days, intensity_max, intensity_mean, intensity_cumulative, category, category_name
 FROM events WHERE date_end <= (SELECT max(dt) - 30 FROM cube)"""),
 }
+ORACLE["append_twice"] = ORACLE["slab_merge"]

@@ -1,8 +1,8 @@
 """Cube, overlays, farms, coast and class cells, derived from the given tables.
 
 Every supplier is one grid cell, so the cube grows with the data: one row per
-supplier and day. The grid is as square as it can be; its step is 0.75 degrees
-until the region would grow beyond 36 degrees, and shrinks from there on.
+supplier and day. The grid is as square as it can be; its step is 0.75 degrees,
+halved until the region is at most 36 degrees wide, so it is exact in binary.
 """
 
 from __future__ import annotations
@@ -51,10 +51,15 @@ def width(spark: SparkSession, sf_dir: str) -> int:
     return _once(spark, sf_dir, "width", build)
 
 
+def step_of(w: int) -> float:
+    """Step of a grid of ``w`` cells per side."""
+    return STEP / 2 ** max(0, math.ceil(math.log2(w * STEP / MAX_SPAN)))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``k, r, c, lat, lon`` of every supplier."""
     w = width(spark, sf_dir)
-    step = STEP if w <= 48 else MAX_SPAN / w
+    step = step_of(w)
     placed = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("k"),
         F.floor(F.col("s_suppkey") / w).cast("long").alias("r"), (F.col("s_suppkey") % w).alias("c"),
