@@ -33,7 +33,7 @@ KM_PER_DEGREE_DISTANCE = 111.0
 
 def category_index(sst_max: Column, clim: Column, thresh: Column) -> Column:
     """Severity 1..5 of an event peak; 1 where the threshold is not above the mean, NULL without one."""
-    ratio = F.floor((sst_max - clim) / (thresh - clim))
+    ratio = F.floor((sst_max - clim) / F.nullif(thresh - clim, F.lit(0.0)))
     return (
         F.when((thresh <= clim) | (ratio < 1), F.lit(1))
         .when(ratio.isNotNull(), F.least(F.lit(5), ratio))
