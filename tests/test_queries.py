@@ -11,7 +11,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry_point  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
 
 
