@@ -31,8 +31,6 @@ def features(text: Column) -> dict[str, Column]:
         "symbol_words": share(r"(?<!\S)[^\p{L}\p{N}\s]++(?!\S)", words),
         "repeated_words": share(r"(?<!\S)(\S++)\s++\1(?!\S)", words),
         "upper": share(r"\p{Lu}", chars),
-        "digits": share(r"\p{Nd}", chars),
-        "letters": share(r"\p{L}", chars),
         "word_chars": F.least(chars / words, F.lit(20.0)) / 20,
         "few_words": F.exp(-words / 50),
         "lines": share(r"\n", words),
@@ -55,24 +53,32 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 30) ->
     return w, mean, scale
 
 
-def evidence(labelled: DataFrame, text_col: str, label_col: str, max_rows: int = MAX_FIT_ROWS) -> tuple[Column, float]:
-    """log odds of a good document given its text, as a column over ``text``; share of good ones in the fit.
+def sampled_labels(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> DataFrame:
+    """``label_id, good, order`` of at most ``max_rows`` labelled ids, those first by a hash of the id."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(
+        F.when(F.avg(label_col) >= 0.5, 1.0).otherwise(0.0).alias("good"))
+    return known.withColumn("order", F.xxhash64("label_id")).orderBy("order", "label_id").limit(max_rows)
+
 
-    Fitted on at most ``max_rows`` rows of ``labelled``, those first by a hash of
-    the text. Without rows of both kinds there is no evidence: 0 for every text.
+def evidence(texts: DataFrame, sample: DataFrame, max_rows: int = MAX_FIT_ROWS) -> tuple[Column, float]:
+    """log odds of a good document, as a column over ``text``; share of good ones in the fit.
+
+    ``texts`` has ``label_id, text``. The sample of labels is broadcast: it has
+    ``max_rows`` rows at most. Texts stay where they are; what comes back are the
+    features of at most ``max_rows`` rows. Without rows of both kinds there is no
+    evidence: 0 for every text.
     """
-    text = F.col(f"`{text_col}`")
-    found = labelled.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("double").alias("good"), text.alias("text"))
-    found = found.withColumn("order", F.xxhash64("text")).orderBy("order", "good").limit(max_rows)
+    found = texts.join(F.broadcast(sample), "label_id")
     names = list(features(F.col("text")))
-    rows = found.select("good", *[c.alias(n) for n, c in features(F.col("text")).items()]).collect()
+    shown = found.select("order", "good", *[c.alias(n) for n, c in features(F.col("text")).items()])
+    rows = shown.orderBy("order", *names).limit(max_rows).collect()
     y = np.array([r["good"] for r in rows])
     prior = float(y.mean()) if len(y) else 0.5
     if not len(y) or not 0 < prior < 1:
         return F.lit(0.0), prior
     w, mean, scale = fit(np.array([[r[n] for n in names] for r in rows]), y)
     total = F.lit(float(w[-1]))
-    for n, c, weight, m, s in zip(names, features(text).values(), w, mean, scale, strict=False):
+    for n, c, weight, m, s in zip(names, features(F.col("text")).values(), w, mean, scale, strict=False):
         total = total + (c - F.lit(float(m))) * F.lit(float(weight / s))
     return F.least(F.greatest(total, F.lit(-30.0)), F.lit(30.0)), prior
 
@@ -108,17 +114,16 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
 
     ``labels`` holds ``id_col`` and ``label_col`` (1 good, 0 bad); null labels and
     ids are ignored, conflicting ones averaged and halves rounded up. Statistics
-    cover all rows; the classifier sees ``max_fit_rows`` labelled rows at most.
+    cover all rows; the classifier sees ``max_fit_rows`` labelled rows at most, those
+    first by a hash of the id.
     Null or empty texts count as texts without words; null hosts and paths are a
     host and a path of their own; repeated rows are judged alike; an empty table
     gives an empty result; extra columns of any name stay in ``row``.
     """
     packed_docs = docs.select(packed(docs), host.alias("host"), path.alias("path"))
     text, key = F.col(f"row.`{text_col}`"), F.col(f"row.`{id_col}`")
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(
-        F.when(F.avg(label_col) >= 0.5, 1).otherwise(0).alias("good"))
-    labelled = packed_docs.select(key.alias("label_id"), text.alias("text")).join(known, "label_id").select("text", "good")
-    odds, prior = evidence(labelled, "text", "good", max_fit_rows)
+    sample = sampled_labels(labels, id_col, label_col, max_fit_rows)
+    odds, prior = evidence(packed_docs.select(key.alias("label_id"), text.alias("text")), sample, max_fit_rows)
     base = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0
     judged = packed_docs.withColumn("text", text).withColumn("odds", odds).drop("text").withColumn("p", _logistic(F.col("odds")))
     paths = materialise(judged.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n")), "paths")
