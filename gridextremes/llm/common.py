@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def summed_arrays(rows: DataFrame, kind: str) -> dict[int, np.ndarray]:
-    """Sum of the arrays (``counts``, packed as ``kind``) of each ``block``.
+def summed_arrays(rows: DataFrame, kind: str, unpack: Callable[[bytes], np.ndarray] | None = None) -> dict[int, np.ndarray]:
+    """Sum of the arrays (``counts``, packed as ``kind`` unless ``unpack`` reads them) of each ``block``.
 
     The blocks are dealt to tasks that add up one row after the other, so a task
     holds one array per block of its own. The sums go to the driver: the caller
@@ -47,7 +47,7 @@ def summed_arrays(rows: DataFrame, kind: str) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
-                more = np.frombuffer(counts.as_buffer(), kind)
+                more = unpack(counts.as_py()) if unpack else np.frombuffer(counts.as_buffer(), kind)
                 sums[block] = sums[block] + more if block in sums else more.copy()
         if sums:
             yield pa.RecordBatch.from_arrays(

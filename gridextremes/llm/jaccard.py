@@ -9,6 +9,7 @@ of them are indexed instead. Every candidate is verified on the whole sets.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,12 @@ WORDS = 5
 PERCENT = 80
 CELLS = 1 << 22  # counters of the frequency sketch
 BLOCK = 1 << 14
+MARKS = 1 << 24  # places of the bitmap that picks texts
 FREQUENT = 0.01  # a shingle in more than this share of the documents is frequent
+LEADERS = 3  # sets of a key that are compared with the others in a round
 NO_ID = 1 << 62  # classes whose ids are all null get numbers from here on
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+ONE = np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -67,6 +71,7 @@ def index_keys(hashes: np.ndarray, counts: np.ndarray, frequent: float, percent:
     ``size - t + k`` they share k, so of k - 1 groups of shingles one holds two,
     and the combination of the two meets. The number of groups follows from the
     size of the larger set, so a set near a power of two takes both numbers.
+    The keys of single rare shingles are even, all others odd.
     """
     n = len(hashes)
     if n * 100 < percent * (n + 1):  # too small to be similar to any other set
@@ -75,17 +80,28 @@ def index_keys(hashes: np.ndarray, counts: np.ndarray, frequent: float, percent:
     order = np.lexsort((hashes, counts))
     ranked, often = hashes[order], counts[order] > frequent
     first = n - need + 1
-    keys = [ranked[:first][~often[:first]]]
+    keys = [ranked[:first][~often[:first]] & ~ONE]
     if often[:first].any():
         level = n.bit_length() - 1
         levels = [level] + [level + 1] * (n * 100 >= percent << (level + 1))
         for g in levels:
+            if percent << g < 200:  # such small sets may share a single shingle
+                keys.append(ranked[:first][often[:first]] | ONE)
+                continue
             groups = max(1, (1 << g) // 8)
             some = ranked[: min(n, n - need + groups + 1)][often[: min(n, n - need + groups + 1)]]
             keys.append(_pairs(np.sort(some), groups, g))
     return np.unique(np.concatenate(keys))
 
 
+def rare_first(counts: np.ndarray, frequent: float, percent: int = PERCENT) -> int:
+    """How many shingles of the prefix are rare."""
+    if not len(counts):
+        return 0
+    first = len(counts) + 1 + percent * -len(counts) // 100
+    return int((np.partition(counts, first - 1)[:first] <= frequent).sum())
+
+
 def _pairs(some: np.ndarray, groups: int, level: int) -> np.ndarray:
     """A key for every two of ``some`` that fall into the same of ``groups``."""
     group = (some >> np.uint64(24)) % np.uint64(groups)
@@ -97,7 +113,7 @@ def _pairs(some: np.ndarray, groups: int, level: int) -> np.ndarray:
         if not same.any():
             break
         low, high = some[:-gap][same], some[gap:][same]
-        found.append(_mixed(low * _ODD + high + np.uint64(level)))
+        found.append(_mixed(low * _ODD + high + np.uint64(level)) | ONE)
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
@@ -106,6 +122,16 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _small(counts: np.ndarray) -> bytes:
+    """Counts packed with as few bytes each as the largest needs, and compressed."""
+    kind = np.min_scalar_type(counts.max())
+    return kind.char.encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _large(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), packed[:1].decode()).astype(np.uint32)
+
+
 def frequencies(texts: DataFrame, words: int = WORDS, cells: int = CELLS) -> np.ndarray:
     """Counters of all shingles of column ``text`` (binary), hashed into ``cells``.
 
@@ -128,12 +154,12 @@ def frequencies(texts: DataFrame, words: int = WORDS, cells: int = CELLS) -> np.
         blocks = [k for k in range(0, cells, BLOCK) if own[k : k + BLOCK].any()]
         if blocks:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int32()), pa.array([own[k : k + BLOCK].tobytes() for k in blocks], pa.binary())],
+                [pa.array(blocks, pa.int32()), pa.array([_small(own[k : k + BLOCK]) for k in blocks], pa.binary())],
                 ["block", "counts"],
             )
 
     total = np.zeros(cells, np.uint32)
-    for block, part in summed_arrays(texts.mapInArrow(count, "block int, counts binary"), "u4").items():
+    for block, part in summed_arrays(texts.mapInArrow(count, "block int, counts binary"), "u4", _large).items():
         total[block : block + len(part)] = part
     return total
 
@@ -142,7 +168,8 @@ def indexed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
             frequent: float) -> DataFrame:
     """Index keys of every row, the percentage being 50 at least, else the combinations would not suffice.
 
-    Per row: ``id``, ``n`` (size of its set), ``digest`` of the set, ``text_hash``, ``centre``, ``keys``."""
+    Per row: ``id``, ``n`` (size of its set), ``digest`` of the set, ``text_hash``, ``rare`` (see ``rare_first``), ``keys``.
+    """
     if percent < 50:
         raise ValueError(f"percent is 50 or more: {percent}")
     text = F.col(f"`{text_col}`")
@@ -152,28 +179,28 @@ def indexed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from gridextremes.llm.jaccard import index_keys, shingle_set
+        from gridextremes.llm.jaccard import index_keys, rare_first, shingle_set
 
         every = shared.value
         for batch in batches:
             for k in range(0, len(batch), 256):
                 some = batch.slice(k, 256)
-                sizes, digests, centres, keys = [], [], [], []
+                sizes, digests, keys, rare = [], [], [], []
                 for one in some.column("text"):
                     hashes = shingle_set(one.as_py(), words)
                     often = every[(hashes & np.uint64(cells - 1)).astype(np.int64)]
                     sizes.append(len(hashes))
                     digests.append(xxhash.xxh3_128_digest(hashes))
-                    centres.append(float(np.log2(often + 1.0).mean()) if len(hashes) else 0.0)
                     keys.append(index_keys(hashes, often, limit, percent).view(np.int64))
+                    rare.append(rare_first(often, limit, percent))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [some.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), some.column("text_hash"),
-                     pa.array(centres), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                    ["id", "n", "digest", "text_hash", "centre", "keys"],
+                     pa.array(rare, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
+                    ["id", "n", "digest", "text_hash", "rare", "keys"],
                 )
 
-    schema = "id long, n long, digest binary, text_hash long, centre double, keys array<long>"
+    schema = "id long, n long, digest binary, text_hash long, rare long, keys array<long>"
     return materialise(source.withColumn("id", F.col("id").cast("long")).mapInArrow(index, schema), "prefixes")
 
 
@@ -183,45 +210,141 @@ def _classes(rows: DataFrame) -> DataFrame:
     return materialise(
         rows.where("n > 0").groupBy("digest").agg(
             F.min("id").alias("id"), F.first("n").alias("n"), F.first("text_hash").alias("text_hash"),
-            F.first("centre").alias("centre"), F.first("keys").alias("keys"),
-        ).select(F.coalesce("id", alone).alias("node"), "digest", "n", "text_hash", "centre", "keys"),
+            F.first("rare").alias("rare"), F.first("keys").alias("keys"),
+        ).select(F.coalesce("id", alone).alias("node"), "digest", "n", "text_hash", "rare", "keys"),
         "classes",
     )
 
 
-def _shared_keys(classes: DataFrame) -> DataFrame:
-    """Index entries whose key another set has as well."""
-    entries = classes.select("node", "n", "centre", F.explode("keys").alias("key"))
+def _shared_keys(classes: DataFrame, percent: int) -> DataFrame:
+    """Index entries ``node, key, weight`` whose key another set has as well, with what bounds the links of the set.
+
+    ``behind``: shingles that may be common beside the rare ones of the prefix;
+    ``plain``: the prefix has rare ones only; ``shared``: how many of these another
+    set has, ``bits`` their places on 64 bits. ``weight`` is high for sets whose keys have many members.
+    """
+    entries = classes.select("node", "n", "rare", F.explode("keys").alias("key"))
     members = F.count(F.lit(1)).over(W.partitionBy("key"))
-    return materialise(entries.withColumn("members", members).where("members > 1").drop("members"), "entries")
+    entries = materialise(entries.withColumn("members", members).where("members > 1"), "entries")
+    facts = entries.groupBy("node").agg(F.sum("members").alias("weight"), F.count_if(F.col("key") % 2 == 0).alias("shared"),
+        F.coalesce(F.bit_or(F.when(F.col("key") % 2 == 0, F.expr("shiftleft(1L, cast(pmod(shiftright(key, 8), 64) AS INT))"))), F.lit(0)).alias("bits"))
+    first = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
+    return materialise(entries.join(facts, "node").select(
+        "node", "n", "key", "weight", "shared", "bits", (F.col("n") - F.col("rare")).alias("behind"), (F.col("rare") == first).alias("plain")), "bounded")
 
 
-def _sets(docs: DataFrame, text_col: str, classes: DataFrame, entries: DataFrame, words: int) -> DataFrame:
-    """``node, hashes`` of the sets that have a candidate, made again from one of their texts."""
-    wanted = classes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "digest", "text_hash")
-    text = F.col(f"`{text_col}`")
-    texts = docs.select(text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash")).join(
-        wanted.select("text_hash").distinct(), "text_hash", "left_semi"
+BOUNDS = ["n", "shared", "bits", "behind", "plain"]
+
+
+def _possible(percent: int, common=None):
+    """Whether sets a and b may share enough, ``common`` of the rare shingles of their prefixes being common.
+
+    Where the prefix of a set reaches frequent shingles, it holds all rare ones
+    of the set. So beside the common rare ones only frequent shingles can be
+    common if both prefixes do, or else what lies behind the prefix of the plain one.
+    """
+    if common is None:  # on each place that only one set has lies at least one that is not common
+        common = F.expr("least(a_shared - bit_count(a_bits & ~b_bits), b_shared - bit_count(b_bits & ~a_bits))")
+    beside = (
+        F.when(F.col("a_plain") & F.col("b_plain"), F.greatest("a_behind", "b_behind"))
+        .when(F.col("a_plain"), F.col("a_behind")).when(F.col("b_plain"), F.col("b_behind")).otherwise(F.least("a_behind", "b_behind"))
     )
+    size = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    return size & ((common + beside) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent)
+
+
+def _side(entries: DataFrame, side: str, *more: str) -> DataFrame:
+    return entries.select("key", F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in (*BOUNDS, *more)])
+
+
+def _marks(hashes: DataFrame, cells: int) -> np.ndarray:
+    """Which of ``cells`` places the hashes fall on, as packed bits."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from gridextremes.llm.jaccard import _small
+
+        own = np.zeros(cells, np.uint8)
+        for batch in batches:
+            own[batch.column(0).to_numpy() & (cells - 1)] = 1
+        blocks = [k for k in range(0, cells, BLOCK) if own[k : k + BLOCK].any()]
+        if blocks:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int32()), pa.array([_small(own[k : k + BLOCK]) for k in blocks], pa.binary())],
+                ["block", "counts"],
+            )
+
+    total = np.zeros(cells, bool)
+    for block, part in summed_arrays(hashes.mapInArrow(mark, "block int, counts binary"), "u4", _large).items():
+        total[block : block + len(part)] = part > 0
+    return np.packbits(total)
+
+
+def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
+    """``node, hashes`` of the classes ``wanted``, made again from one of their texts.
+
+    Texts that cannot be wanted are left out by a bitmap of fixed size, so texts
+    are not shuffled; the join by digest then is exact.
+    """
+    text = F.col(f"`{text_col}`")
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(wanted.select("text_hash"), MARKS))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from gridextremes.llm.jaccard import shingle_set
 
+        marks, seen = np.unpackbits(shared.value), set()
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                sets = [shingle_set(t.as_py(), words) for t in batch.column("text").slice(k, 256)]
+            hits = marks[batch.column("text_hash").to_numpy() & (MARKS - 1)].astype(bool)
+            texts = batch.column("text").filter(pa.array(hits))
+            for k in range(0, len(texts), 256):
+                sets = {}
+                for t in texts.slice(k, 256):
+                    hashes = shingle_set(t.as_py(), words)
+                    digest = xxhash.xxh3_128_digest(hashes)
+                    if digest not in seen:
+                        seen.add(digest)
+                        sets[digest] = hashes.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "hashes"],
-                )
+                    [pa.array(list(sets), pa.binary()), pa.array(list(sets.values()), pa.binary())], ["digest", "hashes"])
 
-    made = texts.select("text").mapInArrow(make, "digest binary, hashes binary")
+    source = docs.select(text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
+    made = source.mapInArrow(make, "digest binary, hashes binary")
     once = made.groupBy("digest").agg(F.first("hashes").alias("hashes"))
     return materialise(wanted.join(once, "digest").select("node", "hashes"), "sets")
 
 
+class _Verifier:
+    """Verifies candidate pairs on the whole sets, which are made when first needed."""
+
+    def __init__(self, docs: DataFrame, text_col: str, classes: DataFrame, entries: DataFrame, words: int, percent: int):
+        self.docs, self.text_col, self.words, self.percent = docs, text_col, words, percent
+        self.classes = classes.select("node", "digest", "text_hash")
+        rare = F.collect_list(F.when(F.col("key") % 2 == 0, F.col("key")))  # no more than a set has shingles
+        self.nodes = materialise(entries.groupBy("node").agg(
+            rare.alias("keys"), *[F.first(c).alias(c) for c in BOUNDS]), "nodes")
+        self.sets: DataFrame | None = None
+
+    def _promising(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose common rare shingles leave room for enough common shingles."""
+        for x in ("a", "b"):
+            pairs = pairs.join(self.nodes.select(*[F.col(c).alias(f"{x}_{c}") for c in self.nodes.columns]), F.col(x) == F.col(f"{x}_node"))
+        return pairs.where(_possible(self.percent, F.size(F.array_intersect("a_keys", "b_keys")))).select("a", "b")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` that are similar."""
+        near = materialise(self._promising(pairs), "pairs")
+        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        if self.sets is not None:
+            wanted = wanted.join(self.sets.select("node"), "node", "left_anti")
+        wanted = materialise(self.classes.join(wanted, "node", "left_semi"), "wanted")
+        if not wanted.isEmpty():
+            more = _sets(self.docs, self.text_col, wanted, self.words)
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        if self.sets is None:
+            return near
+        return _verified(near, self.sets, self.percent)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets are similar."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b")), "b"
     )
@@ -237,15 +360,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
-def _near_size(percent: int):
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-
-
 def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Candidates: sets of a similar size with a common key and, where labelled, of two components."""
-    left = entries.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-    right = entries.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & _near_size(percent)).select("a", "b").distinct()
+    """Candidates: sets of two components with a common key that may share enough."""
+    both = _side(entries, "a", "part").join(_side(entries, "b", "part"), "key")
+    return both.where((F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & _possible(percent)).select("a", "b").distinct()
 
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -253,27 +371,27 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """All links ``a, b`` between distinct sets, and the class ``node`` of each row (``id, n, node``)."""
     rows = indexed(docs, id_col, text_col, words, percent, cells, frequent)
     classes = _classes(rows)
-    entries = _shared_keys(classes)
-    sets = _sets(docs, text_col, classes, entries, words)
-    links = _verified(_all_pairs(entries.withColumn("part", F.col("node")), percent), sets, percent)
+    entries = _shared_keys(classes, percent)
+    links = _Verifier(docs, text_col, classes, entries, words, percent).links(_all_pairs(entries.withColumn("part", F.col("node")), percent))
     return links, rows.join(classes.select("digest", "node"), "digest", "left").select("id", "n", "node")
 
 
-def _labels(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _labels(entries: DataFrame, verifier: _Verifier, percent: int) -> DataFrame:
     """``node, part`` for the sets in ``entries``: the smallest node reachable by links.
 
-    The groups of a key are not expanded into pairs. In each round the most
-    central set of a key that has not led yet is compared with the key's sets of
-    other components; links join components, and keys left with one component
-    are done. A set that has led was compared with all it could link to there.
-    Once the pairs left are no more than the index has entries, or a round has not
-    halved them, they are all compared.
+    The groups of a key are not expanded into pairs. In each round, the most
+    central ``LEADERS`` sets of a key that have not led yet are compared with the
+    key's sets of other components; links join components, and keys left with
+    one component are done. A set that has led was compared with all it could link
+    to there. Central are sets whose keys have many members: an original rather
+    than its edits. Once the pairs left are no more than a quarter of the index
+    entries, or a round finds no link or hardly lessens them, they are all compared.
     """
     nodes = entries.select("node").distinct()
-    live = materialise(entries.withColumn("part", F.col("node")), "live")
+    live = entries.withColumn("part", F.col("node"))
     size = live.count()
     labels = materialise(nodes.withColumn("part", F.col("node")), "labels")
-    before = None
+    before, fruitless = None, False
     while True:
         of_parts = live.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
             F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"))
@@ -281,23 +399,24 @@ def _labels(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         left = (left or 0) / 2
         if not left:
             return labels
-        last = left <= size or (before is not None and left > before / 2)
+        last = left <= size / 4 or fruitless or (before is not None and left > 0.95 * before)
         before = left
         if last:
             pairs = _all_pairs(live, percent)
         else:
-            order = W.partitionBy("key").orderBy(F.desc("centre"), "node")
-            led = materialise(
-                live.withColumn("a", F.first("node").over(order)).withColumn("n_a", F.first("n").over(order))
-                .withColumn("part_a", F.first("part").over(order)).where("node != a"), "led")
-            pairs = led.withColumnsRenamed({"node": "b", "n": "n_b"}).where(
-                (F.col("part") != F.col("part_a")) & _near_size(percent)).select("a", "b").distinct()
-            live = led.drop("a", "n_a", "part_a")
-        links = _verified(pairs, sets, percent)
+            place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "node"))
+            ranked = materialise(live.withColumn("place", place), "ranked")
+            lead = _side(ranked.where(F.col("place") <= LEADERS), "a", "part", "place")
+            led = _side(ranked, "b", "part", "place").join(lead, "key")
+            pairs = led.where((F.col("b_place") > F.col("a_place")) & (F.col("a_part") != F.col("b_part")) & _possible(percent)).select(
+                F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            live = ranked.where(F.col("place") > LEADERS).drop("place")
+        links = verifier.links(pairs)
         known = labels.select(F.col("node").alias("a"), F.col("part").alias("pa"))
         joined = links.join(known, "a").join(known.withColumnsRenamed({"a": "b", "pa": "pb"}), "b")
         edges = materialise(joined.select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a != b").distinct(), "links")
-        parts = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        fruitless = edges.isEmpty()
+        parts = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
         merged = materialise(connected_components(edges, parts), "merged").withColumnsRenamed({"node": "part", "component": "to"})
         labels = materialise(labels.join(merged, "part", "left").select("node", F.coalesce("to", "part").alias("part")), "labels")
         if last:
@@ -325,8 +444,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = indexed(docs, id_col, text_col, words, percent, cells, frequent)
     classes = _classes(rows)
-    entries = _shared_keys(classes)
-    labels = _labels(entries, _sets(docs, text_col, classes, entries, words), percent)
+    entries = _shared_keys(classes, percent)
+    labels = _labels(entries, _Verifier(docs, text_col, classes, entries, words, percent), percent)
     of_set = classes.select("digest", "node").join(labels, "node", "left").select(
         "digest", F.coalesce("part", "node").alias("part"))
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("part") < NO_ID, F.col("part"))
