@@ -25,9 +25,10 @@ def append_slab(spark: SparkSession, cube_path: str, slab: DataFrame) -> None:
     """Add the days of a harmonised slab that the stored cube lacks.
 
     Days already there win, so nothing is rewritten: new rows are appended to
-    the year folders they belong to, and only those years of the cube are read.
-    Rows that repeat a day and cell are stored once, and a slab on other cells is
-    interpolated onto the cube's. Only the slab's years go to the driver.
+    the year folders they belong to, and only those years of the cube are read for
+    their days. Rows that repeat a day and cell are stored once, and a slab on cells
+    that no year of the cube has is interpolated onto the cube's. Only the slab's
+    years go to the driver.
     """
     cube = stored_cube(spark, cube_path)
     if cube is None:
@@ -52,9 +53,11 @@ def stored_cube(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def cube_cells(cube: DataFrame) -> DataFrame:
-    """Cells of a stored cube, from its last year."""
-    last = cube.agg(F.max("year").alias("y")).scalar()
-    return cube.where(F.col("year") == last).select("lat", "lon").distinct()
+    """Cells of a stored cube, from all its years: a year may so far hold only some of them.
+
+    Reads the two coordinate columns; equal cells are dropped map-side.
+    """
+    return cube.select("lat", "lon").distinct()
 
 
 def detect_recent(spark: SparkSession, cube_path: str, clim: DataFrame, today: date,

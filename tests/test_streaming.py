@@ -120,3 +120,16 @@ def test_append_stores_a_day_once_and_keeps_the_cells(spark, tmp_path):
     got = spark.read.parquet(path)
     assert got.select("lat", "lon").distinct().count() == 4 and got.count() == len(rows) + 2 * 4
     assert {r["sst"] for r in got.where(F.col("dt") > day(2)).collect()} == {30.0}
+
+
+def test_append_after_a_part_of_the_grid_opened_a_year(spark, tmp_path):
+    path = str(tmp_path / "cube")
+    cells = [(lat, lon) for lat in (40.0, 40.5, 41.0) for lon in (10.0, 10.5, 11.0)]
+    part = [(lat, lon) for lat, lon in cells if lat < 41 and lon < 11]
+    incremental.append_slab(spark, path, cube_of(spark, {c: [20.0, 20.5] for c in cells}, date(2021, 12, 30)))
+    incremental.append_slab(spark, path, cube_of(spark, {c: [21.0] for c in part}, date(2022, 1, 1)))
+    incremental.append_slab(spark, path, cube_of(spark, {c: [22.0 + i, None] for i, c in enumerate(cells)}, date(2022, 1, 2)))
+    got = {(r["dt"], r["lat"], r["lon"]): r["sst"] for r in spark.read.parquet(path).where("year = 2022").collect()}
+    want = {(date(2022, 1, 1), *c): 21.0 for c in part}
+    want |= {(date(2022, 1, 2), *c): 22.0 + i for i, c in enumerate(cells)} | {(date(2022, 1, 3), *c): None for c in cells}
+    assert got == want
