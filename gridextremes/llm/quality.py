@@ -17,6 +17,7 @@ def features(text: Column) -> dict[str, Column]:
     """Shares that tell prose from junk, in columns; each pattern runs in linear time on any text.
 
     Runs of marks and words are matched possessively and only where they begin.
+    Digits and letters are counted by what is left without runs of them or of others.
     """
     text = F.coalesce(text, F.lit(""))
     chars = F.greatest(F.length(text), F.lit(1))
@@ -31,6 +32,8 @@ def features(text: Column) -> dict[str, Column]:
         "symbol_words": share(r"(?<!\S)[^\p{L}\p{N}\s]++(?!\S)", words),
         "repeated_words": share(r"(?<!\S)(\S++)\s++\1(?!\S)", words),
         "upper": share(r"\p{Lu}", chars),
+        "digits": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Nd}+", ""))) / chars,
+        "letters": F.length(F.regexp_replace(text, r"\P{L}+", "")) / chars,
         "word_chars": F.least(chars / words, F.lit(20.0)) / 20,
         "few_words": F.exp(-words / 50),
         "lines": share(r"\n", words),

@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,25 @@ def test_features(spark):
         *[c.alias(n) for n, c in quality.features(F.col("text")).items()]).first()
     assert rows["marked_words"] * 11 == pytest.approx(2) and rows["symbol_words"] * 11 == pytest.approx(1)
     assert rows["repeated_words"] * 11 == pytest.approx(2)
+
+
+def test_shares_of_digits_and_letters(spark):
+    texts = ["", None, "ab 12", "٣٤ é\U0001d400 x1", "№ ½ -- 007", "q" * 50_000 + "5" * 50_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.select("text", *[c.alias(n) for n, c in quality.features(F.col("text")).items()]).collect()
+    for r in got:
+        t = r["text"] or ""
+        assert r["digits"] == pytest.approx(sum(unicodedata.category(c) == "Nd" for c in t) / max(1, len(t)))
+        assert r["letters"] == pytest.approx(sum(unicodedata.category(c)[0] == "L" for c in t) / max(1, len(t)))
+
+
+def test_pages_of_numbers_are_told_from_prose(documents, spark):
+    """Numbers in place of words, of the same lengths: only digits and letters differ."""
+    def page(i):
+        t = text(i, False)
+        return t if i % 2 else "".join(str(ord(c) % 10) if c.isalpha() else c for c in t)
+
+    docs = documents([(i, page(i), "s") for i in range(300)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    out = quality.judge(docs, labels, docs["source"], docs["lang"]).where("row.doc_id >= 200").select("row.doc_id", "kept").collect()
+    assert len(out) == 100 and all(r["kept"] == (r["doc_id"] % 2 == 1) for r in out)
