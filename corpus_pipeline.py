@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mix = mixing.mix_sources(docs, mixing.cycled_weights(docs)).where("copies > 0")
+    mix = mixing.mix_sources(docs, mixing.weight_table(docs)).where("copies > 0")
     return mix.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 

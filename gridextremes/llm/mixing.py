@@ -11,7 +11,6 @@ from ..session import materialise
 from .common import packed, word_count
 
 MAX_REPEATS = 3
-MAX_SOURCES = 100_000
 BUCKETS = 256
 EXACT = 1 << 15  # words of a budget that the dynamic programme fits
 
@@ -101,7 +100,36 @@ def fit_budget(sizes: list[int], counts: list[int], budget: float, exact: int =
     return taken
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float], source_col: str = "source",
+def _key(source: Column) -> list[Column]:
+    """A source as two columns without null, so that grouping, windows and joins share one shuffle."""
+    return [source.isNull().alias("nameless"), F.coalesce(source, F.lit("")).alias("named")]
+
+
+KEY = ["nameless", "named"]
+
+
+def shared_targets(sizes: DataFrame, budget: float, most: float = MAX_REPEATS) -> DataFrame:
+    """``targets`` over a table: ``target`` beside ``source_size`` and ``weight`` of every source.
+
+    Every round is one aggregate over the table, until it finds no further source
+    above its limit; only sums go to the driver.
+    """
+    size, weight = F.col("source_size") * F.lit(most), F.col("weight")
+    shares: list[Column] = [F.lit(float("-inf")), F.lit(float("-inf"))]
+    filled = -1
+    while True:
+        full = F.greatest(*shares) > size
+        r = sizes.agg(F.sum(F.when(~full, weight)).alias("total"), F.coalesce(F.sum(F.when(full, size)), F.lit(0)).alias("spent"),
+                      F.count_if(full).alias("full"), F.count_if(weight.isNull()).alias("unweighed")).first()
+        if r["unweighed"]:
+            raise ValueError(f"{r['unweighed']} sources without a weight")
+        if r["full"] == filled or r["total"] is None:
+            return sizes.withColumn("target", F.when(full, size.cast("double")).otherwise(shares[-1]))
+        filled = r["full"]
+        shares.append(F.lit(float(budget) - float(r["spent"])) * weight / F.lit(float(r["total"])))
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame | dict[str | None, float], source_col: str = "source",
                 id_col: str = "doc_id", size: Column | None = None, text_col: str = "text", share: float = 1.0,
                 seed: int = 7, most: int = MAX_REPEATS) -> DataFrame:
     """``row``, ``size``, ``source_size``, ``target`` and ``copies`` of every row.
@@ -115,8 +143,10 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float], source_col: s
     Sizes are counted per source, size and hash bucket, combined map-side; the
     fit sees one row per size of its source. The rank of a document is the count
     of the buckets before plus its rank inside its bucket, so a size or source
-    with a third of all rows is still spread over ``BUCKETS`` tasks. The list of
-    sources (at most ``MAX_SOURCES``, else it raises) is kept on the driver.
+    with a third of all rows is still spread over ``BUCKETS`` tasks. ``weights``
+    is a table ``source, weight`` with one row per source, of any number: sources
+    stay in tables. For few sources it may be a dict, which is worked on in the
+    driver. A source without a weight raises.
 
     Null text has size 0, a document of size 0 gets the whole repeats only, a
     null source is a source of its own, rows that repeat count each on their own,
@@ -124,47 +154,62 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float], source_col: s
     """
     spark = docs.sparkSession
     size = word_count(F.col(f"row.`{text_col}`")) if size is None else size
-    rows = docs.select(packed(docs)).withColumn("size", size).withColumn("source", F.col(f"row.`{source_col}`"))
+    rows = docs.select(packed(docs)).withColumn("size", size)
+    rows = rows.select("row", "size", *_key(F.col(f"row.`{source_col}`")))
     rows = rows.withColumn("hash", F.xxhash64(F.lit(seed), F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")))
     rows = rows.withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
-    lengths = materialise(rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    found = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("all")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["source"]: r["all"] for r in found}
-    target = targets(sizes, {s: weights[s] for s in sizes}, share * sum(sizes.values()), most)
-    plan = spark.createDataFrame(
-        [(i, s, sizes[s], target[s], int(target[s] // sizes[s]) if sizes[s] else 0) for i, s in enumerate(sizes)],
-        "sid int, named string, source_size long, target double, repeats int",
-    )
+    lengths = materialise(rows.groupBy(*KEY, "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    sizes = lengths.groupBy(*KEY).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    if isinstance(weights, dict):
+        found = {None if r["nameless"] else r["named"]: r["source_size"] for r in sizes.collect()}
+        target = targets(found, {s: weights[s] for s in found}, share * sum(found.values()), most)
+        plan = spark.createDataFrame([(s is None, s or "", found[s], target[s]) for s in found],
+                                     "nameless boolean, named string, source_size long, target double")
+    else:
+        weighed = materialise(sizes.join(weights.select(*_key(F.col("source")), "weight"), KEY, "left"), "sources")
+        plan = shared_targets(weighed, share * (weighed.agg(F.sum("source_size")).first()[0] or 0), most).drop("weight")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         from gridextremes.llm.mixing import fit_budget
 
         first = pdf.iloc[0]
-        rest = first["target"] - int(first["repeats"]) * int(first["source_size"])
-        pdf["take"] = fit_budget(pdf["size"].tolist(), pdf["n"].tolist(), rest)
-        return pdf[["sid", "size", "take"]]
-
-    known = lengths.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("named"))).drop("source", "named")
-    takes = known.groupBy("sid", "size", "source_size", "target", "repeats").agg(F.sum("n").alias("n")).groupBy(
-        "sid").applyInPandas(fit, "sid int, size long, take long")
-    before = F.sum("n").over(W.partitionBy("sid", "size").orderBy("bucket").rowsBetween(
+        whole, target = int(first["source_size"]), float(first["target"])
+        pdf["repeats"] = repeats = int(target // whole) if whole else 0
+        pdf["take"] = fit_budget(pdf["size"].tolist(), pdf["n"].tolist(), target - repeats * whole)
+        return pdf[["nameless", "named", "size", "source_size", "target", "repeats", "take"]]
+
+    takes = lengths.groupBy(*KEY, "size").agg(F.sum("n").alias("n")).join(plan, KEY).groupBy(*KEY).applyInPandas(
+        fit, "nameless boolean, named string, size long, source_size long, target double, repeats int, take long")
+    before = F.sum("n").over(W.partitionBy(*KEY, "size").orderBy("bucket").rowsBetween(
         W.unboundedPreceding, W.currentRow)) - F.col("n")
-    quota = known.withColumn("before", before).join(takes, ["sid", "size"]).select("sid", "size", "bucket", "before", "take")
-    rows = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("named"))).drop("source", "named")
-    rank = F.row_number().over(W.partitionBy("sid", "size", "bucket").orderBy("hash", f"row.`{id_col}`"))
+    quota = lengths.withColumn("before", before).drop("n").join(takes, [*KEY, "size"])
+    rank = F.row_number().over(W.partitionBy(*KEY, "size", "bucket").orderBy("hash", f"row.`{id_col}`"))
     return (
-        rows.withColumn("rank", rank).join(quota, ["sid", "size", "bucket"])
+        rows.withColumn("rank", rank).join(quota, [*KEY, "size", "bucket"])
         .withColumn("copies", F.col("repeats") + (F.col("before") + F.col("rank") <= F.col("take")).cast("int"))
         .select("row", "size", "source_size", "target", "copies")
     )
 
 
+def weight_table(docs: DataFrame, source_col: str = "source", cycle: tuple[float, ...] = (1, 2, 3)) -> DataFrame:
+    """``source, weight``: sources by code point, null last, weighed by ``cycle`` in turn.
+
+    Sources are dealt out by range and numbered within their partition; the
+    driver gets one count per partition.
+    """
+    order = F.col("source").asc_nulls_last()
+    found = docs.select(F.col(f"`{source_col}`").alias("source")).distinct().repartitionByRange(order).sortWithinPartitions(order)
+    placed = materialise(found.withColumn("place", F.monotonically_increasing_id()), "placed")
+    part, row = F.shiftrightunsigned("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    starts, start = [], 0
+    for r in sorted(placed.groupBy(part.alias("part")).count().collect()):
+        starts.append((r["part"], start))
+        start += r["count"]
+    table = docs.sparkSession.createDataFrame(starts, "part long, start long")
+    weight = F.element_at(F.array(*[F.lit(float(c)) for c in cycle]), ((F.col("start") + row) % len(cycle) + 1).cast("int"))
+    return placed.withColumn("part", part).join(F.broadcast(table), "part").select("source", weight.alias("weight"))
+
+
 def cycled_weights(docs: DataFrame, source_col: str = "source", cycle: tuple[float, ...] = (1, 2, 3)) -> dict:
-    """Sources by code point, null last, weighed by ``cycle`` in turn."""
-    found = [r[0] for r in docs.select(F.col(source_col)).distinct().limit(MAX_SOURCES + 1).collect()]
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda s: (s is None, s or ""))
-    return {s: float(cycle[i % len(cycle)]) for i, s in enumerate(found)}
+    """``weight_table`` as a dict, for few sources: all of them go to the driver."""
+    return {r["source"]: r["weight"] for r in weight_table(docs, source_col, cycle).collect()}

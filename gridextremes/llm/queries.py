@@ -64,7 +64,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_sources(docs, mixing.cycled_weights(docs)).select(
+    return mixing.mix_sources(docs, mixing.weight_table(docs)).select(
         "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 

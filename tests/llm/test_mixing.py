@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -75,3 +76,29 @@ def test_empty_and_clashing(spark, documents):
     clash = documents([(1, "a b", "x"), (2, "c", None)]).withColumns(
         {c: F.lit(1) for c in ("row", "size", "hash", "bucket", "sid", "target", "copies", "take", "before", "rank", "named", "n")})
     assert mixture(spark, clash).count() == 2
+
+
+def test_more_than_100_000_sources(spark):
+    n = 100_020
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("two words").alias("text"),
+                                 F.when(F.col("id") > 0, F.concat(F.lit("host-"), "id")).alias("source"))
+    names = sorted(f"host-{i}" for i in range(1, n))
+    want = {s: i % 3 + 1.0 for i, s in enumerate([*names, None])}
+    assert mixing.cycled_weights(docs) == want
+    some = docs.where("doc_id % 50 = 0")
+    out = mixing.mix_sources(some, mixing.weight_table(docs)).select("row.source", "target", "copies").collect()
+    target = mixing.targets({r["source"]: 2 for r in out}, want, 2 * len(out))
+    assert len(out) == 2001 and {r["source"]: r["target"] for r in out} == target
+    assert all(abs(2 * r["copies"] - r["target"]) <= 1 for r in out)
+
+
+def test_table_of_weights_gives_what_a_dict_gives(spark, documents):
+    rows = [(i, "w " * (i % 23 + 1) * (1 + 40 * (i % 7 == 3)), f"s{i % 7}" if i % 11 else None) for i in range(600)] + [(700, None, "none"), (701, "", "")]
+    docs = documents(rows)
+    weights = {f"s{k}": float(3 ** k) for k in range(7)} | {None: 5.0, "none": 2.0, "": 1.0}
+    table = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    columns = ["row.doc_id", "size", "source_size", "target", "copies"]
+    got, want = (sorted(tuple(r) for r in mixing.mix_sources(docs, w).select(*columns).collect()) for w in (table, weights))
+    assert len(got) == len(rows) and got == want
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, table.where("source != 's1'"))
