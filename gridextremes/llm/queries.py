@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import chat, exact_dedup, hmm, jaccard, mixing, packing, quality, sharding, url_filter, vantage
+from . import chat, exact_dedup, hmm, jaccard, line_dedup, mixing, packing, quality, sharding, url_filter, vantage
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,6 +90,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(docs).withColumnRenamed("id", "doc_id")
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_repeated_lines(docs).select(
+        "row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality": op2_quality,
@@ -101,6 +108,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_line_dedup": op12_line_dedup,
 }
 
 _WHITE = r"[\x20\x09-\x0D]"
@@ -157,4 +165,12 @@ ORACLE = {
         m AS (SELECT node, min(to_node) AS component_id FROM r GROUP BY node)
         SELECT g.doc_id, len(g.g)::BIGINT AS n_shingles, coalesce(m.component_id, g.doc_id) AS component_id
         FROM g LEFT JOIN c ON list_sort(g.g) = c.g LEFT JOIN m ON m.node = c.node""",
+    "op12_line_dedup": f"""
+        WITH l AS (SELECT r, doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS line
+                   FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+        k AS (SELECT r, doc_id, pos, line, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+        f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key)
+        SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (k.doc_id <> f.first) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.first IS NULL OR k.doc_id = f.first), '')) AS kept_sha256
+        FROM k LEFT JOIN f ON k.key = f.key GROUP BY r, k.doc_id""",
 }
