@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import chat, exact_dedup, hmm, jaccard, line_dedup, mixing, packing, quality, sharding, url_filter, vantage
+from . import chat, exact_dedup, hmm, jaccard, line_dedup, mixing, packing, quality, sharding, spelling, url_filter, vantage, whitening
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,6 +90,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(docs).withColumnRenamed("id", "doc_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors).select(
+        "row.vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"),
+        "whitened", "explained", "identity_error",
+    )
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.without_repeated_lines(docs).select(
@@ -97,6 +105,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality": op2_quality,
@@ -108,12 +120,29 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_whitening": op11_whitening,
     "op12_line_dedup": op12_line_dedup,
+    "op13_spelling": op13_spelling,
 }
 
 _WHITE = r"[\x20\x09-\x0D]"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the checksum of a text in UTF-8: four bits at a time, the low half of a byte first."""
+    rest = []
+    for r in range(16):
+        for _ in range(4):
+            r = r >> 1 ^ (0xEDB88320 if r & 1 else 0)
+        rest.append(r)
+    half = f"strpos('0123456789ABCDEF', hex(encode({text}))[i - 1 + 2 * (i % 2)]) - 1"  # 2, 1, 4, 3, ...
+    halves = f"list_transform(generate_series(1, len(hex(encode({text})))), lambda i: ({half})::BIGINT)"
+    step = f"xor(c >> 4, {rest}[(xor(c, h) & 15) + 1])"
+    return f"xor(list_reduce({halves}, lambda c, h: {step}, 4294967295::BIGINT), 4294967295)"
+
+
 ORACLE = {
     "op1_chat_format": rf"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -173,4 +202,21 @@ ORACLE = {
         SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (k.doc_id <> f.first) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.first IS NULL OR k.doc_id = f.first), '')) AS kept_sha256
         FROM k LEFT JOIN f ON k.key = f.key GROUP BY r, k.doc_id""",
+    "op13_spelling": f"""
+        WITH RECURSIVE t AS (SELECT doc_id, {_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+'))")} AS run FROM documents),
+        c AS (SELECT doc_id, run, count(*) AS n FROM t GROUP BY doc_id, run),
+        h AS (SELECT run, n, {crc32_sql("(coalesce(doc_id::VARCHAR, '') || ':' || run)")} AS h FROM c),
+        s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+        v AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+              FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM v)),
+        e AS (SELECT a.word, b.word AS near, b.n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+              UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word
+              UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+        b AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS best, max(n) AS best_n FROM e GROUP BY word),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form,
+                     CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n FROM v LEFT JOIN b ON v.word = b.word),
+        r(word, root) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+        FROM f JOIN r ON r.word = f.word JOIN f g ON g.word = r.root WHERE g.form IS NULL""",
 }
