@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridextremes.operators.detect import cell_events
 from gridextremes.streaming import incremental
-from gridextremes.streaming.detection import _EMPTY, CellRuns, stream_detect
+from gridextremes.operators.grid import cell_key
+from gridextremes.streaming.detection import _EMPTY, CellRuns, over_at_end, read_days, state_at_end, stream_detect
 
 
 def run_all(values, thresh=23.0, seas=20.0, **k):
@@ -73,6 +74,52 @@ def test_stream_equals_batch_with_late_and_double_rows(spark, rocks, tmp_path):
     assert len(want) > 5 and got == want
 
 
+@pytest.mark.parametrize("until", [30, 57, 58, 60, 64, 66, 68, 71, 90])  # before, within, just after events and gaps
+def test_hand_over_at_any_day(spark, until):
+    """The state at the end of a history is that of the state machine after the same days."""
+    rng = np.random.default_rng(until)
+    blocks = [(20, 26), (40, 44), (47, 48), (50, 57), (60, 64), (66, 69)]
+    series = {(40.0, 10.0): spike(100, *blocks), (41.0, 10.0): spike(100, (0, 99)), (42.0, 10.0): spike(100),
+              (43.0, 10.0): [None if rng.random() < 0.1 else round(float(v), 3) for v in 21 + 2 * np.convolve(rng.normal(0, 2, 100), np.ones(4) / 4, "same")]}
+    cube = cube_of(spark, {c: v[:until + 1] for c, v in series.items()})
+    clim = flat_clim(spark, series, 20.0, 21.5)
+    states = {r["cell"]: r for r in state_at_end(cube, clim).collect()}
+    keys = {(r["lat"], r["lon"]): r["cell"] for r in flat_clim(spark, series).select("lat", "lon", cell_key()).distinct().collect()}
+    epoch = (day(0) - date(1970, 1, 1)).days
+    over = []
+    for place, values in series.items():
+        runs = CellRuns(5, 2)
+        for i, v in enumerate(values[:until + 1]):
+            over += [(*place, day(e[1] - epoch), day(e[2] - epoch)) for e in runs.add(epoch + i, v, 20.0, 21.5)]
+        row = states[keys[place]]
+        for part in ("event", "gap", "run"):
+            want = getattr(runs, part)
+            got = tuple(row[f"{part}_{f}"] for f in ("n", "first", "last", "total", "known", "best", "best_day", "best_seas", "best_thresh"))
+            assert got[:3] == (want[0], *(want[1:3] if want[0] else (None, None))), (place, part)
+            assert got[3:6] == pytest.approx(want[3:6]) if want[5] is not None else got[4:] == want[4:]
+            assert got[6:] == want[6:]
+        assert row["done"] == epoch + until and len(row["seas"]) == len(row["thresh"]) == 366
+    found = over_at_end(cube, clim).select("lat", "lon", "date_start", "date_end").collect()
+    assert sorted(map(tuple, found)) == sorted(over)
+
+
+def test_stream_goes_on_from_the_batch(spark, rocks, tmp_path):
+    series = {(40.0, 10.0): spike(120, (10, 16), (50, 70), (90, 95)), (41.0, 10.0): spike(120, (55, 59), (62, 66)), (42.0, 10.0): spike(120, (57, 58))}
+    cube, clim = cube_of(spark, series), flat_clim(spark, series)
+    history, later = cube.where(F.col("dt") <= day(60)), cube.where(F.col("dt") > day(58))  # two days come again
+    for a, b in ((59, 75), (76, 100), (101, 119)):
+        later.where(F.col("dt").between(day(a), day(b))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    days = read_days(spark, str(tmp_path / "in"), cube.schema, 1)
+    run = stream_detect(days, clim, history=history).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert len([p for p in run.recentProgress if p["numInputRows"]]) == 3
+    both = spark.read.parquet(str(tmp_path / "out")).unionByName(over_at_end(history, clim))
+    columns = ["lat", "date_start", "date_end", "date_peak", "duration_days", "intensity_max", "intensity_mean", "intensity_cumulative", "category"]
+    want = sorted(tuple(r) for r in cell_events(cube, clim).select(*columns).collect())
+    assert len(want) == 4 and sorted(tuple(r) for r in both.select(*columns).collect()) == want
+
+
 def test_append_backfill_and_freshness(spark, tmp_path):
     path = str(tmp_path / "cube")
     cells = [(40.0, 10.0), (40.0, 10.25)]

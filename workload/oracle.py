@@ -751,8 +751,12 @@ FROM buffered"""),
     "coast_totals": sql(CELLS + PLACES, """
 SELECT round(sum(length_km), 1) AS coast_total_km, round(sum(length_km) FILTER (WHERE class = 'eroding'), 1) AS coast_eroding_km,
        round(100e0 * sum(length_km) FILTER (WHERE class = 'eroding') / sum(length_km), 1) AS coast_eroding_pct FROM coast"""),
-    "stream_closed_events": sql(EVENTS, """
-SELECT lat, lon, date_start, date_end, date_peak, duration_days, intensity_max, intensity_mean, intensity_cumulative, category, category_name
-FROM events WHERE date_end <= (SELECT max(dt) - 30 FROM cube)"""),
+    # A day is taken once it lies 8 days before the last one seen. An event is over when the first day on which a
+    # run could still begin, the first of an open run or the day after the last one taken, is over 2 days behind it.
+    "stream_closed_events": sql(CLIM + """,
+cut AS (SELECT * FROM cube WHERE dt <= (SELECT max(dt) - 8 FROM cube))""" + detection("cut") + """,
+tails AS (SELECT lat, lon, coalesce(max(dt) FILTER (WHERE NOT hot) + 1, min(dt)) AS earliest FROM series GROUP BY 1, 2)""", """
+SELECT e.lat, e.lon, date_start, date_end, date_peak, duration_days, intensity_max, intensity_mean, intensity_cumulative, category, category_name
+FROM events e JOIN tails t ON t.lat = e.lat AND t.lon = e.lon WHERE date_diff('day', date_end, earliest) - 1 > 2"""),
 }
 ORACLE["append_twice"] = ORACLE["slab_merge"]

@@ -20,7 +20,7 @@ from gridextremes.session import materialise, new_path
 from gridextremes.sources import cube as cubes
 from gridextremes.sources import overlays, sinks
 from gridextremes.streaming import incremental
-from gridextremes.streaming.detection import stream_detect
+from gridextremes.streaming.detection import over_at_end, read_days, stream_detect
 
 from . import tables as t
 
@@ -759,22 +759,31 @@ def coast_totals(spark, sf):
 
 # --- streaming ------------------------------------------------------------------------
 
+HAND_OVER = date(2000, 12, 31)
+DELIVERY_FILES = 4
+
+
 @query
 def stream_closed_events(spark, sf):
-    """Events a stream over the stored cube sends, up to a month before its end."""
-    source = t.cube(spark, sf)
-    schema = source.schema
-    folder = source.inputFiles()[0].rsplit("/", 1)[0]
-    root = new_path(spark, "stream")
+    """Events that are over: those of the cube up to 2000 from the batch, the others from a stream.
+
+    The stream starts from the state at the hand-over and takes what follows in
+    quarters, one delivery to a micro-batch.
+    """
+    cube = t.cube(spark, sf)
+    history, later = cube.where(F.col("dt") <= HAND_OVER), cube.where(F.col("dt") > HAND_OVER)
+    clim, root = t.climatology(spark, sf), new_path(spark, "stream")
+    for quarter in range(1, 5):
+        part = later.where(F.quarter("dt") == quarter)
+        part.repartition(DELIVERY_FILES).write.mode("append").parquet(f"{root}/landed")
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        found = stream_detect(spark.readStream.schema(schema).parquet(folder), t.climatology(spark, sf))
-        run = found.writeStream.format("parquet").option("path", f"{root}/events").option(
+        days = read_days(spark, f"{root}/landed", cube.schema, DELIVERY_FILES)
+        run = stream_detect(days, clim, history=history).writeStream.format("parquet").option("path", f"{root}/events").option(
             "checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
         spark.conf.set(setting, before)
-    last = source.agg(F.max("dt").alias("d")).scalar()
-    return spark.read.parquet(f"{root}/events").where(F.col("date_end") <= F.date_sub(last, 30))
+    return spark.read.parquet(f"{root}/events").unionByName(over_at_end(history, clim))
