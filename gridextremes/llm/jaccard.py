@@ -15,13 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import materialise
-from .common import summed_arrays
+from .common import packed, summed_arrays
 
 WORDS = 5
 PERCENT = 80
@@ -30,7 +30,8 @@ BLOCK = 1 << 14
 MARKS = 1 << 24  # places of the bitmap that picks texts
 FREQUENT = 0.01  # a shingle in more than this share of the documents is frequent
 LEADERS = 3  # sets of a key that are compared with the others in a round
-NO_ID = 1 << 62  # classes whose ids are all null get numbers from here on
+KEY_SHARE = 1000  # a key with more than about 1 / KEY_SHARE of the index entries is salted
+SAMPLE = 64  # one entry in so many is looked at to find such keys
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 ONE = np.uint64(1)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -168,12 +169,15 @@ def indexed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
             frequent: float) -> DataFrame:
     """Index keys of every row, the percentage being 50 at least, else the combinations would not suffice.
 
-    Per row: ``id``, ``n`` (size of its set), ``digest`` of the set, ``text_hash``, ``rare`` (see ``rare_first``), ``keys``.
+    Per row: ``number`` (unique, as written), ``id``, ``n`` (size of its set), ``digest`` of the set, ``text_hash``,
+    ``rare`` (see ``rare_first``), ``keys``.
     """
     if percent < 50:
         raise ValueError(f"percent is 50 or more: {percent}")
     text = F.col(f"`{text_col}`")
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
+    source = docs.select(
+        F.monotonically_increasing_id().alias("number"), F.col(f"`{id_col}`").alias("id"), text.cast("binary").alias("text"),
+        text_hash(text).alias("text_hash"))
     counts = frequencies(source.select("text"), words, cells)
     limit = float(counts.mean()) + frequent * docs.count() + 1
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -195,25 +199,51 @@ def indexed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
                     rare.append(rare_first(often, limit, percent))
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), some.column("text_hash"),
+                    [some.column("number"), some.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), some.column("text_hash"),
                      pa.array(rare, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))],
-                    ["id", "n", "digest", "text_hash", "rare", "keys"],
+                    ["number", "id", "n", "digest", "text_hash", "rare", "keys"],
                 )
 
-    schema = "id long, n long, digest binary, text_hash long, rare long, keys array<long>"
+    schema = "number long, id long, n long, digest binary, text_hash long, rare long, keys array<long>"
     return materialise(source.withColumn("id", F.col("id").cast("long")).mapInArrow(index, schema), "prefixes")
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def _classes(rows: DataFrame) -> DataFrame:
-    """One row per distinct set that can have links; its number is its smallest id."""
-    alone = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("digest"), 3)
+    """One row per distinct set that can have links; its number ``node`` is that of one of its rows."""
     return materialise(
         rows.where("n > 0").groupBy("digest").agg(
-            F.min("id").alias("id"), F.first("n").alias("n"), F.first("text_hash").alias("text_hash"),
-            F.first("rare").alias("rare"), F.first("keys").alias("keys"),
-        ).select(F.coalesce("id", alone).alias("node"), "digest", "n", "text_hash", "rare", "keys"),
-        "classes",
-    )
+            F.min("number").alias("node"), F.min("id").alias("id"), F.first("n").alias("n"),
+            F.first("text_hash").alias("text_hash"), F.first("rare").alias("rare"), F.first("keys").alias("keys"),
+        ), "classes")
+
+
+def _salted(entries: DataFrame) -> DataFrame:
+    """``entries`` with ``salt``, ``salts`` and ``members`` (rows of the key).
+
+    Keys that many sets share are found on a part of the entries that follows from
+    their values, and their rows dealt over several salts; there are fewer than
+    ``KEY_SHARE`` of them. Which keys that are changes no result. Rows are counted
+    where they are sorted by (key, salt), those of salted keys map-side.
+    """
+    part = entries.where(F.pmod(F.xxhash64("node", "key"), F.lit(SAMPLE)) == 0)
+    fair = max(4.0, part.count() / KEY_SHARE)
+    hot = materialise(
+        part.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > fair)
+        .select("key", F.ceil(F.col("c") / fair).cast("int").alias("salts")), "hot_keys")
+    all_of = entries.join(F.broadcast(hot), "key").groupBy("key", "salts").agg(F.count(F.lit(1)).alias("all_of"))
+    dealt = entries.join(F.broadcast(materialise(all_of, "hot_keys")), "key", "left").withColumn(
+        "salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
+    here = F.count(F.lit(1)).over(W.partitionBy("key", "salt"))
+    return dealt.withColumn("members", F.coalesce("all_of", here)).drop("all_of")
+
+
+def _for_salts(per_key: DataFrame) -> DataFrame:
+    """Rows of ``per_key`` (``key``, ``salts``, ...) once per salt, to be joined on ``key, salt``."""
+    return per_key.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
 
 def _shared_keys(classes: DataFrame, percent: int) -> DataFrame:
@@ -224,13 +254,13 @@ def _shared_keys(classes: DataFrame, percent: int) -> DataFrame:
     set has, ``bits`` their places on 64 bits. ``weight`` is high for sets whose keys have many members.
     """
     entries = classes.select("node", "n", "rare", F.explode("keys").alias("key"))
-    members = F.count(F.lit(1)).over(W.partitionBy("key"))
-    entries = materialise(entries.withColumn("members", members).where("members > 1"), "entries")
+    entries = materialise(_salted(entries).where("members > 1"), "entries")
     facts = entries.groupBy("node").agg(F.sum("members").alias("weight"), F.count_if(F.col("key") % 2 == 0).alias("shared"),
         F.coalesce(F.bit_or(F.when(F.col("key") % 2 == 0, F.expr("shiftleft(1L, cast(pmod(shiftright(key, 8), 64) AS INT))"))), F.lit(0)).alias("bits"))
     first = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
     return materialise(entries.join(facts, "node").select(
-        "node", "n", "key", "weight", "shared", "bits", (F.col("n") - F.col("rare")).alias("behind"), (F.col("rare") == first).alias("plain")), "bounded")
+        "node", "n", "key", "salt", "salts", "weight", "shared", "bits", (F.col("n") - F.col("rare")).alias("behind"),
+        (F.col("rare") == first).alias("plain")), "bounded")
 
 
 BOUNDS = ["n", "shared", "bits", "behind", "plain"]
@@ -253,8 +283,9 @@ def _possible(percent: int, common=None):
     return size & ((common + beside) * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent)
 
 
-def _side(entries: DataFrame, side: str, *more: str) -> DataFrame:
-    return entries.select("key", F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in (*BOUNDS, *more)])
+def _side(side: str, *more: str, of: str = "") -> list[Column]:
+    """The columns of a set as those of side ``side`` of a pair."""
+    return [F.col(f"{of}node").alias(side), *[F.col(f"{of}{c}").alias(f"{side}_{c}") for c in (*BOUNDS, *more)]]
 
 
 def _marks(hashes: DataFrame, cells: int) -> np.ndarray:
@@ -306,7 +337,7 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> Data
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(sets), pa.binary()), pa.array(list(sets.values()), pa.binary())], ["digest", "hashes"])
 
-    source = docs.select(text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
+    source = docs.select(text.cast("binary").alias("text"), text_hash(text).alias("text_hash"))
     made = source.mapInArrow(make, "digest binary, hashes binary")
     once = made.groupBy("digest").agg(F.first("hashes").alias("hashes"))
     return materialise(wanted.join(once, "digest").select("node", "hashes"), "sets")
@@ -362,18 +393,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _all_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Candidates: sets of two components with a common key that may share enough."""
-    both = _side(entries, "a", "part").join(_side(entries, "b", "part"), "key")
+    both = entries.select("key", "salt", *_side("a", "part")).join(
+        _for_salts(entries.select("key", "salts", *_side("b", "part"))), ["key", "salt"])
     return both.where((F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & _possible(percent)).select("a", "b").distinct()
 
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                   percent: int = PERCENT, cells: int = CELLS, frequent: float = FREQUENT) -> tuple[DataFrame, DataFrame]:
-    """All links ``a, b`` between distinct sets, and the class ``node`` of each row (``id, n, node``)."""
+    """All links ``a, b`` between distinct sets, and the class ``node`` of each row (``number, id, n, node``)."""
     rows = indexed(docs, id_col, text_col, words, percent, cells, frequent)
     classes = _classes(rows)
     entries = _shared_keys(classes, percent)
     links = _Verifier(docs, text_col, classes, entries, words, percent).links(_all_pairs(entries.withColumn("part", F.col("node")), percent))
-    return links, rows.join(classes.select("digest", "node"), "digest", "left").select("id", "n", "node")
+    return links, rows.join(classes.select("digest", "node"), "digest", "left").select("number", "id", "n", "node")
 
 
 def _labels(entries: DataFrame, verifier: _Verifier, percent: int) -> DataFrame:
@@ -404,13 +436,13 @@ def _labels(entries: DataFrame, verifier: _Verifier, percent: int) -> DataFrame:
         if last:
             pairs = _all_pairs(live, percent)
         else:
-            place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), "node"))
-            ranked = materialise(live.withColumn("place", place), "ranked")
-            lead = _side(ranked.where(F.col("place") <= LEADERS), "a", "part", "place")
-            led = _side(ranked, "b", "part", "place").join(lead, "key")
-            pairs = led.where((F.col("b_place") > F.col("a_place")) & (F.col("a_part") != F.col("b_part")) & _possible(percent)).select(
+            led = materialise(_led(live), "led")
+            ahead = (F.col("a_weight") > F.col("b_weight")) | ((F.col("a_weight") == F.col("b_weight")) & (F.col("a") < F.col("b")))
+            pairs = led.select(*_side("b", "part", "weight"), F.explode("leaders").alias("l")).select(
+                "*", *_side("a", "part", "weight", of="l.")).where(
+                ahead & (F.col("a_part") != F.col("b_part")) & _possible(percent)).select(
                 F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            live = ranked.where(F.col("place") > LEADERS).drop("place")
+            live = led.where(~F.array_contains(F.col("leaders.node"), F.col("node"))).drop("leaders")
         links = verifier.links(pairs)
         known = labels.select(F.col("node").alias("a"), F.col("part").alias("pa"))
         joined = links.join(known, "a").join(known.withColumnsRenamed({"a": "b", "pa": "pb"}), "b")
@@ -422,10 +454,31 @@ def _labels(entries: DataFrame, verifier: _Verifier, percent: int) -> DataFrame:
         if last:
             return labels
         mixed = live.drop("part").join(labels, "node")
-        each = W.partitionBy("key")
-        live = materialise(
-            mixed.withColumn("low", F.min("part").over(each)).withColumn("high", F.max("part").over(each))
-            .where("low != high").drop("low", "high"), "live")
+        open_keys = mixed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.first("salts").alias("salts"))
+        open_keys = _for_salts(open_keys.where("low != high").select("key", "salts"))
+        live = materialise(mixed.join(open_keys, ["key", "salt"], "left_semi"), "live")
+
+
+def _led(live: DataFrame) -> DataFrame:
+    """``live`` with ``leaders``, the ``LEADERS`` most central sets of the row's key: first of every salt, then of these."""
+    def first_of(rows: DataFrame, *keys: str) -> DataFrame:
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("weight"), "node"))
+        return rows.withColumn("place", place).where(F.col("place") <= LEADERS).drop("place")
+
+    top = first_of(first_of(live, "key", "salt"), "key").groupBy("key").agg(
+        F.collect_list(F.struct("node", "part", "weight", *BOUNDS)).alias("leaders"), F.first("salts").alias("salts"))
+    return live.join(_for_salts(top), ["key", "salt"])
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, cells: int, frequent: float) -> DataFrame:
+    """``id, n, text_hash, part`` of every row; ``part`` is the number of its component, null for empty sets."""
+    rows = indexed(docs, id_col, text_col, words, percent, cells, frequent)
+    classes = _classes(rows)
+    entries = _shared_keys(classes, percent)
+    labels = _labels(entries, _Verifier(docs, text_col, classes, entries, words, percent), percent)
+    of_set = classes.select("digest", "node").join(labels, "node", "left").select(
+        "digest", F.coalesce("part", "node").alias("part"))
+    return rows.select("id", "n", "digest", "text_hash").join(of_set, "digest", "left").drop("digest")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -437,17 +490,39 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     so copies never meet in pairs.
 
     A null or empty text has an empty set and is linked with nothing: its
-    component is its own id. Very long texts take part in full. Rows that repeat
-    belong to one component. A row without id takes part; a component without any
-    id has the component null. Ids are below 2**62. An empty table gives an empty
-    result; other columns are not read. Shingles are told apart by 64-bit hashes.
+    component is its own id. Very long texts take part in full. Sets are numbered by
+    one of their rows, not by ids: rows that share an id are documents of their own,
+    in one component only if their texts are, and rows that repeat belong to one
+    component. A row without id takes part; a component without any id has the
+    component null. An empty table gives an empty result; other columns are not
+    read. Shingles are told apart by 64-bit hashes.
     """
-    rows = indexed(docs, id_col, text_col, words, percent, cells, frequent)
-    classes = _classes(rows)
-    entries = _shared_keys(classes, percent)
-    labels = _labels(entries, _Verifier(docs, text_col, classes, entries, words, percent), percent)
-    of_set = classes.select("digest", "node").join(labels, "node", "left").select(
-        "digest", F.coalesce("part", "node").alias("part"))
-    component = F.when(F.col("n") == 0, F.col("id")).when(F.col("part") < NO_ID, F.col("part"))
-    return rows.select("id", "n", "digest").join(of_set, "digest", "left").select(
-        "id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    rows = materialise(_grouped(docs, id_col, text_col, words, percent, cells, frequent), "grouped")
+    least = rows.where("part IS NOT NULL").groupBy("part").agg(F.min("id").alias("least"))
+    return rows.join(least, "part", "left").select(
+        "id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                  percent: int = PERCENT, cells: int = CELLS, frequent: float = FREQUENT) -> DataFrame:
+    """The row with the smallest id of each component of similar documents, all its columns as they are.
+
+    Rows are decided, not ids: of rows with the smallest id in a component the one
+    whose text has the smallest hash stays, of rows that repeat it entirely one. Null
+    ids come last, so a component without ids keeps one row too. Every row whose
+    text has no words stays, also when it repeats: it is similar to nothing.
+    """
+    rows = materialise(_grouped(docs, id_col, text_col, words, percent, cells, frequent), "grouped")
+    copies = rows.where("n > 0").groupBy("part", "id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "copies"))
+    stays = materialise(copies.groupBy("part").agg(best.alias("b")).select("b.id", "b.text_hash", "b.copies").unionByName(
+        rows.where("n = 0").select("id", "text_hash", F.lit(1).alias("copies")).distinct()), "stays")
+    given = docs.select(packed(docs)).withColumns({"id": F.col(f"row.`{id_col}`").cast("long"), "text_hash": text_hash(F.col(f"row.`{text_col}`"))})
+
+    def among(some: DataFrame) -> DataFrame:
+        same = given["id"].eqNullSafe(some["id"]) & (given["text_hash"] == some["text_hash"])
+        return given.join(some, same, "left_semi")
+
+    single = among(stays.where("copies = 1")).select("row")
+    repeated = among(stays.where("copies > 1")).groupBy("id", "text_hash").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(repeated).select("row.*")

@@ -83,16 +83,66 @@ def test_groups_against_brute_force(documents, rows, cells, frequent):
 
 def test_all_links(documents, rows):
     links, classes = jaccard.similar_pairs(documents(rows, 5))
-    node = {}
-    for r in classes.where("id is not null").collect():
-        node[r["id"]] = r["node"]
+    ids = {}
+    for r in classes.where("id is not null and n > 0").collect():
+        ids.setdefault(r["node"], r["id"])
     own = dict(sets(rows))
     want = set()
-    for a, b in combinations({n for n in node.values() if n is not None and n < jaccard.NO_ID}, 2):
-        x, y = own[a], own[b]
+    for a, b in combinations(sorted(ids), 2):
+        x, y = own[ids[a]], own[ids[b]]
         if 100 * len(x & y) >= 80 * len(x | y):
-            want.add((min(a, b), max(a, b)))
-    assert {(r["a"], r["b"]) for r in links.collect() if r["b"] < jaccard.NO_ID} == want
+            want.add((a, b))
+    assert {(r["a"], r["b"]) for r in links.collect() if {r["a"], r["b"]} <= set(ids)} == want
+
+
+def test_salted_keys_change_nothing(documents, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "KEY_SHARE", 1_000_000)  # every key with more than four entries
+    shared = " ".join(words(30))
+    more = rows + [(9000 + i, f"{' '.join(words(4))} {shared}") for i in range(60)] + [(9500 + i, f"{shared} {' '.join(words(40))}") for i in range(60)]
+    assert found(jaccard.similar_groups(documents(more, 5), frequent=0.1)) == brute(more)[0]
+
+
+def odd_rows():
+    long = " ".join(f"t{i}" for i in range(40))
+    return [(1, long), (None, long), (5, long + " more"), (5, "a quite different text with its own words"), (None, "another text that has no id at all"),
+            (7, "one row that comes twice as it is"), (7, "one row that comes twice as it is"), (None, "no id and twice the same words"),
+            (None, "no id and twice the same words"), (8, ""), (8, ""), (None, None), (9, long + " other"), (6, "a quite different text with its own words too")]
+
+
+def test_ids_that_repeat_or_are_missing(documents):
+    """Sets that share an id stay apart, and one row of every component stays."""
+    assert found(jaccard.similar_groups(documents(odd_rows()))) == brute(odd_rows())[0]
+    kept = sorted([(r["doc_id"], r["text"]) for r in jaccard.one_per_group(documents(odd_rows())).collect()], key=str)
+    t = dict((i, odd_rows()[i][1]) for i in range(14))
+    want = [(1, t[0]), (5, t[3]), (None, t[4]), (7, t[5]), (None, t[7]), (8, ""), (8, ""), (None, None)]
+    assert kept == sorted(want, key=str)
+
+
+def test_one_per_group_against_brute_force(documents, rows):
+    up = {}
+    for (i, _, part, _), (_, text) in zip(brute_in_order(rows), rows, strict=True):
+        up.setdefault(part, []).append((i is None, i or 0, text))
+    kept = jaccard.one_per_group(documents(rows, 5)).collect()
+    assert len(kept) == len(up)
+    least = {part: min(m[:2] for m in members) for part, members in up.items()}
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(least.values())
+    assert jaccard.one_per_group(documents(rows[:20]).where("false")).count() == 0
+
+
+def brute_in_order(rows):
+    """(id, size, component, place): the component by a place in ``rows``, every empty set alone."""
+    _, links = brute(rows)
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in links:
+        up[root(j)] = root(i)
+    return [(d, len(s), root(k), k) for k, (d, s) in enumerate(sets(rows))]
 
 
 def test_large_group_takes_rounds(documents):

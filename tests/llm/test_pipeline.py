@@ -105,6 +105,25 @@ def test_packing(stages):
     assert got == want
 
 
+def test_stages_take_nulls_and_repeated_ids(spark):
+    docs = Q.table(spark, DATA, "documents")
+    odd = spark.createDataFrame(
+        [(None, None, "en", "s", None), (None, "", "en", "s", 0), (3, "two words", None, None, 9), (3, "two words", None, None, 9),
+         (3, "another text under the same id", "en", "s", 30), (None, "a text that has no id at all", "en", None, 28)], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        alone = materialise(stage(spark, odd, DATA), name)
+        assert stage(spark, docs.where("false"), DATA).count() == 0
+        texts = Counter(r["text"] for r in alone.collect()) if "text" in alone.columns else None
+        if name == "exact_duplicates":
+            assert sum(texts.values()) == 4 and texts["two words"] == 1
+        if name == "near_duplicates":
+            assert texts == Counter([None, "", "two words", "another text under the same id", "a text that has no id at all"])
+        if name == "mixing":
+            assert texts[None] == texts[""] == 1 and 1 <= texts["another text under the same id"] <= 3
+        if name == "packing":
+            assert alone.count() >= 6
+
+
 def test_run_gives_the_last_stage(spark, stages):
     assert corpus_pipeline.run(spark, DATA).count() == stages[-1][1].count()
 
