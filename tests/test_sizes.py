@@ -24,6 +24,8 @@ def larger(tmp_path_factory):
         con.execute(f"CREATE TABLE {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     con.execute("CREATE OR REPLACE TABLE supplier AS SELECT * REPLACE (k AS s_suppkey) FROM "
                 "(SELECT * FROM supplier LIMIT 1), (SELECT unnest(generate_series(1, 2500)) AS k)")
+    con.execute("CREATE OR REPLACE TABLE lineitem AS SELECT * REPLACE ((l_orderkey * 7 + l_linenumber * 13) % 2500 + 1 AS l_suppkey) "
+                "FROM lineitem WHERE year(l_shipdate) = 1998")
     for name in TABLES:
         con.execute(f"COPY {name} TO '{path}/{name}.parquet' (FORMAT parquet)")
     return con, str(path)
@@ -34,7 +36,8 @@ def test_steps_are_halves():
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
-@pytest.mark.parametrize("name", ["cover_area", "mask_grow", "overlay_bbox", "decimated_cells"])
+@pytest.mark.parametrize("name", ["cover_area", "mask_grow", "overlay_bbox", "decimated_cells", "impact_area", "site_events",
+                                  "coast_buffer", "ellipse_class_shares"])
 def test_more_cells_than_the_given_tables(spark, larger, name):
     con, path = larger
     df = QUERIES[name](spark, path)
@@ -42,6 +45,20 @@ def test_more_cells_than_the_given_tables(spark, larger, name):
     assert table(df.columns, df.collect()) == table([c[0] for c in cursor.description], cursor.fetchall())
 
 
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_places_lie_where_cells_are(spark, larger):
+    _, path = larger
+    g = t.grid(spark, path)
+    west, south = g.lon0 - g.lon_step / 2, g.lat0 - g.lat_step / 2
+    spans = {}
+    for name, df in (("farms", t.farms(spark, path)), ("class cells", t.class_cells(spark, path)), ("coast", t.coast(spark, path))):
+        rows = [(r["lon"] - west, r["lat"] - south) for r in df.collect()]
+        inside = [0 <= x <= g.n_lon * g.lon_step and 0 <= y <= g.n_lat * g.lat_step for x, y in rows]
+        assert sum(inside) > 0.95 * len(inside), name  # the region begins half a standard step before the first cell
+        spans[name] = max(x for x, _ in rows) / (g.n_lon * g.lon_step)
+    assert min(spans.values()) > 0.9
+
+
 def cells(spark, lats, lons=(10.0, 10.25)):
     return spark.createDataFrame([(a, b) for a in lats for b in lons], "lat double, lon double")
 

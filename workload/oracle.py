@@ -168,38 +168,38 @@ def sql(ctes: str, select: str) -> str:
 # --- places ------------------------------------------------------------------------
 
 PLACES = """,
-side AS (SELECT least(48, w) AS m FROM dims),
+side AS (SELECT any_value(w) * min(step) / 0.75e0 AS m FROM cells, dims),
 rects AS (
   SELECT 'mpa' AS kind, 'mpa-' || n_nationkey AS feature_id, upper(n_name) AS code,
-         3.625e0 + (n_nationkey * 7) % (m * 4) * 0.1875e0 AS x0,
-         33.625e0 + (n_nationkey * 11 + 3) % (m * 4) * 0.1875e0 AS y0, 0.65625e0 AS w, 0.46875e0 AS h
+         3.625e0 + (n_nationkey * 7) % CAST(floor(m * 4) AS BIGINT) * 0.1875e0 AS x0,
+         33.625e0 + (n_nationkey * 11 + 3) % CAST(floor(m * 4) AS BIGINT) * 0.1875e0 AS y0, 0.65625e0 AS w, 0.46875e0 AS h
   FROM nation, side
   UNION ALL
   SELECT 'seagrass', 'bed-' || p_partkey, NULL,
-         3.625e0 + (p_partkey * 29) % (m * 12) * 0.0625e0,
-         33.625e0 + (p_partkey * 31 + 5) % (m * 12) * 0.0625e0, 0.25e0, 0.1875e0
+         3.625e0 + (p_partkey * 29) % CAST(floor(m * 12) AS BIGINT) * 0.0625e0,
+         33.625e0 + (p_partkey * 31 + 5) % CAST(floor(m * 12) AS BIGINT) * 0.0625e0, 0.25e0, 0.1875e0
   FROM part, side
 ),
 spots AS (
   SELECT 'aquaculture' AS kind, 'site-' || s_suppkey AS feature_id,
-         3.625e0 + (s_suppkey * 37) % (m * 4) * 0.1875e0 AS x,
-         33.625e0 + (s_suppkey * 53 + 1) % (m * 4) * 0.1875e0 AS y
+         3.625e0 + (s_suppkey * 37) % CAST(floor(m * 4) AS BIGINT) * 0.1875e0 AS x,
+         33.625e0 + (s_suppkey * 53 + 1) % CAST(floor(m * 4) AS BIGINT) * 0.1875e0 AS y
   FROM supplier, side
 ),
 farms AS (
-  SELECT 'farm-' || c_custkey AS id, 3.625e0 + (c_custkey * 31) % (m * 48) * 0.015625e0 AS lon,
-         33.625e0 + (c_custkey * 47 + 7) % (m * 48) * 0.015625e0 AS lat
+  SELECT 'farm-' || c_custkey AS id, 3.625e0 + (c_custkey * 31) % CAST(floor(m * 48) AS BIGINT) * 0.015625e0 AS lon,
+         33.625e0 + (c_custkey * 47 + 7) % CAST(floor(m * 48) AS BIGINT) * 0.015625e0 AS lat
   FROM customer, side
 ),
 class_cells AS (
-  SELECT 3.625e0 + (p_partkey * 13) % (m * 8) * 0.09375e0 AS lon,
-         33.625e0 + (p_partkey * 17 + 2) % (m * 8) * 0.09375e0 AS lat,
+  SELECT 3.625e0 + (p_partkey * 13) % CAST(floor(m * 8) AS BIGINT) * 0.09375e0 AS lon,
+         33.625e0 + (p_partkey * 17 + 2) % CAST(floor(m * 8) AS BIGINT) * 0.09375e0 AS lat,
          ['rock', 'sand', 'mud', 'biogenic'][p_size % 4 + 1] AS class, p_retailprice / 1000 AS rate
   FROM part, side
 ),
 coast AS (
-  SELECT 3.625e0 + (o_orderkey * 19) % (m * 48) * 0.015625e0 AS lon,
-         33.625e0 + (o_orderkey * 23 + 5) % (m * 48) * 0.015625e0 AS lat,
+  SELECT 3.625e0 + (o_orderkey * 19) % CAST(floor(m * 48) AS BIGINT) * 0.015625e0 AS lon,
+         33.625e0 + (o_orderkey * 23 + 5) % CAST(floor(m * 48) AS BIGINT) * 0.015625e0 AS lat,
          CASE o_orderpriority WHEN '1-URGENT' THEN 'eroding' WHEN '2-HIGH' THEN 'accreting'
               ELSE 'stable' END AS class,
          o_totalprice / 100000 AS length_km

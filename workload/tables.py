@@ -162,17 +162,18 @@ def clusters(spark: SparkSession, sf_dir: str) -> Clusters:
 # Places are laid out on fractions of a degree that doubles hold exactly, inside
 # the region of the grid; many lie on borders and centres of cells.
 
-def _region(spark: SparkSession, sf_dir: str) -> int:
-    """Cells of the standard step per side, at most 48."""
-    return min(48, width(spark, sf_dir))
+def _region(spark: SparkSession, sf_dir: str) -> float:
+    """Side of the grid in standard steps, exact in binary: places lie where cells are, at any size."""
+    w = width(spark, sf_dir)
+    return w * step_of(w) / STEP
 
 
-def _x(key, factor: int, per_cell: int, m: int):
-    return F.lit(LON0 - STEP / 2) + (key * factor) % (m * per_cell) * F.lit(STEP / per_cell)
+def _x(key, factor: int, per_cell: int, m: float):
+    return F.lit(LON0 - STEP / 2) + (key * factor) % math.floor(m * per_cell) * F.lit(STEP / per_cell)
 
 
-def _y(key, factor: int, shift: int, per_cell: int, m: int):
-    return F.lit(LAT0 - STEP / 2) + (key * factor + shift) % (m * per_cell) * F.lit(STEP / per_cell)
+def _y(key, factor: int, shift: int, per_cell: int, m: float):
+    return F.lit(LAT0 - STEP / 2) + (key * factor + shift) % math.floor(m * per_cell) * F.lit(STEP / per_cell)
 
 
 def _point(x, y):
