@@ -22,13 +22,69 @@ def _tiles(low, high, side: float):
     ))
 
 
-def class_overlap(ellipses: DataFrame, cells: DataFrame, classes: list[str],
-                  weights: dict[str, float] | None = None, tile_deg: float = 1.0) -> DataFrame:
+TILE_DEG = 0.25  # side of the finest tiles
+LEVELS = 7  # sides double from level to level
+MARGIN = 1e-9  # of the squared distance: tiles nearer to the border are tested place by place
+
+
+def _sums(classes: list[str]) -> list:
+    return [F.sum(c).alias(c) for c in ("n", "rate", *(f"n_{c}" for c in classes))]
+
+
+def tile_pyramid(places: DataFrame, classes: list[str], levels: int = LEVELS) -> DataFrame:
+    """``level, tx, ty`` and the sums of all places in the tile; every level is summed from the one below."""
+    tiles = places.groupBy("tx", "ty").agg(*_sums(classes))
+    out = tiles.withColumn("level", F.lit(0))
+    for level in range(1, levels):
+        tiles = tiles.withColumns({c: F.shiftright(c, 1) for c in ("tx", "ty")}).groupBy("tx", "ty").agg(*_sums(classes))
+        out = out.unionByName(tiles.withColumn("level", F.lit(level)))
+    return out
+
+
+def ellipse_tiles(ellipses: DataFrame, tile_deg: float = TILE_DEG, levels: int = LEVELS) -> DataFrame:
+    """The tiles of every ellipse: ``whole`` ones inside it, as large as fit, and the finest ones on its border.
+
+    From the coarsest tiles that meet its box down, a tile outside is dropped, one
+    inside stays as it is, and any other gives way to its four parts. So the tiles
+    grow with the border in finest tiles, not with the area. Only column functions
+    of the ellipse are used; nothing is joined.
+    """
+    side = tile_deg * 2 ** (levels - 1)
+    tiles = ellipses.select(
+        "event_id", "lon", "lat", "sx", "sy", _tiles(F.col("lon") - F.col("sx"), F.col("lon") + F.col("sx"), side).alias("tx"),
+    ).select("*", _tiles(F.col("lat") - F.col("sy"), F.col("lat") + F.col("sy"), side).alias("ty")).withColumns(
+        {"level": F.lit(levels - 1), "whole": F.lit(False)})
+
+    def reach(side: float, tile: str, centre: str, radius: str) -> tuple:
+        low = F.col(tile) * F.lit(side) - F.col(centre)
+        high = low + F.lit(side)
+        near = F.greatest(F.lit(0.0), low, -high) / F.col(radius)
+        far = F.greatest(F.abs(low), F.abs(high)) / F.col(radius)
+        return near * near, far * far
+
+    for level in reversed(range(levels)):
+        (near_u, far_u), (near_v, far_v) = (reach(tile_deg * 2**level, *names) for names in (("tx", "lon", "sx"), ("ty", "lat", "sy")))
+        tiles = tiles.where(F.col("whole") | (near_u + near_v <= 1 + MARGIN)).withColumn(
+            "whole", F.col("whole") | (far_u + far_v <= 1 - MARGIN))
+        if level:
+            own = F.array(F.struct("level", "tx", "ty"))
+            parts = F.array(*[F.struct(F.lit(level - 1).alias("level"), (F.col("tx") * 2 + i).alias("tx"), (F.col("ty") * 2 + j).alias("ty"))
+                              for i in (0, 1) for j in (0, 1)])
+            tiles = tiles.withColumn("tile", F.explode(F.when(F.col("whole"), own).otherwise(parts))).select(
+                "event_id", "lon", "lat", "sx", "sy", "whole", "tile.level", "tile.tx", "tile.ty")
+    return tiles
+
+
+def class_overlap(ellipses: DataFrame, cells: DataFrame, classes: list[str], weights: dict[str, float] | None = None,
+                  tile_deg: float = TILE_DEG, levels: int = LEVELS) -> DataFrame:
     """Class shares of the cells inside each event's ellipse, with the mean rate.
 
     ``ellipses`` has ``event_id, lon, lat, sx, sy``, ``cells`` ``lon, lat, class,
     rate``. Events without a cell stay, with zeros. With ``weights`` a score is
     added: the sum of the rounded shares times the weights.
+
+    Tiles inside an ellipse give their sums; only places in tiles on its border are
+    tested one by one.
     """
     # A place given many times becomes one row with a count.
     places = cells.groupBy("lon", "lat").agg(
@@ -39,19 +95,14 @@ def class_overlap(ellipses: DataFrame, cells: DataFrame, classes: list[str],
         F.floor(F.col("lon") / F.lit(tile_deg)).cast("int").alias("tx"),
         F.floor(F.col("lat") / F.lit(tile_deg)).cast("int").alias("ty"),
     ).withColumnsRenamed({"lon": "cell_lon", "lat": "cell_lat"})
-    reach = ellipses.select(
-        "event_id", "lon", "lat", "sx", "sy",
-        _tiles(F.col("lon") - F.col("sx"), F.col("lon") + F.col("sx"), tile_deg).alias("tx"),
-    ).select(
-        "*", _tiles(F.col("lat") - F.col("sy"), F.col("lat") + F.col("sy"), tile_deg).alias("ty")
-    )
+    sums = ["event_id", "n", "rate", *(f"n_{c}" for c in classes)]
+    tiles = ellipse_tiles(ellipses, tile_deg, levels)
+    whole = hot_join(tiles.where("whole").select("event_id", "level", "tx", "ty"), tile_pyramid(places, classes, levels),
+                     ["level", "tx", "ty"]).select(sums)
     u = (F.col("cell_lon") - F.col("lon")) / F.col("sx")
     v = (F.col("cell_lat") - F.col("lat")) / F.col("sy")
-    inside = hot_join(places, reach, ["tx", "ty"]).where(u * u + v * v <= 1.0)
-    counts = inside.groupBy("event_id").agg(
-        F.sum("n").alias("cells"), F.sum("rate").alias("rate"),
-        *[F.sum(f"n_{c}").alias(f"n_{c}") for c in classes],
-    )
+    border = hot_join(places, tiles.where(~F.col("whole")).drop("whole", "level"), ["tx", "ty"]).where(u * u + v * v <= 1.0).select(sums)
+    counts = whole.unionByName(border).groupBy("event_id").agg(*_sums(classes)).withColumnRenamed("n", "cells")
     share = {
         c: F.coalesce(F.round(F.col(f"n_{c}") / F.col("cells"), 3), F.lit(0.0)) for c in classes
     }
