@@ -59,19 +59,29 @@ def _holds(ring: list[Vertex], x: float, y: float) -> bool:
     return inside
 
 
+def _from_first(ring: list[Vertex]) -> list[Vertex]:
+    """The ring from its smallest corner on."""
+    at = ring.index(min(ring))
+    return ring[at:] + ring[:at]
+
+
 def assemble_polygons(segments: list[tuple[int, int, int, int]]) -> list[list[list[Vertex]]]:
-    """Polygons as lists of rings, the outer ring first; rings are not closed."""
-    rings = trace_rings(segments)
+    """Polygons as lists of rings, the outer ring first; rings are not closed.
+
+    A ring begins at its smallest corner (x, then y); polygons, and the holes of
+    each, are in the order of these corners.
+    """
+    rings = [_from_first(r) for r in trace_rings(segments)]
     outer = sorted((r for r in rings if double_area(r) > 0), key=double_area)
     polygons = [[r] for r in outer]
-    for hole in (r for r in rings if double_area(r) < 0):
+    for hole in sorted(r for r in rings if double_area(r) < 0):
         # A point just right of the hole's leftmost edge, inside the hole.
         (x0, y0), (_, y1) = min(
             zip(hole, hole[1:] + hole[:1]), key=lambda e: (e[0][0] + e[1][0], e[0][1])
         )
         x, y = x0 + 0.25, (y0 + y1) / 2
         next(p for p in polygons if _holds(p[0], x, y)).append(hole)
-    return polygons
+    return sorted(polygons)
 
 
 def point_wkb(x: float, y: float) -> bytes:

@@ -5,7 +5,7 @@ from test_cluster import event, frame
 
 from gridextremes.functions.rings import assemble_polygons, double_area, point_wkb, polygons_wkb
 from gridextremes.operators.grid import Grid
-from gridextremes.operators.outline import footprint_outline, outline_edges, outline_segments, with_geometry
+from gridextremes.operators.outline import cell_regions, footprint_outline, outline_edges, outline_segments, with_geometry
 from gridextremes.sources import sinks
 from gridextremes.sources.cube import read_events
 
@@ -54,6 +54,34 @@ def test_many_random_footprints_keep_their_area(spark):
         polygons(spark, [(int(r), int(c)) for r in range(9) for c in range(9) if rng.random() < share])
 
 
+def test_lists_and_joins_give_the_same_polygons(spark):
+    """Random footprints, full of holes, islands and touching corners, by either way."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    cells = []
+    for k in range(40):
+        side, share = int(rng.integers(3, 9)), rng.choice([0.3, 0.5, 0.6, 0.7, 0.85])
+        cells += [(f"e{k}", r, c) for r in range(side) for c in range(side) if rng.random() < share]
+    ring = [(r, c) for r in range(4) for c in range(4) if (r, c) not in ((1, 1), (2, 2))]
+    comb = [(r, c) for r in range(40) for c in range(40) if r == 0 or c % 2 == 0]
+    cells += [("two holes", *c) for c in ring] + [("comb", *c) for c in comb] + [("notch", *c) for c in ring if c != (3, 3)]
+    frame_ = spark.createDataFrame(cells, "event_id string, ilat int, ilon int")
+    plain = {r["event_id"]: r["polygons"] for r in footprint_outline(frame_, GRID).collect()}
+    joined = {r["event_id"]: r["polygons"] for r in footprint_outline(frame_, GRID, list_corners=0).collect()}
+    assert len(plain) > 40 and plain == joined
+    mixed = {r["event_id"]: r["polygons"] for r in footprint_outline(frame_, GRID, list_corners=60).collect()}
+    assert mixed == plain
+
+
+def test_regions(spark):
+    got = cell_regions(foot(spark, [(0, 0), (0, 1), (1, 1), (2, 0), (3, 0), (3, 1), (3, 2), (2, 2), (5, 5)])).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["region"], set()).add((r["ilat"], r["ilon"]))
+    assert sorted(map(sorted, by.values())) == [[(0, 0), (0, 1), (1, 1)], [(2, 0), (2, 2), (3, 0), (3, 1), (3, 2)], [(5, 5)]]
+
+
 def shaped(spark):
     events = frame(spark, [event(1, 10.125, 40.125, 0, 9), event(2, 11.0, 41.0, 0, 9), event(3, 12.0, 41.0, 0, 9)])
     kinds = events.withColumn("geom_type", F.when(F.col("event_seq") == 3, "Point").otherwise("Polygon"))
