@@ -382,6 +382,76 @@ sides AS (
   GROUP BY 1, 2, 3, 4 HAVING sum(sign) <> 0
 )"""
 
+# Unit sides are directed with the inside on their left; ways are 0 east, 1 north, 2 west, 3 south. At a corner the path
+# turns left, goes on, or turns right, whichever comes first; where it would pass a corner twice it turns right.
+RINGS = SIDES + """,
+edges AS (
+  SELECT event_id, x0, y0, x0 + dx AS x1, y0 + dy AS y1, way, (x0 * 100000 + y0) * 4 + way AS s
+  FROM (SELECT event_id, CASE WHEN side = 'h' AND sign < 0 THEN ilon + 1 ELSE ilon END AS x0,
+               CASE WHEN side = 'v' AND sign < 0 THEN ilat + 1 ELSE ilat END AS y0,
+               CASE WHEN side = 'h' THEN sign ELSE 0 END AS dx, CASE WHEN side = 'v' THEN sign ELSE 0 END AS dy,
+               CASE WHEN side = 'h' THEN 1 - sign ELSE 2 - sign END AS way FROM sides)
+),
+options AS (
+  SELECT a.event_id, a.s, a.x1, a.y1, b.s AS t, (b.way - a.way + 5) % 4 AS turn, count(*) OVER (PARTITION BY a.event_id, a.s) AS n
+  FROM edges a JOIN edges b ON b.event_id = a.event_id AND b.x0 = a.x1 AND b.y0 = a.y1
+),
+left_turns AS (SELECT event_id, s, arg_max(t, turn) AS t FROM options GROUP BY 1, 2),
+reached AS (
+  SELECT event_id, s, s AS t FROM edges UNION
+  SELECT r.event_id, r.s, n.t FROM reached r JOIN left_turns n ON n.event_id = r.event_id AND n.s = r.t
+),
+first_rings AS (SELECT event_id, s, min(t) AS ring FROM reached GROUP BY 1, 2),
+twice AS (
+  SELECT o.event_id, x1, y1 FROM options o JOIN first_rings f ON f.event_id = o.event_id AND f.s = o.s
+  WHERE n = 2 GROUP BY 1, 2, 3 HAVING min(ring) = max(ring)
+),
+turns AS (
+  SELECT o.event_id, o.s, CASE WHEN any_value(w.x1) IS NULL THEN arg_max(t, turn) ELSE arg_min(t, turn) END AS t
+  FROM options o LEFT JOIN twice w ON w.event_id = o.event_id AND w.x1 = o.x1 AND w.y1 = o.y1 GROUP BY 1, 2
+),
+walk AS (
+  SELECT event_id, s AS start, s, 0 AS pos FROM edges UNION ALL
+  SELECT w.event_id, start, n.t, pos + 1 FROM walk w JOIN turns n ON n.event_id = w.event_id AND n.s = w.s WHERE n.t <> start
+),
+on_ring AS (
+  SELECT e.*, w.start AS ring, pos, e.way <> lag(e.way, 1, -1) OVER (PARTITION BY w.event_id, w.start ORDER BY pos) AS corner
+  FROM walk w JOIN (SELECT event_id, start FROM walk GROUP BY 1, 2 HAVING min(s) = start) f ON f.event_id = w.event_id AND f.start = w.start
+  JOIN edges e ON e.event_id = w.event_id AND e.s = w.s
+),
+hang AS (
+  SELECT event_id, r, c, r AS r2, c AS c2 FROM foot UNION
+  SELECT h.event_id, h.r, h.c, f.r, f.c FROM hang h JOIN foot f ON f.event_id = h.event_id AND abs(f.r - h.r2) + abs(f.c - h.c2) = 1
+),
+regions AS (SELECT event_id, r, c, min(r2 * 100000 + c2) AS region FROM hang GROUP BY 1, 2, 3),
+rings AS (
+  SELECT o.event_id, ring, sum(x0 * y1 - x1 * y0) < 0 AS is_hole, count(*) FILTER (corner) + 1 AS n_points,
+         min(x0 - CASE WHEN way IN (1, 2) THEN 1 ELSE 0 END) FILTER (pos = 0) AS c,
+         min(y0 - CASE WHEN way IN (2, 3) THEN 1 ELSE 0 END) FILTER (pos = 0) AS r,
+         '[' || string_agg(p, ',' ORDER BY pos) FILTER (corner) || ',' || min(p) FILTER (pos = 0) || ']' AS ring_text
+  FROM (SELECT *, '[' || round(4e0 + (x0 - 0.5e0) * step, 4) || ',' || round(34e0 + (y0 - 0.5e0) * step, 4) || ']' AS p
+        FROM on_ring, (SELECT min(step) AS step FROM cells)) o
+  GROUP BY 1, 2
+),
+polys AS (
+  SELECT g.event_id, region, min(ring) FILTER (NOT is_hole) AS first, count(*) AS n_rings, sum(n_points) AS n_points,
+         '[' || string_agg(ring_text, ',' ORDER BY is_hole, ring) || ']' AS poly_text
+  FROM rings g JOIN regions q ON q.event_id = g.event_id AND q.r = g.r AND q.c = g.c GROUP BY 1, 2
+),
+outlines AS (
+  SELECT event_id, count(*) AS n_polygons, sum(n_rings) AS n_rings, sum(n_points) AS n_points,
+         CASE WHEN count(*) > 1 THEN '[' ELSE '' END || string_agg(poly_text, ',' ORDER BY first) || CASE WHEN count(*) > 1 THEN ']' ELSE '' END AS coordinates
+  FROM polys GROUP BY 1
+),
+shaped AS (
+  SELECT c.event_id, c.date_start, c.date_end, c.date_peak, c.category, c.n_pixels, centroid_lon, centroid_lat,
+         CASE WHEN geom_type = 'Point' THEN 'Point' WHEN n_polygons > 1 THEN 'MultiPolygon' ELSE 'Polygon' END AS shape,
+         CASE WHEN geom_type = 'Point' THEN '[' || centroid_lon || ',' || centroid_lat || ']' ELSE coordinates END AS coordinates,
+         CASE WHEN geom_type = 'Point' THEN 21 ELSE 9 + CASE WHEN n_polygons > 1 THEN 9 * n_polygons ELSE 0 END + 4 * n_rings + 16 * n_points END AS wkb_bytes
+  FROM clusters c LEFT JOIN outlines o ON o.event_id = c.event_id
+)"""
+WKB_HEAD = "CASE shape WHEN 'Point' THEN '0101000000' WHEN 'Polygon' THEN '0103000000' ELSE '0106000000' END"
+
 
 def bucket(key: str, extra: str = "", source: str = "") -> str:
     return sql(source or IMPACT, f"""
@@ -518,7 +588,10 @@ FROM clusters ORDER BY event_seq LIMIT 20 OFFSET 10"""),
     "events_csv": sql(IMPACT, """
 SELECT c.event_id, date_start, c.n_pixels, n_aquaculture_sites, mpa_area_km2, seagrass_area_km2
 FROM clusters c JOIN impact i ON i.event_id = c.event_id"""),
-    "events_geoparquet": sql(CLUSTERS, "SELECT event_id, date_start, date_end, date_peak, n_pixels FROM clusters"),
+    "events_geoparquet": sql(RINGS, f"""
+SELECT event_id, date_start, date_end, date_peak, n_pixels, CAST(wkb_bytes AS INTEGER) AS wkb_bytes, {WKB_HEAD} AS wkb_head FROM shaped"""),
+    "feature_lines": sql(RINGS, "SELECT event_id, shape AS geom_type, coordinates, category, n_pixels FROM shaped"),
+    "geo_events": sql(RINGS, f"SELECT event_id, n_pixels, CAST(wkb_bytes AS INTEGER) AS wkb_bytes, {WKB_HEAD} AS wkb_head FROM shaped"),
     "overlay_geojson": sql(CELLS + PLACES, """
 SELECT feature_id, 'Polygon' AS geom_type, x0 AS xmin, y0 AS ymin, x0 + w AS xmax, y0 + h AS ymax,
        CASE WHEN kind = 'mpa' THEN 5 ELSE 1 END AS n_props FROM rects"""),

@@ -468,7 +468,12 @@ def cluster_polygons(spark, sf):
 
 @query
 def feature_lines(spark, sf):
-    return sinks.feature_lines(_shaped(spark, sf))
+    """Geometry and properties read back from the GeoJSON text of the clusters."""
+    lines = sinks.feature_lines(_shaped(spark, sf))
+    field = {"event_id": "id", "geom_type": "geometry.type", "coordinates": "geometry.coordinates",
+             "category": "properties.category", "n_pixels": "properties.n_pixels"}
+    kinds = {"category": "int", "n_pixels": "int"}
+    return lines.select(*[F.get_json_object("value", f"$.{path}").cast(kinds.get(c, "string")).alias(c) for c, path in field.items()])
 
 
 @query
@@ -565,7 +570,9 @@ def events_geoparquet(spark, sf):
     """Exported events read back, their dates as dates."""
     path = new_path(spark, "events-geo")
     sinks.write_geoparquet(_shaped(spark, sf), path)
-    return cubes.read_events(spark, path).select("event_id", "date_start", "date_end", "date_peak", "n_pixels")
+    return cubes.read_events(spark, path).select(
+        "event_id", "date_start", "date_end", "date_peak", "n_pixels", F.length("geometry").alias("wkb_bytes"),
+        F.hex(F.substring("geometry", 1, 5)).alias("wkb_head"))
 
 
 @query
