@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .skew import HOT_ROWS, hot_join
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(node, component)``; ``edges`` has ``a, b``, ``nodes`` has ``node``.
 
     Each round lets every node point at its smallest neighbour, follows the
@@ -17,14 +18,31 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     still has an edge, usually most of them, so the loop ends by itself. The
     minimum per node is combined map-side; every round ends in a written table,
     so the lineage stays one round long.
+
+    All joins look up one row per node, but many rows may ask for the same one: the
+    leaves of a hub point at it, and so do the nodes of a finished component. A
+    key with more than ``hot_rows`` rows is dealt over salts (see ``hot_join``); a
+    table with no more rows than that cannot have one and is joined plainly.
     """
+
+    def look_up(asking: DataFrame, answers: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+        if rows <= hot_rows:
+            return asking.join(answers, key, how)
+        # Counting keys reads the table again, so a chain of look-ups is cut by a written copy each.
+        return materialise(hot_join(asking, answers, [key], how, hot_rows), "looked_up")
+
+    def doubled(up: DataFrame, rows: int) -> DataFrame:
+        """Every pointer replaced by the pointer of its target."""
+        target = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        return look_up(up, target, "up", rows, "left").select("node", F.coalesce("far", "up").alias("up"))
+
     live = materialise(
         edges.where(F.col("a") != F.col("b"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "edges",
     )
     hops: list[DataFrame] = []
-    while not live.isEmpty():
+    while n_edges := live.count():
         both = live.select(F.explode(F.array(
             F.struct(F.col("a").alias("node"), F.col("b").alias("other")),
             F.struct(F.col("b").alias("node"), F.col("a").alias("other")),
@@ -32,12 +50,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         up = both.groupBy("node").agg(F.min("other").alias("low")).select(
             "node", F.least("node", "low").alias("up")
         ).persist()
-        hop = materialise(_double(_double(up)), "hop")
+        hop = materialise(doubled(doubled(up, 2 * n_edges), 2 * n_edges), "hop")
         up.unpersist()
         hops.append(hop)
-        ends = live.join(hop.withColumnsRenamed({"node": "a", "up": "ua"}), "a").join(
-            hop.withColumnsRenamed({"node": "b", "up": "ub"}), "b"
-        )
+        one_end = look_up(live, hop.withColumnsRenamed({"node": "a", "up": "ua"}), "a", n_edges)
+        ends = look_up(one_end, hop.withColumnsRenamed({"node": "b", "up": "ub"}), "b", n_edges)
         live = materialise(
             ends.where(F.col("ua") != F.col("ub"))
             .select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b"))
@@ -45,15 +62,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             "edges",
         )
     found = nodes.select("node", F.col("node").alias("component"))
-    for hop in hops:
+    n_nodes = nodes.count() if len(hops) > 1 else 0
+    for k, hop in enumerate(hops):
         step = hop.withColumnsRenamed({"node": "component", "up": "next"})
-        found = found.join(step, "component", "left").select(
+        # Before the first step every node is its own component.
+        found = look_up(found, step, "component", n_nodes if k else 0, "left").select(
             "node", F.coalesce("next", "component").alias("component")
         )
     return found
-
-
-def _double(up: DataFrame) -> DataFrame:
-    """Replace every pointer by the pointer of its target."""
-    target = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
-    return up.join(target, "up", "left").select("node", F.coalesce("far", "up").alias("up"))

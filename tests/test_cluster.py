@@ -1,5 +1,6 @@
 import numpy as np
 from helpers import clusters_by_brute_force, day
+from pyspark.sql import functions as F
 
 from gridextremes.operators.cluster import by_severity, cluster_events
 from gridextremes.operators.components import connected_components
@@ -108,3 +109,45 @@ def test_numbering(spark):
     cells = spark.createDataFrame([(a, b, n) for a in (2, 0, 5) for b in (1, 0) for n in (1, 2)], "a int, b int, n int")
     rows = sorted((r["seq"], r["a"], r["b"], r["n"]) for r in number_by_cell(cells, "a", "b", "n", "seq").collect())
     assert [r[0] for r in rows] == list(range(1, 13)) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+
+
+def stages(spark):
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(
+        jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return [found.apply(k) for k in range(found.size())]
+
+
+def rows_read(spark, after):
+    """Per stage later than ``after`` that reads shuffled rows: those of its largest task and of all its tasks."""
+    store, out = spark.sparkContext._jsc.sc().statusStore(), []
+    for stage in stages(spark):
+        if stage.stageId() > after and stage.numCompleteTasks():
+            tasks = store.taskList(stage.stageId(), stage.attemptId(), 10_000)
+            metrics = [tasks.apply(i).taskMetrics() for i in range(tasks.size())]
+            read = [m.get().shuffleReadMetrics().recordsRead() for m in metrics if m.isDefined()]
+            if sum(read):
+                out.append((max(read), sum(read)))
+    return out
+
+
+def test_a_star_of_a_million_leaves(spark):
+    """Every leaf asks for the hub; no task gets them all."""
+    n = 1_000_000
+    leaves = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    chain = spark.range(2 * n, 2 * n + 20).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    nodes = spark.range(0, n + 1).union(spark.range(2 * n, 2 * n + 21)).withColumnRenamed("id", "node")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    after = max([s.stageId() for s in stages(spark)], default=-1)
+    try:
+        found = connected_components(leaves.union(chain), nodes, hot_rows=25_000)
+        got = {r["component"]: r["count"] for r in found.groupBy("component").count().collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == {0: n + 1, 2 * n: 21}
+    large = [most / total for most, total in rows_read(spark, after) if total > n / 2]
+    assert len(large) > 5 and max(large) < 0.25  # of 16 tasks
