@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.skew import hot_join
 from ..session import materialise
 from .common import packed, summed_arrays
 
@@ -499,7 +500,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = materialise(_grouped(docs, id_col, text_col, words, percent, cells, frequent), "grouped")
     least = rows.where("part IS NOT NULL").groupBy("part").agg(F.min("id").alias("least"))
-    return rows.join(least, "part", "left").select(
+    # A component may hold many rows, so these are dealt over salts; the broadcast keys are KEY_SHARE at most.
+    return hot_join(rows, least, ["part"], "left", max(SAMPLE, rows.count() // KEY_SHARE)).select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
