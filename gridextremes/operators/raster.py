@@ -82,12 +82,13 @@ def axis_brackets(source: DataFrame, target: DataFrame, axis: str) -> DataFrame:
     return placed.select("to", F.explode(F.when(inside, pair).otherwise(outside)).alias("p")).select(F.col("p.x").alias(axis), "to", F.col("p.w").alias("w"))
 
 
-def regrid_bilinear(slab: DataFrame, target: DataFrame, value: str = "sst") -> DataFrame:
+def regrid_bilinear(slab: DataFrame, target: DataFrame, value: str = "sst", label: str | None = None) -> DataFrame:
     """Bilinear interpolation onto the cells of ``target`` (``lat, lon``).
 
     Every source value is sent, with its weight, to the few targets it serves;
     a target with a missing corner, or outside the source, is NULL. A day needs
-    a row for every source cell, with NULL where there is no value.
+    a row for every source cell, with NULL where there is no value. ``label`` is a
+    column of which each cell and day takes the smallest among the corners that count.
     """
     cells = target.select("lat", "lon").distinct()
     by_lat = axis_brackets(slab, cells, "lat").withColumnsRenamed({"to": "to_lat", "w": "w_lat"})
@@ -95,16 +96,18 @@ def regrid_bilinear(slab: DataFrame, target: DataFrame, value: str = "sst") -> D
     # The brackets have two rows per coordinate of an axis, so they are broadcast.
     # The wanted cells come in by the integer key, which also serves the grouping.
     sent = (
-        slab.select("dt", "lat", "lon", F.col(value).alias("v"))
+        slab.select("dt", "lat", "lon", F.col(value).alias("v"), (F.col(label) if label else F.lit(None)).alias("label"))
         .join(F.broadcast(by_lat), "lat").join(F.broadcast(by_lon), "lon")
-        .select("dt", F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"), "v", "w_lat", "w_lon")
+        .select("dt", F.col("to_lat").alias("lat"), F.col("to_lon").alias("lon"), "v", "label", "w_lat", "w_lon")
         .withColumn("cell", cell_key())
         .join(cells.select(cell_key()), "cell", "left_semi")
     )
     summed = sent.groupBy("cell", "lat", "lon", "dt").agg(
-        F.sum(F.col("v") * F.col("w_lat") * F.col("w_lon")).alias("total"), F.count("v").alias("corners")
+        F.sum(F.col("v") * F.col("w_lat") * F.col("w_lon")).alias("total"), F.count("v").alias("corners"),
+        *([F.min(F.when(F.col("w_lat") * F.col("w_lon") > 0, F.col("label"))).alias(label)] if label else []),
     )
-    return summed.select("dt", "lat", "lon", F.when(F.col("corners") == 4, F.col("total")).alias(value))
+    return summed.select(
+        "dt", "lat", "lon", F.when(F.col("corners") == 4, F.col("total")).alias(value), *([label] if label else []))
 
 
 def upsample_bilinear(field: DataFrame, n_lat: int, n_lon: int, value: str = "anomaly",

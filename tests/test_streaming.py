@@ -6,7 +6,9 @@ from helpers import cube_of, day, events_of_series, flat_clim, spike
 from pyspark.sql import functions as F
 
 from gridextremes.operators.detect import cell_events
+from gridextremes.sources.sinks import write_cube
 from gridextremes.streaming import incremental
+from gridextremes.streaming.manifest import Manifest
 from gridextremes.operators.grid import cell_key
 from gridextremes.streaming.detection import _EMPTY, CellRuns, over_at_end, read_days, state_at_end, stream_detect
 
@@ -180,3 +182,55 @@ def test_append_after_a_part_of_the_grid_opened_a_year(spark, tmp_path):
     want = {(date(2022, 1, 1), *c): 21.0 for c in part}
     want |= {(date(2022, 1, 2), *c): 22.0 + i for i, c in enumerate(cells)} | {(date(2022, 1, 3), *c): None for c in cells}
     assert got == want
+
+
+def grid_rows(days, cells, value=20.0, product="nrt"):
+    return [(d, lat, lon, value, product) for d in days for lat, lon in cells]
+
+
+ROWS = "dt date, lat double, lon double, sst double, product string"
+CELLS = [(lat, lon) for lat in (40.0, 40.5, 41.0) for lon in (10.0, 10.5, 11.0)]
+
+
+def test_append_reads_no_old_file_and_a_batch_counts_once(spark, tmp_path):
+    path = tmp_path / "cube"
+    for year, name in ((2020, "a"), (2021, "b")):
+        incremental.append_slab(spark, str(path), spark.createDataFrame(grid_rows([date(year, 5, d) for d in (1, 2)], CELLS), ROWS), name)
+    for file in path.glob("year=*/*.parquet"):
+        file.write_bytes(b"not parquet")  # whoever reads it fails
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+    slab = spark.createDataFrame(grid_rows([date(2021, 5, 2), date(2022, 5, 1)], CELLS, 30.0), ROWS)
+    for name in ("c", "c", "d"):
+        incremental.append_slab(spark, str(path), slab, name)
+    got = spark.read.schema(ROWS).parquet(str(path / "year=2022"))
+    assert got.count() == 9 and {r["sst"] for r in got.collect()} == {30.0}
+    assert not list(path.glob("year=2021/*.parquet"))[1:]
+
+
+def test_a_moved_slab_leaves_the_other_cells_open_and_keeps_products(spark, tmp_path):
+    path = str(tmp_path / "cube")
+    incremental.append_slab(spark, path, spark.createDataFrame(grid_rows([day(0)], CELLS), ROWS))
+    moved = [(lat + 0.1, lon + 0.1) for lat, lon in CELLS]
+    mixed = grid_rows([day(1)], moved, 30.0, "reprocessed") + grid_rows([day(2)], moved, 31.0)
+    incremental.append_slab(spark, path, spark.createDataFrame(mixed, ROWS))
+    rows = spark.read.parquet(path).where(F.col("dt") > day(0))
+    assert {(r["dt"], r["product"]): r["count"] for r in rows.groupBy("dt", "product").count().collect()} == {
+        (day(1), "reprocessed"): 4, (day(2), "nrt"): 4}
+    incremental.append_slab(spark, path, spark.createDataFrame(grid_rows([day(1)], CELLS, 25.0), ROWS))
+    first = spark.read.parquet(path).where(F.col("dt") == day(1))
+    assert {r["sst"]: r["count"] for r in first.groupBy("sst").count().collect()} == {30.0: 4, 25.0: 5}
+
+
+def test_a_batch_cut_off_before_its_commit_goes_on(spark, tmp_path):
+    path = str(tmp_path / "cube")
+    incremental.append_slab(spark, path, spark.createDataFrame(grid_rows([day(0)], CELLS), ROWS), "a")
+    slab = spark.createDataFrame(grid_rows([day(1), day(2)], CELLS, 22.0), ROWS)
+    Manifest(spark, path).intend("b", [2022])
+    write_cube(slab.where(F.col("lat") < 41), path, mode="append")  # and then the lights went out
+    for name in ("b", "b", "c"):
+        incremental.append_slab(spark, path, slab, name)
+    got = spark.read.parquet(path)
+    assert got.count() == 27 == got.select("dt", "lat", "lon").distinct().count()
+    assert {r["dt"]: r["n"] for r in Manifest(spark, path).days().collect()} == {day(i): 9 for i in range(3)}
+    incremental.compact_years(spark, path, [2022])
+    assert spark.read.parquet(path).count() == 27

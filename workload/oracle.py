@@ -832,4 +832,4 @@ tails AS (SELECT lat, lon, coalesce(max(dt) FILTER (WHERE NOT hot) + 1, min(dt))
 SELECT e.lat, e.lon, date_start, date_end, date_peak, duration_days, intensity_max, intensity_mean, intensity_cumulative, category, category_name
 FROM events e JOIN tails t ON t.lat = e.lat AND t.lon = e.lon WHERE date_diff('day', date_end, earliest) - 1 > 2"""),
 }
-ORACLE["append_twice"] = ORACLE["slab_merge"]
+ORACLE["append_twice"] = ORACLE["stream_append"] = ORACLE["slab_merge"]

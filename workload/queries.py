@@ -145,6 +145,21 @@ def append_twice(spark, sf):
     )
 
 
+@query
+def stream_append(spark, sf):
+    """The same slab lands file by file in a folder that a stream appends from, in several micro-batches."""
+    root = new_path(spark, "landing")
+    sinks.write_cube(t.cube(spark, sf).where(F.col("dt") <= F.lit("2000-12-31").cast("date")), f"{root}/cube")
+    landed = cubes.harmonise(t.slab(spark, sf)).select(F.col("dt").alias("time"), "lat", "lon", F.col("sst").alias("analysed_sst"))
+    for first, last in ((1995, 1997), (1998, 2000), (2001, 2001)):
+        landed.where(F.year("time").between(first, last)).repartition(2).write.mode("append").parquet(f"{root}/in")
+    for _ in range(2):  # started again, it finds nothing new
+        incremental.stream_append(spark, f"{root}/in", landed.schema, f"{root}/cube", f"{root}/state", files=2).awaitTermination()
+    return cubes.read_cube(spark, f"{root}/cube").groupBy(F.year("dt").alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("dt").alias("n_days"), F.round(F.sum("sst"), 2).alias("total")
+    )
+
+
 @query
 def backfilled_years(spark, sf):
     path = new_path(spark, "backfilled")
