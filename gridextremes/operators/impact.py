@@ -133,6 +133,17 @@ def hit_details(footprint: DataFrame, index: OverlayIndex) -> DataFrame:
     return hot_join(hits.select("event_id", *FEATURE), index.overlay.select(*FEATURE, "props"), FEATURE)
 
 
+def details_by_kind(events: DataFrame, footprint: DataFrame, index: OverlayIndex, kinds: list[str]) -> DataFrame:
+    """Per event one row for every kind, also those not met: ``kind, affected, details`` (properties of the features)."""
+    rows = hit_details(footprint, index).groupBy("event_id", "kind").agg(F.sort_array(F.collect_list(
+        F.struct("feature_id", F.map_entries("props").alias("props")))).alias("found"))
+    wanted = events.select("event_id", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    details = F.transform("found", lambda f: F.map_from_entries(f["props"]))
+    return wanted.join(rows, ["event_id", "kind"], "left").select(
+        "event_id", "kind", F.coalesce(F.size("found"), F.lit(0)).alias("affected"),
+        F.coalesce(details, F.array().cast("array<map<string,string>>")).alias("details"))
+
+
 def find_site(overlay: DataFrame, code: str) -> DataFrame:
     """The protected area with a site code, whatever its case; error if unknown."""
     wanted = overlay.where(

@@ -86,7 +86,8 @@ def intensity_histogram(events: DataFrame, bins: int = 19) -> DataFrame:
 
 def bubbles(events: DataFrame, rings: DataFrame | None = None) -> DataFrame:
     """A point per event to draw a bubble at: its centroid, else the vertex mean
-    of its outer ring with the most vertices.
+    of its outer ring with the most vertices, of equally long ones the first one's
+    (x, then y of its first vertex).
 
     ``rings`` has ``event_id, ring`` (array of x, y), one row per outer ring.
     """
@@ -101,7 +102,7 @@ def bubbles(events: DataFrame, rings: DataFrame | None = None) -> DataFrame:
         return F.aggregate("ring", F.lit(0.0), lambda acc, p: acc + p[axis]) / size
 
     centre = F.struct(mean("x").alias("x"), mean("y").alias("y"))
-    largest = rings.groupBy("event_id").agg(F.max_by(centre, size).alias("c"))
+    largest = rings.groupBy("event_id").agg(F.max_by(centre, F.struct(size, -F.col("ring")[0]["x"], -F.col("ring")[0]["y"])).alias("c"))
     return own.join(largest, "event_id", "left").select(
         "event_id", F.coalesce("x", "c.x", F.lit(0.0)).alias("x"), F.coalesce("y", "c.y", F.lit(0.0)).alias("y")
     )

@@ -15,6 +15,7 @@ from ..operators.filters import by_id, cells_in_bbox, default_window, features_i
 from ..operators.grid import Grid, align_to_grid, grid_of, nearest_on_axis
 from ..operators.impact import OverlayIndex, attach_impact, find_site, impact_summary
 from ..operators.rollup import aggregate_events
+from ..sources.overlays import site_attributes
 
 
 def _between(cube: DataFrame, start: date, end: date) -> DataFrame:
@@ -79,14 +80,21 @@ def expose_farms(cube: DataFrame, clim: DataFrame, farms: DataFrame, start: date
 
 
 def site_report(cube: DataFrame, clim: DataFrame, overlay: DataFrame, code: str,
-                start: date | None = None, end: date | None = None, grid: Grid | None = None) -> DataFrame:
-    """Clusters at a protected area; only the cells around it are looked at."""
+                start: date | None = None, end: date | None = None, grid: Grid | None = None) -> tuple[DataFrame, DataFrame]:
+    """Clusters at a protected area, and one row about it; only the cells around it are looked at.
+
+    The row has the area's attributes, the window and the number of clusters.
+    """
     grid = grid or grid_of(cube)
     site = find_site(overlay, code)
     start, end = default_window(cube, start, end)
     days = cells_in_bbox(_between(cube, start, end), padded_site_box(site))
     clusters = cluster_events(detect_events(days, _baseline(clim, grid, start, end), grid=grid))
-    return by_severity(events_at_site(clusters, site, grid))
+    found = events_at_site(clusters, site, grid)
+    facts = site_attributes(site.limit(1)).select("site_code", "site_name", "member_state", "site_type", "area_ha").withColumns({
+        "window_start": F.lit(start).cast("date"), "window_end": F.lit(end).cast("date"),
+        "n_events": found.agg(F.count(F.lit(1)).alias("n")).scalar()})
+    return by_severity(found), facts
 
 
 def collection_items(items: DataFrame, order: list, bbox=None, limit: int = 100, offset: int = 0):

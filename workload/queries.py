@@ -518,6 +518,15 @@ def bubbles(spark, sf):
     return rollup.bubbles(t.clusters(spark, sf).events)
 
 
+@query
+def bubbles_from_rings(spark, sf):
+    """Bubbles of events whose centroid is withheld: from the outer ring with the most corners."""
+    events = _shaped(spark, sf).where(F.col("polygons").isNotNull())
+    rings = events.select("event_id", F.explode("polygons").alias("p")).select("event_id", F.col("p")[0].alias("ring"))
+    hidden = events.withColumns({c: F.lit(None).cast("double") for c in ("centroid_lon", "centroid_lat")})
+    return rounded(rollup.bubbles(hidden, rings), 6, "x", "y")
+
+
 # --- roll-ups --------------------------------------------------------------------
 
 def _impacted(spark, sf) -> DataFrame:
@@ -627,9 +636,9 @@ def impact_by_category(spark, sf):
 @query
 def impact_details(spark, sf):
     c = t.clusters(spark, sf)
-    rows = impact.hit_details(c.footprint, t.index(spark, sf))
-    name = F.coalesce(F.col("props")["SITECODE"], F.col("props")["name"])
-    return rows.groupBy("event_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.max(name).alias("last_name"))
+    rows = impact.details_by_kind(c.events, c.footprint, t.index(spark, sf), t.KINDS)
+    names = F.transform("details", lambda p: F.coalesce(p["SITECODE"], p["name"]))
+    return rows.select("event_id", "kind", F.col("affected").cast("long").alias("n"), F.array_join(F.array_sort(names), ",").alias("names"))
 
 
 @query
@@ -645,7 +654,7 @@ def overlay_bbox(spark, sf):
 
 @query
 def site_attributes(spark, sf):
-    return overlays.site_attributes(t.protected(spark, sf)).drop("release_date")
+    return overlays.site_attributes(t.protected(spark, sf))
 
 
 @query
@@ -664,9 +673,9 @@ def site_events(spark, sf):
 
 @query
 def site_report(spark, sf):
-    found = plans.site_report(
+    found, facts = plans.site_report(
         t.cube(spark, sf), t.climatology(spark, sf), t.protected(spark, sf), SITE, *WINDOW, grid=t.grid(spark, sf))
-    return found.select(*CLUSTER_COLUMNS)
+    return found.select(*CLUSTER_COLUMNS, *[facts.select(c).scalar().alias(c) for c in facts.columns])
 
 
 @query
