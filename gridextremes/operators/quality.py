@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,25 +164,35 @@ def light_check(clim: DataFrame, attrs: dict) -> DataFrame:
     ])).alias("r")).select("r.*")
 
 
-def fingerprint_frame(clim: DataFrame, attrs: dict) -> DataFrame:
-    """One row with a digest of all values and attributes but the creation time.
+MICRO = 1_000_000
+PARTS = ("s0", "s1", "s2", "s3")
+
+
+def fingerprint_parts(clim: DataFrame) -> DataFrame:
+    """One row ``n, s0 .. s3``: a hash of the rows as a multiset.
 
-    Rows are hashed one by one and combined without regard to their order, so
-    the digest needs no sort and does not depend on files or partitions.
+    Every row is a text of its coordinates and values in millionths; its MD5 is
+    cut in four numbers, which are summed. Sums need no order, so they do not depend
+    on files or partitions, and those of parts add up to that of the whole.
     """
+    def micro(c: str) -> Column:
+        return F.coalesce(F.round(F.col(c) * MICRO).cast("long").cast("string"), F.lit(""))
+
+    row = F.md5(F.concat_ws("|", micro("lat"), micro("lon"), F.col("doy").cast("string"), micro("seas"), micro("thresh")))
+    numbers = clim.select(*[F.conv(F.substring(row, 1 + 8 * k, 8), 16, 10).cast("long").alias(p) for k, p in enumerate(PARTS)])
+    return numbers.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(p), F.lit(0)).alias(p) for p in PARTS])
+
+
+def merged_fingerprint(parts: DataFrame, attrs: dict) -> DataFrame:
+    """One row with a digest of all rows behind ``parts`` and of the attributes but the creation time."""
     kept = {k: v for k, v in sorted(attrs.items()) if k != "created_utc"}
     blob = json.dumps(kept, sort_keys=True, separators=(",", ":"), default=str)
-    row = F.xxhash64(
-        "lat", "lon", "doy", F.col("seas").cast("float"), F.col("thresh").cast("float")
-    )
-    combined = clim.select(row.alias("h")).agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"),
-        F.sum(F.col("h").cast("decimal(20,0)")).alias("s"),
-    )
-    return combined.select(
-        F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("x").cast("string"),
-                           F.col("s").cast("string"), F.lit(blob)), 256).alias("fingerprint")
-    )
+    whole = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", *PARTS)])
+    return whole.select(F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in ("n", *PARTS)], F.lit(blob)), 256).alias("fingerprint"))
+
+
+def fingerprint_frame(clim: DataFrame, attrs: dict) -> DataFrame:
+    return merged_fingerprint(fingerprint_parts(clim), attrs)
 
 
 def fingerprint(clim: DataFrame, attrs: dict) -> str:

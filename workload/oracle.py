@@ -643,6 +643,15 @@ SELECT "check", level, value FROM (
      'value': round(100e0 * below / nullif(valid, 0), 2)},
     {'check': 'doy continuity p99', 'level': CASE WHEN p99 IS NULL THEN 'warn' WHEN p99 >= 1 THEN 'error' WHEN p99 >= 0.5 THEN 'warn' ELSE 'ok' END,
      'value': round(p99, 3)}], recursive := true) FROM f)""").replace(")\n,\njumps", "),\njumps"),
+    "clim_fingerprint": sql(CLIM + """,
+hashed AS (
+  SELECT md5(concat_ws('|', CAST(round(lat * 1000000) AS BIGINT), CAST(round(lon * 1000000) AS BIGINT), doy,
+                       coalesce(CAST(CAST(round(seas * 1000000) AS BIGINT) AS VARCHAR), ''),
+                       coalesce(CAST(CAST(round(thresh * 1000000) AS BIGINT) AS VARCHAR), ''))) AS h FROM clim
+),
+parts AS (SELECT count(*) AS n, """ + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT)) AS s{k}" for k in range(4)) + """ FROM hashed)""", """
+SELECT sha256(concat_ws('|', n, s0, s1, s2, s3, '{"bbox":[4.0,34.0,36.0,66.0],"clim_end":2001,"clim_start":1995,"pctile":90.0,"schema_version":"1",' ||
+              '"smooth_width":31,"units":"degC","window_half_width":5}')) AS fingerprint FROM parts"""),
     "clim_light_check": sql(CLIM, """
 SELECT unnest([{'check': 'schema version', 'ok': TRUE}, {'check': 'required attributes', 'ok': TRUE},
                {'check': 'dayofyear length', 'ok': count(DISTINCT doy) = 366},

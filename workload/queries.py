@@ -244,7 +244,10 @@ def clim_light_check(spark, sf):
 
 @query
 def clim_fingerprint(spark, sf):
-    return quality.fingerprint_frame(t.climatology(spark, sf), ATTRS)
+    """The digest put together from the two halves of the year, as after an append."""
+    clim = t.climatology(spark, sf)
+    halves = [quality.fingerprint_parts(clim.where(half)) for half in (F.col("doy") <= 183, F.col("doy") > 183)]
+    return quality.merged_fingerprint(halves[0].unionByName(halves[1]), ATTRS)
 
 
 # --- fields ----------------------------------------------------------------------
