@@ -98,7 +98,8 @@ def turns_of_table(records: DataFrame, id_col: str = "conv_id", layouts: tuple[L
     The fingerprint is that of the table's paths that some layout knows, without
     the id. If further columns only look like fields of other layouts, the
     layout with most fields among those that are all there is taken, the first
-    listed of equals. Raises if there is none.
+    listed of equals. Raises if there is none. Rows by turn keep the roles they
+    have; other layouts come to the canonical ones.
     """
     by_print = {fingerprint([p for p in layout.paths() if p != id_col]): layout for layout in reversed(layouts)}
     used = {p for layout in layouts for p in layout.paths()}
@@ -109,7 +110,7 @@ def turns_of_table(records: DataFrame, id_col: str = "conv_id", layouts: tuple[L
         raise ValueError(f"no layout has the fields {sorted(own)}")
     if layout.rows:
         conv, turn, role, text = (records[f"`{c}`"] for c in layout.rows)
-        return records.select(conv.alias("conv_id"), turn.cast("long").alias("turn"), _role(role).alias("role"),
+        return records.select(conv.alias("conv_id"), turn.cast("long").alias("turn"), F.coalesce(role, F.lit("")).alias("role"),
                               F.coalesce(text, F.lit("")).alias("text"))
     turns = _turns_of(layout, lambda field: records[f"`{field}`"])
     return records.select(records[f"`{id_col}`"].alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.*")

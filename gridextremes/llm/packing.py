@@ -34,15 +34,20 @@ class Encoder:
     are not a space, so a text is the sequence of its chunks, each with the space
     before it; further spaces belong to the chunk before them. New chunks are
     encoded many at a time, as one text, and parted by the bytes that their ids
-    stand for; afterwards they are looked up. Strings of special tokens in a text
-    are ordinary text.
+    stand for; afterwards they are looked up.
 
-    Texts of plain signs go a faster way to the same ids: see ``plain_coder``.
+    Texts of plain signs go a faster way to the same ids: see ``plain_coder``. A text
+    that holds the string of an added token is encoded whole, so it gets the ids
+    that the tokenizer itself gives it.
     """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added)) if added else None
+        # The other two ways only see texts without such strings.
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = id_type(self.tokenizer.get_vocab_size(), end_id)
@@ -67,6 +72,14 @@ class Encoder:
         return out if out[0] else out[1:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        marked = {t for t in texts if self.added is not None and self.added.search(t)}
+        if not marked:
+            return self._encode(texts)
+        others = iter(self._encode([t for t in texts if t not in marked]))
+        ids = {t: np.array(self.whole.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() + self.end for t in marked}
+        return [ids[t] if t in marked else next(others) for t in texts]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         plain = [self.plain is not None and bool(PLAIN.fullmatch(t)) and not RUN.search(t) for t in texts]
         others = iter(self._by_chunks([t for t, easy in zip(texts, plain, strict=True) if not easy]))
         return [

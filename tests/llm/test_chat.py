@@ -11,7 +11,7 @@ from gridextremes.llm import chat
 ROWS = [
     (1, 1, "assistant", "### Assistant: </turn>"), (1, 0, "user", "\\### #### </turn></turn> \\h \\l \\s"), (2, 0, "system", None), (2, 1, None, "x"),
     (3, None, "assistant", "last"), (3, 5, "assistant", ""), (None, 0, "user", "no id"), (4, 0, "assistant", "🙂é\n\n</turn>\n### user:\n"),
-    (5, 0, "a:\nb", "odd role"), (6, 0, "user", "t"), (6, 0, "user", "t"), (6, 0, "assistant", "tie"), (7, 0, "assistant", "y" * 100_000),
+    (5, 0, "a:\nb", "odd role"), (8, 0, "human", "roles stay"), (8, 1, "gpt", "as they are"), (8, 2, None, "null"), (6, 0, "user", "t"), (6, 0, "user", "t"), (6, 0, "assistant", "tie"), (7, 0, "assistant", "y" * 100_000),
 ]
 SCHEMA = "conv_id long, turn long, role string, text string"
 

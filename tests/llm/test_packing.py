@@ -10,13 +10,12 @@ from gridextremes.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ROWS = [(1, "A first text."), (2, None), (3, ""), (4, "word " * 3000), (5, "  lead  and   trail  "), (None, "no id"), (6, "same"), (6, "same"),
-        (7, "x" * 5000), (8, "<|endoftext|> inside"), (9, "é漢字🙂 \n\n  tab\t\tend\u00a0 "), (10, " ")]
+        (7, "x" * 5000), (8, "<|endoftext|> inside"), (11, "a <|endoftext|> b <|endoftext|>"), (12, "word " * 900 + "é<|endoftext|>é"), (9, "é漢字🙂 \n\n  tab\t\tend\u00a0 "), (10, " ")]
 
 
 @pytest.fixture(scope="module")
 def whole():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -37,6 +36,14 @@ def test_plain_texts_take_the_faster_way_to_the_same_ids(text):
     assert np.frombuffer(own.encode([text])[0], own.dtype).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids + [1]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", " a", "b ", "é", "\n", "<|", "|>", "word"]), max_size=6).map("".join), max_size=5))
+def test_ids_are_those_of_the_plain_call(texts):
+    own, plain = packing.encoder(PATH, 1), Tokenizer.from_file(PATH)
+    assert [np.frombuffer(b, own.dtype).tolist() for b in own.encode(texts)] == [
+        plain.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+
+
 def test_every_token_by_both_ways():
     """Each token's text, and each plain sign beside others, alone and in a row."""
     own = packing.encoder(PATH, 1)

@@ -95,7 +95,6 @@ def test_mixing(stages):
 def test_packing(stages):
     before, after = stages[4]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter((r["doc_id"], tuple(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1])) for r in before.collect())
     got, now = Counter(), []
     for r in sorted(after.collect(), key=lambda r: (r["sequence_id"], r["offset"])):
