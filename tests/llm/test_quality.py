@@ -1,3 +1,4 @@
+import math
 import unicodedata
 
 import numpy as np
@@ -99,3 +100,47 @@ def test_pages_of_numbers_are_told_from_prose(documents, spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
     out = quality.judge(docs, labels, docs["source"], docs["lang"]).where("row.doc_id >= 200").select("row.doc_id", "kept").collect()
     assert len(out) == 100 and all(r["kept"] == (r["doc_id"] % 2 == 1) for r in out)
+
+
+def brute(rows):
+    """Rates and posteriors in plain code, from the evidence of each row: (host, path, odds, prior)."""
+    odds, prior = [r[2] for r in rows], rows[0][3]
+    p = [1 / (1 + math.exp(-o)) for o in odds]
+    mean = sum(p) / len(p)
+
+    def groups(keys):
+        out = {}
+        for k, v in zip(keys, p, strict=True):
+            s, n = out.get(k, (0.0, 0))
+            out[k] = (s + v, n + 1)
+        return out
+
+    def strength(found):
+        n, inside = len(p), mean * (1 - mean)
+        spread = sum(c * (s / c - mean) ** 2 for s, c in found.values())
+        between = (spread - (len(found) - 1) * inside) / max(n - sum(c * c for _, c in found.values()) / n, 1e-9)
+        return min(1000.0, max(1.0, inside / max(between, 1e-9) - 1)) if len(found) > 1 else 100.0
+
+    hosts, paths = groups([r[0] for r in rows]), groups([r[:2] for r in rows])
+    of_hosts, of_paths = strength(hosts), strength(paths)
+    base = math.log(prior / (1 - prior))
+    out = []
+    for (host, path, o, _), own in zip(rows, p, strict=True):
+        (hs, hn), (ps, pn) = hosts[host], paths[host, path]
+        host_rate = (of_hosts * mean + hs - own) / (of_hosts + hn - 1)
+        path_rate = (of_paths * host_rate + ps - own) / (of_paths + pn - 1)
+        out.append((host_rate, path_rate, 1 / (1 + math.exp(-(o - base + math.log(path_rate / (1 - path_rate)))))))
+    return out
+
+
+def test_posteriors_against_plain_code(documents, spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, text(i, rng.random() < (0.9, 0.5, 0.1)[i % 3]), None if i % 11 == 0 else f"host{i % 3}") for i in range(240)]
+    rows += [(900, None, "small"), (901, "", "small"), (902, text(902, True), "alone")]
+    docs = documents(rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("p"), F.col("doc_id") % 5)))
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(120)], "doc_id long, quality int")
+    got = quality.judge(docs, labels, docs["source"], docs["lang"]).select("row.source", "row.lang", "evidence", "host_rate", "path_rate", "posterior", "kept").collect()
+    want = brute([(r["source"], r["lang"], r["evidence"], 0.75) for r in got])
+    for r, w in zip(got, want, strict=True):
+        assert (r["host_rate"], r["path_rate"], r["posterior"]) == pytest.approx(w, rel=1e-6)
+        assert r["kept"] == (r["posterior"] >= 0.5)

@@ -1,6 +1,8 @@
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from pyspark.sql import functions as F
 
 from gridextremes.llm import sharding
@@ -68,3 +70,32 @@ def test_empty_clashes_and_plan(spark, documents):
     assert df.count() == len(rows())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute(given, shards=8, slots=4096):
+    """Slot, shard and place of every row in plain code."""
+    def slot(doc, text):
+        seed = 42
+        for part in (None if doc is None else struct.pack("<q", doc), None if text is None else text.encode()):
+            seed = seed if part is None else xxhash.xxh64_intdigest(part, seed=seed)
+        return seed % slots
+
+    rows = [(slot(d, t), d is not None, d or 0, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for d, t in given]
+    weights = Counter()
+    for r in rows:
+        weights[r[0]] += r[4]
+    loads, shard_of = [0] * shards, {}
+    for s in sorted(range(slots), key=lambda s: (-weights[s], s)):
+        shard_of[s] = loads.index(min(loads))
+        loads[shard_of[s]] += weights[s]
+    places, out = Counter(), []
+    for s, _, doc, crc, size in sorted(rows, key=lambda r: (shard_of[r[0]], *r)):
+        out.append((s, size, crc, shard_of[s], places[shard_of[s]]))
+        places[shard_of[s]] += 1
+    return sorted(out)
+
+
+def test_slots_map_and_places_against_plain_code(spark, documents):
+    given = rows() + [(i, "x" * (i * 977 % 5000)) for i in range(1000, 1400)] + [(5000, "long " * 300_000)]
+    found = place(spark, documents(given, 5)).select("vslot", "size", "crc", "shard", "place").collect()
+    assert sorted(map(tuple, found)) == brute(given)
