@@ -7,8 +7,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 BBox = tuple[float, float, float, float]
 MAX_PAGE = 1000
+DEEP = 10_000  # offsets from here on are sought by range counts
 
 
 def filter_events(
@@ -83,11 +86,35 @@ def nearest_day(cube: DataFrame, day: date) -> DataFrame:
 def page(df: DataFrame, order: list[Column | str], limit: int = 100, offset: int = 0, most: int = MAX_PAGE):
     """One page in a given order, and a one-row frame with the number of all rows.
 
-    Larger pages than ``most`` are an error, never cut.
+    Larger pages than ``most`` are an error, never cut. Near the front the first
+    rows of all partitions are merged; from ``DEEP`` rows on see ``deep_page``.
     """
     if not 1 <= limit <= most or offset < 0:
         raise ValueError(f"limit is 1..{most} and offset not negative")
-    return df.orderBy(*order).offset(offset).limit(limit), df.agg(F.count(F.lit(1)).alias("numberMatched"))
+    rows = df.orderBy(*order).offset(offset).limit(limit) if offset < DEEP else deep_page(df, order, limit, offset)
+    return rows, df.agg(F.count(F.lit(1)).alias("numberMatched"))
+
+
+def deep_page(df: DataFrame, order: list[Column | str], limit: int, offset: int) -> DataFrame:
+    """The page by seeking: rows are dealt to ranges of the order, and the counts of the
+    ranges tell which of them hold the page; only these are sorted.
+
+    What is gathered is bounded by the ranges' size, whatever the offset. The ranges
+    are written once, so both looks at them see the same; their counts, one row per
+    range, go to the driver. As with any paging, the order has to be a full one.
+    """
+    spark = df.sparkSession
+    n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a given number of ranges is not merged into fewer
+    ranged = materialise(df.repartitionByRange(n_ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()
+    before, start, wanted = 0, None, []
+    for r in sorted(counts):
+        if before < offset + limit and before + r["n"] > offset:
+            start = before if start is None else start
+            wanted.append(r["_range"])
+        before += r["n"]
+    held = ranged.where(F.col("_range").isin(wanted)).drop("_range")
+    return held.orderBy(*order).offset(offset - (start or 0)).limit(limit)
 
 
 def page_links(matched: Column, limit: int, offset: int) -> Column:

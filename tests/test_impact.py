@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from helpers import day
@@ -125,3 +126,19 @@ def test_rollups(spark):
     bare = spark.createDataFrame([("z", None, None)], "event_id string, centroid_lon double, centroid_lat double")
     assert tuple(bubbles(bare, rings).first()) == ("z", 1.0, 1.0)
     assert bubbles(events).where(F.col("event_id") == "mhw-000009").first()["x"] == 30.0
+
+
+def test_deep_pages_gather_a_few_ranges(spark):
+    rows = spark.range(0, 60_000).select((F.col("id") * 7919 % 60_000).alias("k"), F.col("id").alias("v")).repartition(8)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for offset in (0, 9_999, 10_000, 31_234, 59_950, 60_000, 70_000):
+            got, matched = page(rows, ["k"], 100, offset)
+            assert [r["k"] for r in got.collect()] == list(range(offset, min(60_000, offset + 100)))
+            assert matched.first()[0] == 60_000
+        deep, _ = page(rows, ["k"], 100, 31_234)
+        limit = int(re.search(r"limit=(\d+)", deep._jdf.queryExecution().executedPlan().toString().replace("limit = ", "limit=")).group(1))
+        assert limit < 60_000 / 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)

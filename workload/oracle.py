@@ -714,6 +714,8 @@ SELECT {EVENT_COLUMNS} FROM events WHERE date_end >= DATE '1998-05-01' AND date_
     "events_page": sql(EVENTS, """
 SELECT event_id, date_start, count(*) OVER () AS "numberMatched" FROM events
 WHERE centroid_lon BETWEEN 4.75 AND 10 AND centroid_lat BETWEEN 34.75 AND 40 ORDER BY event_seq LIMIT 50 OFFSET 100"""),
+    "cube_page": sql(CUBE, """
+SELECT dt, lat, lon, round(sst, 6) AS sst, count(*) OVER () AS "numberMatched" FROM cube ORDER BY dt, lat, lon LIMIT 200 OFFSET 12345"""),
     "event_lookup": sql(EVENTS, f"SELECT {EVENT_COLUMNS} FROM events WHERE event_id = 'mhw-000007'"),
     "severe_count": sql(EVENTS, "SELECT count(*) FILTER (WHERE category >= 3) AS n_severe FROM events"),
     "event_links": sql(LINKS, """

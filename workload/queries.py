@@ -397,6 +397,14 @@ def events_page(spark, sf):
     return rows.select("event_id", "date_start", total.alias("numberMatched"))
 
 
+@query
+def cube_page(spark, sf):
+    """A page from the middle of the cube, far behind its first rows."""
+    cube = t.cube(spark, sf).select("dt", "lat", "lon", F.round("sst", 6).alias("sst"))
+    rows, matched = filters.page(cube, ["dt", "lat", "lon"], limit=200, offset=12_345)
+    return rows.select("*", matched.select("numberMatched").scalar().alias("numberMatched"))
+
+
 @query
 def event_lookup(spark, sf):
     return filters.by_id(t.events(spark, sf), "mhw-000007").select(*EVENT_COLUMNS)
