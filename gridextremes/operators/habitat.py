@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import KM_PER_DEGREE_DISTANCE, local_km
+from ..session import materialise
 from .skew import exact_percentile, hot_join
 
 # --- fixed values -----------------------------------------------------------
@@ -32,13 +33,16 @@ def _sums(classes: list[str]) -> list:
 
 
 def tile_pyramid(places: DataFrame, classes: list[str], levels: int = LEVELS) -> DataFrame:
-    """``level, tx, ty`` and the sums of all places in the tile; every level is summed from the one below."""
+    """``level, tx, ty`` and the sums of all places in the tile, for tiles of every level.
+
+    Places are summed in the finest tiles first; those go to all their larger ones at once.
+    """
     tiles = places.groupBy("tx", "ty").agg(*_sums(classes))
-    out = tiles.withColumn("level", F.lit(0))
-    for level in range(1, levels):
-        tiles = tiles.withColumns({c: F.shiftright(c, 1) for c in ("tx", "ty")}).groupBy("tx", "ty").agg(*_sums(classes))
-        out = out.unionByName(tiles.withColumn("level", F.lit(level)))
-    return out
+    above = F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.struct(
+        k.alias("level"), F.call_function("shiftright", F.col("tx"), k).alias("x"), F.call_function("shiftright", F.col("ty"), k).alias("y")))
+    spread = tiles.withColumn("t", F.explode(above)).select(
+        "t.level", F.col("t.x").alias("tx"), F.col("t.y").alias("ty"), "n", "rate", *(f"n_{c}" for c in classes))
+    return spread.groupBy("level", "tx", "ty").agg(*_sums(classes))
 
 
 def ellipse_tiles(ellipses: DataFrame, tile_deg: float = TILE_DEG, levels: int = LEVELS) -> DataFrame:
@@ -96,7 +100,8 @@ def class_overlap(ellipses: DataFrame, cells: DataFrame, classes: list[str], wei
         F.floor(F.col("lat") / F.lit(tile_deg)).cast("int").alias("ty"),
     ).withColumnsRenamed({"lon": "cell_lon", "lat": "cell_lat"})
     sums = ["event_id", "n", "rate", *(f"n_{c}" for c in classes)]
-    tiles = ellipse_tiles(ellipses, tile_deg, levels)
+    # Each is read several times below.
+    places, tiles = materialise(places, "places"), materialise(ellipse_tiles(ellipses, tile_deg, levels), "tiles")
     whole = hot_join(tiles.where("whole").select("event_id", "level", "tx", "ty"), tile_pyramid(places, classes, levels),
                      ["level", "tx", "ty"]).select(sums)
     u = (F.col("cell_lon") - F.col("lon")) / F.col("sx")
