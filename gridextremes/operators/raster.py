@@ -12,6 +12,7 @@ from ..functions.scalars import grid_category, grid_flag
 from .climatology import attach_by_day, day_of_year
 from .filters import on_day
 from .grid import cell_key
+from .skew import tasks_for
 
 UPSAMPLING = 4
 
@@ -102,7 +103,10 @@ def regrid_bilinear(slab: DataFrame, target: DataFrame, value: str = "sst", labe
         .withColumn("cell", cell_key())
         .join(cells.select(cell_key()), "cell", "left_semi")
     )
-    summed = sent.groupBy("cell", "lat", "lon", "dt").agg(
+    # A value serves four cells at most. They are dealt before they are summed: the corners of
+    # a cell lie in different tasks, where sums would only be held and save no row.
+    dealt = sent.repartition(tasks_for(slab.sparkSession, 4 * slab.count()), "cell")
+    summed = dealt.groupBy("cell", "lat", "lon", "dt").agg(
         F.sum(F.col("v") * F.col("w_lat") * F.col("w_lon")).alias("total"), F.count("v").alias("corners"),
         *([F.min(F.when(F.col("w_lat") * F.col("w_lon") > 0, F.col("label"))).alias(label)] if label else []),
     )
