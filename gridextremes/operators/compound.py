@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .grid import cell_key
+from .skew import tasks_for
 
 # --- fixed values: classes of compound days per cell --------------------------
 DAY_CLASSES = [(1, 5), (6, 10), (11, 20), (21, 40)]
@@ -24,8 +25,9 @@ def compound_days(a: DataFrame, b: DataFrame, hot: float = 0.9, low: float = 0.1
     stacked = a.select("dt", "lat", "lon", F.col(a_value).alias("a"), F.lit(None).cast("double").alias("b")).unionByName(
         b.select("dt", "lat", "lon", F.lit(None).cast("double").alias("a"), F.col(b_value).alias("b"))
     )
+    tasks = tasks_for(a.sparkSession, a.count() + b.count())
     paired = (
-        stacked.select(cell_key(), "lat", "lon", "dt", "a", "b").repartition("cell")
+        stacked.select(cell_key(), "lat", "lon", "dt", "a", "b").repartition(tasks, "cell")
         .groupBy("cell", "lat", "lon", "dt").agg(F.max("a").alias("a"), F.max("b").alias("b"))
         .where(F.col("a").isNotNull() & F.col("b").isNotNull())
     )
