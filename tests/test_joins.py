@@ -1,9 +1,13 @@
 """Plans of joins and the size of tasks, which small results do not show."""
 
+from helpers import cube_of, flat_clim
 from pyspark.sql import functions as F
 
+from gridextremes.operators import climatology, compound, coverage, raster, skew
 from gridextremes.operators.cluster import active_days, cluster_members, tile_links
+from gridextremes.operators.detect import cell_events
 from gridextremes.operators.exposure import events_by_cell
+from gridextremes.operators.grid import Grid
 from gridextremes.operators.impact import event_hits
 from gridextremes.operators.numbering import number_by_cell
 from gridextremes.session import materialise
@@ -37,3 +41,23 @@ def test_no_table_that_grows_is_broadcast(spark):
     ):
         assert plan_of(df).count("SortMergeJoin") >= joins, name
     assert "Broadcast" not in plan_of(tile_links(active_days(events, 1.05), 1.5))
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Rows that sort or unpack large are dealt to tasks by their number, not merged by their size."""
+    monkeypatch.setattr(skew, "TASK_ROWS", 10)
+    cells = [(40.0 + 0.25 * i, 10.0) for i in range(3)]
+    cube = cube_of(spark, {cell: [20.0] * 40 for cell in cells})
+    clim = flat_clim(spark, cells)
+    salinity = cube.select("dt", "lat", "lon", F.col("sst").alias("sal"))
+    square = [(0.1, 0.1), (9.9, 0.1), (9.9, 9.9), (0.1, 9.9), (0.1, 0.1)]
+    overlay = spark.sql("SELECT 'mpa' AS kind, 'a' AS feature_id, 'Polygon' AS geom_type, array(array(array({}))) AS parts".format(
+        ", ".join(f"named_struct('x', {x}D, 'y', {y}D)" for x, y in square)))
+    for name, df, tasks in (
+        ("climatology", climatology.pooled_climatology(cube), 12),
+        ("detection", cell_events(cube, clim), 12),
+        ("compound days", compound.compound_days(cube, salinity), 24),
+        ("regridding", raster.regrid_bilinear(cube, cube.select("lat", "lon")), 48),
+        ("cover", coverage.polygon_cover(overlay, Grid(0.5, 1.0, 10, 0.5, 1.0, 10)), 5),
+    ):
+        assert f", {tasks}), REPARTITION_BY_NUM" in plan_of(df), name
