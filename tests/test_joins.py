@@ -11,6 +11,7 @@ from gridextremes.operators.grid import Grid
 from gridextremes.operators.impact import event_hits
 from gridextremes.operators.numbering import number_by_cell
 from gridextremes.session import materialise
+from workload import tables
 
 
 def plan_of(df):
@@ -61,3 +62,16 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
         ("cover", coverage.polygon_cover(overlay, Grid(0.5, 1.0, 10, 0.5, 1.0, 10)), 5),
     ):
         assert f", {tasks}), REPARTITION_BY_NUM" in plan_of(df), name
+
+
+def test_hits_and_days_take_tasks_by_rows(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(skew, "TASK_ROWS", 10)
+    footprint = materialise(spark.range(60).select(
+        F.format_string("e%d", "id").alias("event_id"), F.lit(0).alias("ilat"), F.lit(0).alias("ilon"), F.lit(False).alias("is_point")), "footprint")
+    cover = spark.sql("SELECT 'mpa' AS kind, 'a' AS feature_id, 0 AS ilat, 0 AS ilon, 1D AS area, 40D AS moment, true AS holds_centre")
+    assert ", 6), REPARTITION_BY_NUM" in plan_of(event_hits(footprint, materialise(cover, "cover")))
+    spark.sql("SELECT id AS s_suppkey FROM range(3)").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.sql("SELECT id % 3 AS l_suppkey, timestamp'1998-01-01' + make_dt_interval(CAST(id AS INT)) AS l_shipdate, 1D AS l_quantity "
+              "FROM range(40)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert ", 12), REPARTITION_BY_NUM" in plan_of(tables.daily(spark, str(tmp_path), "l_quantity"))
+    assert tables.daily(spark, str(tmp_path), "l_quantity").count() == 3 * 40
