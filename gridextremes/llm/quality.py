@@ -128,7 +128,9 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
     sample = sampled_labels(labels, id_col, label_col, max_fit_rows)
     odds, prior = evidence(packed_docs.select(key.alias("label_id"), text.alias("text")), sample, max_fit_rows)
     base = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0
-    judged = packed_docs.withColumn("text", text).withColumn("odds", odds).drop("text").withColumn("p", _logistic(F.col("odds")))
+    # Written with the rows: each text is searched once here, and the second look at the rows is a plain join.
+    judged = materialise(packed_docs.withColumn("text", text).withColumn("odds", odds).drop("text"), "judged").withColumn(
+        "p", _logistic(F.col("odds")))
     paths = materialise(judged.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     whole = hosts.agg(F.sum("s"), F.sum("n")).first()
