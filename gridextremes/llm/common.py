@@ -35,12 +35,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def summed_arrays(rows: DataFrame, kind: str, unpack: Callable[[bytes], np.ndarray] | None = None) -> dict[int, np.ndarray]:
+def summed_arrays(rows: DataFrame, kind: str, unpack: Callable[[bytes], np.ndarray] | None = None,
+                  pack: Callable[[np.ndarray], bytes] | None = None) -> dict[int, np.ndarray] | dict[int, bytes]:
     """Sum of the arrays (``counts``, packed as ``kind`` unless ``unpack`` reads them) of each ``block``.
 
     The blocks are dealt to tasks that add up one row after the other, so a task
-    holds one array per block of its own. The sums go to the driver: the caller
-    bounds their number and size.
+    holds one array per block of its own. The sums go to the driver, as the bytes
+    that ``pack`` makes of them if it is given: the caller bounds their number and size.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,9 +52,9 @@ def summed_arrays(rows: DataFrame, kind: str, unpack: Callable[[bytes], np.ndarr
                 sums[block] = sums[block] + more if block in sums else more.copy()
         if sums:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())],
+                [pa.array(list(sums), pa.int32()), pa.array([pack(c) if pack else c.tobytes() for c in sums.values()], pa.binary())],
                 ["block", "counts"],
             )
 
     found = rows.repartition("block").mapInArrow(add, "block int, counts binary").collect()
-    return {r["block"]: np.frombuffer(r["counts"], kind) for r in found}
+    return {r["block"]: bytes(r["counts"]) if pack else np.frombuffer(r["counts"], kind) for r in found}

@@ -134,6 +134,11 @@ def _large(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed[1:]), packed[:1].decode()).astype(np.uint32)
 
 
+def _bits(counts: np.ndarray) -> bytes:
+    """Which counts are not 0, a bit each, compressed."""
+    return zlib.compress(np.packbits(counts > 0).tobytes(), 1)
+
+
 def frequencies(texts: DataFrame, words: int = WORDS, cells: int = CELLS) -> np.ndarray:
     """Counters of all shingles of column ``text`` (binary), hashed into ``cells``.
 
@@ -161,8 +166,9 @@ def frequencies(texts: DataFrame, words: int = WORDS, cells: int = CELLS) -> np.
             )
 
     total = np.zeros(cells, np.uint32)
-    for block, part in summed_arrays(texts.mapInArrow(count, "block int, counts binary"), "u4", _large).items():
-        total[block : block + len(part)] = part
+    for block, part in summed_arrays(texts.mapInArrow(count, "block int, counts binary"), "u4", _large, _small).items():
+        counts = _large(part)
+        total[block : block + len(counts)] = counts
     return total
 
 
@@ -206,7 +212,9 @@ def indexed(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
                 )
 
     schema = "number long, id long, n long, digest binary, text_hash long, rare long, keys array<long>"
-    return materialise(source.withColumn("id", F.col("id").cast("long")).mapInArrow(index, schema), "prefixes")
+    written = materialise(source.withColumn("id", F.col("id").cast("long")).mapInArrow(index, schema), "prefixes")
+    shared.destroy()
+    return written
 
 
 def text_hash(text: Column) -> Column:
@@ -290,7 +298,7 @@ def _side(side: str, *more: str, of: str = "") -> list[Column]:
 
 
 def _marks(hashes: DataFrame, cells: int) -> np.ndarray:
-    """Which of ``cells`` places the hashes fall on, as packed bits."""
+    """Which of ``cells`` places the hashes fall on, as packed bits; as such they also come to the driver."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from gridextremes.llm.jaccard import _small
@@ -305,10 +313,11 @@ def _marks(hashes: DataFrame, cells: int) -> np.ndarray:
                 ["block", "counts"],
             )
 
-    total = np.zeros(cells, bool)
-    for block, part in summed_arrays(hashes.mapInArrow(mark, "block int, counts binary"), "u4", _large).items():
-        total[block : block + len(part)] = part > 0
-    return np.packbits(total)
+    total = np.zeros(-(-cells // 8), np.uint8)
+    for block, part in summed_arrays(hashes.mapInArrow(mark, "block int, counts binary"), "u4", _large, _bits).items():
+        bits = np.frombuffer(zlib.decompress(part), np.uint8)
+        total[block // 8 : block // 8 + len(bits)] = bits
+    return total
 
 
 def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> DataFrame:
@@ -341,7 +350,9 @@ def _sets(docs: DataFrame, text_col: str, wanted: DataFrame, words: int) -> Data
     source = docs.select(text.cast("binary").alias("text"), text_hash(text).alias("text_hash"))
     made = source.mapInArrow(make, "digest binary, hashes binary")
     once = made.groupBy("digest").agg(F.first("hashes").alias("hashes"))
-    return materialise(wanted.join(once, "digest").select("node", "hashes"), "sets")
+    written = materialise(wanted.join(once, "digest").select("node", "hashes"), "sets")
+    shared.destroy()
+    return written
 
 
 class _Verifier:

@@ -182,3 +182,20 @@ def test_empty_and_clashing(documents, rows):
     assert found(jaccard.similar_groups(clash)) == brute(small)[0]
     with pytest.raises(ValueError):
         jaccard.similar_groups(clash, percent=40)
+
+
+def test_marks_come_to_the_driver_as_bits(spark, monkeypatch):
+    """The bitmap and the sums it is made of are a bit per place, not a number."""
+    sent, summed = [], jaccard.summed_arrays
+
+    def seen(*given):
+        found = summed(*given)
+        sent.append(sum(memoryview(part).nbytes for part in found.values()))
+        return found
+
+    monkeypatch.setattr(jaccard, "summed_arrays", seen)
+    hashes = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    want = np.zeros(jaccard.MARKS, bool)
+    want[[r["h"] & (jaccard.MARKS - 1) for r in hashes.collect()]] = True
+    assert (jaccard._marks(hashes, jaccard.MARKS) == np.packbits(want)).all()
+    assert sent[0] <= jaccard.MARKS // 8
