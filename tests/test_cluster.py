@@ -2,9 +2,11 @@ import numpy as np
 from helpers import clusters_by_brute_force, day
 from pyspark.sql import functions as F
 
+from gridextremes.operators import components
 from gridextremes.operators.cluster import by_severity, cluster_events
 from gridextremes.operators.components import connected_components
 from gridextremes.operators.numbering import number_by_cell, number_by_key
+from gridextremes.session import materialise
 
 SCHEMA = (
     "event_id string, event_seq long, date_start date, date_end date, date_peak date, duration_days int, "
@@ -102,6 +104,17 @@ def test_components(spark):
     assert label == {v: 0 if v <= 40 else 100 if v <= 102 else 500 if v < 900 else 999 for v in nodes}
 
 
+def test_rounds_grow_with_the_logarithm_of_a_path(spark, monkeypatch):
+    """A path whose numbers rise along it is the slowest for steps of a fixed length."""
+    written = []
+    monkeypatch.setattr(components, "materialise", lambda df, label: written.append(label) or materialise(df, label))
+    for n in (60, 600):
+        written.clear()
+        path = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        found = connected_components(path, spark.range(n + 1).withColumnRenamed("id", "node"))
+        assert found.where("component = 0").count() == n + 1 and len(written) < 12
+
+
 def test_numbering(spark):
     keys = spark.createDataFrame([(int(k),) for k in np.random.default_rng(0).permutation(500) * 7], "k long")
     got = {r["k"]: r["n"] for r in number_by_key(keys, "k", "n", block=100).collect()}
