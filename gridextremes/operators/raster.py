@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import grid_category, grid_flag
-from .climatology import attach_by_day, day_of_year
+from .climatology import CELL, attach_by_day, day_of_year
 from .filters import on_day
 from .grid import cell_key
 from .skew import tasks_for
@@ -30,12 +30,13 @@ def derived_cube(cube: DataFrame, pctile: float = 0.9, decimals: int = 6) -> Dat
 
     Mean and percentile are taken over a window per (cell, day of year), as long
     as there are years: one shuffle, nothing to join back. Both are rounded, so
-    that the order of summation never moves a value across a category border.
+    that the order of summation never moves a value across a category border. Cells
+    are dealt in ranges, to tasks by rows, so the result can be stored as it lies.
     """
-    peers = W.partitionBy("lat", "lon", "doy")
+    peers = W.partitionBy(*CELL, "doy")
     rows = cube.select(
-        "dt", "lat", "lon", day_of_year(F.col("dt")).alias("doy"), "sst"
-    ).select(
+        "dt", cell_key(), "lat", "lon", day_of_year(F.col("dt")).alias("doy"), "sst"
+    ).repartitionByRange(tasks_for(cube.sparkSession, cube.count()), "cell").select(
         "dt", "lat", "lon", "sst", F.round(F.avg("sst").over(peers), decimals).alias("mean"),
         F.round(F.percentile("sst", F.lit(pctile)).over(peers), decimals).alias("high"),
     )

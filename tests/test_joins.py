@@ -11,6 +11,7 @@ from gridextremes.operators.grid import Grid
 from gridextremes.operators.impact import event_hits
 from gridextremes.operators.numbering import number_by_cell
 from gridextremes.session import materialise
+from gridextremes.sources import sinks
 from workload import tables
 
 
@@ -75,3 +76,10 @@ def test_hits_and_days_take_tasks_by_rows(spark, monkeypatch, tmp_path):
               "FROM range(40)").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert ", 12), REPARTITION_BY_NUM" in plan_of(tables.daily(spark, str(tmp_path), "l_quantity"))
     assert tables.daily(spark, str(tmp_path), "l_quantity").count() == 3 * 40
+
+
+def test_the_derived_cube_is_moved_once(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 10)
+    cube = cube_of(spark, {(40.0 + 0.25 * i, 10.0): [20.0] * 40 for i in range(3)})
+    plan = plan_of(sinks.derived_by_year(raster.derived_cube(cube)))
+    assert plan.count("Exchange ") == 1 and ", 12), REPARTITION_BY_NUM" in plan
