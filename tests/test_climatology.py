@@ -7,7 +7,7 @@ from helpers import cube_of
 from pyspark.sql import functions as F
 
 from gridextremes.operators import climatology as K
-from gridextremes.operators.grid import align_nearest, grid_of, nearest_on_axis
+from gridextremes.operators.grid import align_nearest, cell_key, grid_of, nearest_on_axis
 
 
 def two_years(spark, f, cells=((40.0, 10.0),), start=date(2021, 1, 1), n=730):
@@ -106,3 +106,22 @@ def test_grid_of(spark):
     g = grid_of(cells)
     assert (g.lat0, g.lat_step, g.n_lat, g.lon0, g.lon_step, g.n_lon) == (40.0, 0.25, 4, 10.0, 0.5, 2)
     assert grid_of(cells.where("lat = 40")).lat_step == 0.25 and g.stride(2) == 2 and g.stride(None) == 1
+
+
+def test_years_of_cells_come_without_windows(spark):
+    """The values of a cell come together once; no window repeats them for each day."""
+    plan = K.pooled_climatology(two_years(spark, lambda i: 20.0))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_repeated_rows_and_cells_without_values(spark):
+    cube = cube_of(spark, {(40.0, 10.0): [1.0, 2.0] * 200, (41.0, 10.0): [None] * 400}, date(2021, 1, 1))
+    got = K.pooled_climatology(cube.unionByName(cube), smooth_width=1).where("doy = 100")
+    assert {(r["lat"], r["seas"], r["thresh"]) for r in got.collect()} == {(40.0, round(16 / 11, 6), 2.0), (41.0, None, None)}
+
+
+def test_cell_keys_are_rounded_half_up(spark):
+    rows = [(k * 0.0234375 - 90, k * 0.0234375 - 180) for k in range(7680)] + [(None, 1.0)]
+    df = spark.createDataFrame(rows, "lat double, lon double")
+    plain = F.shiftleft(F.round((F.col("lat") + 90) * 1_000_000).cast("bigint"), 30) + F.round((F.col("lon") + 180) * 1_000_000).cast("bigint")
+    assert df.where(~cell_key().eqNullSafe(plain)).count() == 0

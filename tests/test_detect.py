@@ -132,3 +132,15 @@ def test_events_of_a_cell_keep_their_distance(spark):
     series = attach_baseline(cube_of(spark, {CELL: spike(60, (5, 9), (12, 16), (20, 26))}), flat_clim(spark, [CELL]))
     rows = mark_events(series).groupBy("event_no").agg(F.min("dt").alias("a"), F.max("dt").alias("b"), F.count("*").alias("n")).orderBy("event_no").collect()
     assert all(r["n"] >= 5 for r in rows) and all((y["a"] - x["b"]).days > 3 for x, y in zip(rows, rows[1:]))
+
+
+def test_rows_far_from_hot_ones_leave_early(spark):
+    """Of 400 days only those around the hot ones reach the windows that find the runs; the events are the same."""
+    cube = cube_of(spark, {CELL: spike(400, (100, 106), (109, 113), (117, 117), (200, 203), (300, 309))})
+    marked = mark_events(attach_baseline(cube, flat_clim(spark, [CELL])))
+    lines = marked._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = [i for i, line in enumerate(lines) if "Filter" in line and "near_hot" in line]
+    windows = [i for i, line in enumerate(lines) if "Window [" in line]
+    assert filters and sum(i > filters[0] for i in windows) == 1 and len(windows) > 2
+    rows = marked.groupBy("event_no").agg(F.min("dt").alias("a"), F.max("dt").alias("b"), F.count("*").alias("n"))
+    assert sorted(map(tuple, rows.collect())) == [(1, day(100), day(113), 14), (2, day(300), day(309), 10)]

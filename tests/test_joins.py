@@ -1,5 +1,7 @@
 """Plans of joins and the size of tasks, which small results do not show."""
 
+from datetime import date
+
 from helpers import cube_of, flat_clim
 from pyspark.sql import functions as F
 
@@ -83,3 +85,22 @@ def test_the_derived_cube_is_moved_once(spark, monkeypatch):
     cube = cube_of(spark, {(40.0 + 0.25 * i, 10.0): [20.0] * 40 for i in range(3)})
     plan = plan_of(sinks.derived_by_year(raster.derived_cube(cube)))
     assert plan.count("Exchange ") == 1 and ", 12), REPARTITION_BY_NUM" in plan
+
+
+def test_trailing_sums_of_days(spark, tmp_path):
+    """Only days with lines are moved; a repeated supplier gives its days twice, one without lines only zeros."""
+    day = "timestamp'2000-01-01' + make_interval(0, 0, 0, cast({} as int))"
+    spark.sql(f"select k as l_suppkey, {day.format('d')} as l_shipdate, q as l_quantity from values "
+              "(0L, 0, 2.5D), (0L, 0, null), (0L, 3, 4D), (0L, 20, 1D), (1L, 30, null), (7L, 2, 9D), (null, 2, 9D) as t(k, d, q)"
+              ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select s_suppkey from values (0L), (1L), (2L), (2L) as t(s_suppkey)").write.parquet(f"{tmp_path}/supplier.parquet")
+    sums = tables._trailing(spark, str(tmp_path), "l_quantity")
+    assert "Window" not in plan_of(sums) and "Generate" not in plan_of(sums)
+    got = {}
+    for r in sums.collect():
+        got.setdefault(r["k"], []).append(((r["dt"] - date(2000, 1, 1)).days, r["sw"], r["nw"]))
+    first = {i: (2.5, 2) if i < 3 else (6.5, 3) if i < 15 else (4.0, 1) if i < 18 else (0.0, 0) if i < 20 else (1.0, 1) for i in range(31)}
+    assert sorted(got[0]) == [(i, *first[i]) for i in range(31)]
+    assert sorted(got[1]) == [(i, 0.0, int(i == 30)) for i in range(31)]
+    assert sorted(got[2]) == sorted(2 * [(i, 0.0, 0) for i in range(31)]) and set(got) == {0, 1, 2}
+    assert tables.daily(spark, str(tmp_path), "l_quantity").where("k = 1 and n = 1 and s is null").count() == 1
