@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 from test_cluster import event, frame
 
 from gridextremes.functions.rings import assemble_polygons, double_area, point_wkb, polygons_wkb
+from gridextremes.operators.cluster import Clusters
 from gridextremes.operators.grid import Grid
 from gridextremes.operators.outline import cell_regions, footprint_outline, outline_edges, outline_segments, with_geometry
 from gridextremes.sources import sinks
 from gridextremes.sources.cube import read_events
+from workload import queries
 
 GRID = Grid(lat0=40.125, lat_step=0.25, n_lat=9, lon0=10.125, lon_step=0.25, n_lon=9)
 
@@ -116,3 +118,19 @@ def test_files(spark, tmp_path):
     text.write.parquet(str(tmp_path / "text"))
     row = read_events(spark, str(tmp_path / "text")).first()
     assert row["date_start"] is None and str(row["date_end"]) == "2022-06-10"
+
+
+def test_polygons_and_rings_per_cluster(spark, monkeypatch):
+    """The query counts polygons, rings and cells of every cluster, also where a step has more digits than a coordinate."""
+    grid = Grid(lat0=34.0, lat_step=0.046875, n_lat=9, lon0=4.0, lon_step=0.046875, n_lon=9)
+    ring = [(r, c) for r in range(5) for c in range(5) if r in (0, 4) or c in (0, 4) or (r, c) == (2, 2)]
+    cells = {"hole": [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)], "corner": [(0, 0), (1, 1)], "island": ring, "one": [(7, 7)]}
+    events = frame(spark, [event(i + 1, 4.0, 34.0, 0, 9) for i in range(len(cells))]).withColumn(
+        "event_id", F.element_at(F.array(*map(F.lit, cells)), F.col("event_seq").cast("int"))).withColumn(
+        "geom_type", F.when(F.col("event_id") == "one", "Point").otherwise("Polygon"))
+    footprint = spark.createDataFrame([(e, r, c, e == "one") for e, at in cells.items() for r, c in at],
+                                      "event_id string, ilat int, ilon int, is_point boolean")
+    monkeypatch.setattr(queries.t, "clusters", lambda *_: Clusters(events.drop("ilat", "ilon"), None, footprint))
+    monkeypatch.setattr(queries.t, "grid", lambda *_: grid)
+    got = {r["event_id"]: (r["n_polygons"], r["n_rings"], r["n_cells"]) for r in queries.QUERIES["cluster_polygons"](spark, "").collect()}
+    assert got == {"hole": (1, 2, 8.0), "corner": (2, 2, 2.0), "island": (2, 3, 17.0), "one": (0, 0, 0.0)}
