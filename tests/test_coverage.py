@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridextremes.operators import coverage
 from gridextremes.operators.coverage import cover_cells, point_groups, polygon_cover
 from gridextremes.operators.grid import Grid
 from gridextremes.sources.overlays import read_geojson, site_attributes, to_overlay
@@ -80,6 +81,22 @@ def test_random_polygons_against_sampling(spark):
                     assert cell["holds_centre"] == bool(centre[r, c])
 
 
+def test_blocks_of_columns_do_not_show(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    shapes = [("Polygon", [square(-3, 1, 20, 2.5)]), ("Polygon", [square(0.5, 0.5, 7.5, 7.5), square(1, 1, 7, 7)])]
+    for _ in range(6):
+        a, r = np.sort(rng.uniform(0, 2 * math.pi, 9)), rng.uniform(0.7, 3.3, 9)
+        shapes.append(("Polygon", [[[4 + float(k * math.cos(t)), 4 + float(k * math.sin(t))] for t, k in zip(a, r)]]))
+
+    def found(columns):
+        monkeypatch.setattr(coverage, "BLOCK_COLUMNS", columns)
+        rows = polygon_cover(overlay(spark, *shapes), GRID).collect()
+        assert len({(r["feature_id"], r["ilat"], r["ilon"]) for r in rows}) == len(rows)
+        return sorted((r["feature_id"], r["ilat"], r["ilon"], round(r["area"], 9), round(r["moment"], 9), r["holds_centre"]) for r in rows)
+
+    assert found(16) == found(3) == found(1)
+
+
 def test_polygon_beyond_the_grid(spark):
     got = cells(polygon_cover(overlay(spark, ("Polygon", [square(-3, -3, 20, 20)])), GRID))
     assert len(got) == 64 and all(v["area"] == pytest.approx(1) and v["holds_centre"] for v in got.values())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_cluster import event, frame
 from test_coverage import overlay, square
 
+from gridextremes.operators import impact
 from gridextremes.operators.cluster import cluster_events
 from gridextremes.operators.detect import footprint_of_cells
 from gridextremes.operators.exposure import farm_exposure, site_events
@@ -63,6 +64,30 @@ def test_single_cell_cluster_is_a_point_but_raw_event_a_box(spark):
     assert met == {("aquaculture", "f0"), ("mpa", "f0")}
 
 
+def test_events_of_one_cell_are_not_joined_to_features(spark, monkeypatch):
+    """They take the sums of their cell, the same as by way of every (event, feature)."""
+    shapes = all_kinds(spark).unionByName(overlay(spark, ("Point", [10.5, 40.5]), ("Point", [11.0, 41.0]), kind="aquaculture").withColumn(
+        "feature_id", F.concat(F.lit("more"), "feature_id"))).unionByName(overlay(
+            spark, ("Polygon", [square(10.25, 39.0, 12.0, 41.5)]), ("Polygon", [square(10.25, 39.0, 12.0, 41.5)]), kind="seagrass").withColumn(
+        "feature_id", F.concat(F.lit("more"), "feature_id")))
+    index = index_overlay(shapes, GRID)
+    cells = [(0, 0), (0, 0), (0, 1), (1, 0), (1, 1), (4, 4)]
+    rows = [(f"{kind}{i}", r, c, kind == "point") for kind in ("box", "point") for i, (r, c) in enumerate(cells)]
+    foot = spark.createDataFrame([*rows, (None, 0, 0, False)], "event_id string, ilat int, ilon int, is_point boolean")
+    events = foot.select("event_id")
+    # A second cell with nothing on it leaves the numbers as they are, but takes the other way.
+    far = foot.unionByName(foot.select("event_id", F.lit(5).alias("ilat"), F.lit(0).alias("ilon"), "is_point"))
+
+    def found(footprint):
+        got = attach_impact(events, footprint, index).collect()
+        return {r["event_id"]: (r["impact"]["n_aquaculture_sites"], r["impact"]["mpa_area_km2"], r["impact"]["seagrass_area_km2"]) for r in got}
+
+    want = found(far)
+    assert want["box0"] == want["box1"] and want["box0"][0] == 3 and want["point0"][0] == 1 and want["box4"][2] > 0 and want[None] == (0, 0.0, 0.0)
+    monkeypatch.setattr(impact, "event_hits", None)
+    assert found(foot) == want
+
+
 def test_overlapping_features_count_twice(spark):
     c = cluster_events(frame(spark, placed((0, 0, 0, 9), (0, 1, 0, 9))))
     twice = overlay(spark, ("Polygon", [square(10, 40, 10.5, 40.5)]), ("Polygon", [square(10, 40, 10.5, 40.5)]))

@@ -80,6 +80,13 @@ def test_hits_and_days_take_tasks_by_rows(spark, monkeypatch, tmp_path):
     assert tables.daily(spark, str(tmp_path), "l_quantity").count() == 3 * 40
 
 
+def test_the_edges_of_a_cover_are_moved_once(spark):
+    """Not the pieces that they are cut into, which are many more on a fine grid."""
+    overlay = materialise(spark.sql("SELECT 'mpa' AS kind, 'a' AS feature_id, 'Polygon' AS geom_type, array(array(array("
+                                    "named_struct('x', 0D, 'y', 0D), named_struct('x', 9D, 'y', 0D), named_struct('x', 9D, 'y', 9D)))) AS parts"), "overlay")
+    assert plan_of(coverage.polygon_cover(overlay, Grid(0.5, 0.25, 80, 0.5, 0.25, 80))).count("Exchange ") == 1
+
+
 def test_the_derived_cube_is_moved_once(spark, monkeypatch):
     monkeypatch.setattr(skew, "TASK_ROWS", 10)
     cube = cube_of(spark, {(40.0 + 0.25 * i, 10.0): [20.0] * 40 for i in range(3)})
