@@ -122,6 +122,32 @@ def test_stream_goes_on_from_the_batch(spark, rocks, tmp_path):
     assert len(want) == 4 and sorted(tuple(r) for r in both.select(*columns).collect()) == want
 
 
+def test_cells_of_a_tile_share_a_state(spark, rocks, tmp_path):
+    """Each cell keeps its own runs and waiting days, also where the others of its tile have rows it lacks."""
+    rng = np.random.default_rng(5)
+    series = {}
+    for place in [(40.0 + i / 10, 10.0 + j / 10) for i in range(10) for j in range(2)] + [(42.5, 10.0)]:
+        noise = np.convolve(rng.normal(0, 3, 90), np.ones(7) / 7, "same")
+        series[place] = [None if rng.random() < 0.03 else round(float(20 + 3 * v), 3) for v in noise] + [0.0] * 20
+    cube, clim = cube_of(spark, series), flat_clim(spark, series, 20.0, 20.5)
+    history, later = cube.where(F.col("dt") <= day(30)), cube.where(F.col("dt") > day(30))
+    n = F.datediff("dt", F.lit(day(31)))
+    # Of every other row of cells, the last days of a file come with the next one.
+    behind = (F.round(F.col("lat") * 10).cast("int") % 2 == 0) & (n % 27 >= 23)
+    parts = later.withColumn("file", F.floor(n / 27) + F.when(behind, 1).otherwise(0).cast("int"))
+    for f in range(4):
+        parts.where(F.col("file") == f).drop("file").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    days = read_days(spark, str(tmp_path / "in"), cube.schema, 1)
+    run = stream_detect(days, clim, history=history).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) < len(series)
+    both = spark.read.parquet(str(tmp_path / "out")).unionByName(over_at_end(history, clim))
+    columns = ["lat", "lon", "date_start", "date_end", "date_peak", "duration_days", "intensity_max", "intensity_mean", "intensity_cumulative", "category"]
+    want = sorted(tuple(r) for r in cell_events(cube, clim).where(F.col("date_end") < day(95)).select(*columns).collect())
+    assert len(want) > 20 and sorted(tuple(r) for r in both.select(*columns).collect()) == want
+
+
 def test_append_backfill_and_freshness(spark, tmp_path):
     path = str(tmp_path / "cube")
     cells = [(40.0, 10.0), (40.0, 10.25)]
